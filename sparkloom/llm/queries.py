@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import lang_id, packing, secret_scan, token_count
+from sparkloom.llm import jaccard_join, lang_id, packing, secret_scan, substring_dedup, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +34,48 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_best_fit_packing, op5_secret_scan)}
-ORACLE: dict[str, str] = {}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), length=35)
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_best_fit_packing, op5_secret_scan, op6_substring_dedup, op10_ngram_jaccard_join)}
+
+ORACLE = {
+    "op6_substring_dedup": """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, s.i AS i, array_to_string(w[s.i : s.i + 34], ' ') AS k
+  FROM d, LATERAL (SELECT unnest(range(1, len(w) - 33)) AS i) s WHERE len(w) >= 35),
+rep AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM win WHERE k IN (SELECT k FROM rep)),
+gone AS (
+  SELECT DISTINCT doc_id, j.p AS p FROM hit, LATERAL (SELECT unnest(range(i, i + 35)) AS p) j),
+word AS (SELECT doc_id, s.i AS i, w[s.i] AS word FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) s),
+kept AS (
+  SELECT word.doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.i WHERE gone.p IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+    "op10_ngram_jaccard_join": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s.i : s.i + 4], ' ') AS k
+  FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i) s WHERE len(w) > 0),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id <> b.doc_id
+  JOIN sz na ON na.doc_id = a.doc_id JOIN sz nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+SELECT d.doc_id, coalesce(sz.n, 0) AS n_shingles, min(reach.y) AS component_id
+FROM d LEFT JOIN sz ON sz.doc_id = d.doc_id JOIN reach ON reach.x = d.doc_id GROUP BY d.doc_id, sz.n""",
+}
