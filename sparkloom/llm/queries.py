@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import jaccard_join, lang_id, packing, secret_scan, substring_dedup, token_count
+from sparkloom.llm import jaccard_join, lang_id, line_dedup, packing, secret_scan, substring_dedup, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,13 +38,19 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), length=35)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_best_fit_packing, op5_secret_scan, op6_substring_dedup, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_best_fit_packing, op5_secret_scan, op6_substring_dedup, op9_line_dedup, op10_ngram_jaccard_join)}
 
 ORACLE = {
+    "op9_line_dedup": line_dedup.ORACLE,
     "op6_substring_dedup": """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
