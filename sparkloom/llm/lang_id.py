@@ -129,37 +129,63 @@ def build(counts: dict[str, dict[str, int]], grams_per_language: int) -> Languag
     return LanguageModel(langs, words, grams_at, np.concatenate(rows).reshape(-1, len(langs)))
 
 
+class Predictor:
+    """Languages and scores of texts."""
+
+    def __init__(self, model: LanguageModel, sharpness: float):
+        self.model, self.sharpness, self.memo = model, sharpness, WordScores(model)
+
+    def of(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        split = [WORD.findall(t.lower()) if t and self.model.languages else [] for t in texts]
+        self.memo.learn(set().union(*split))
+        preds, scores = [], []
+        for words in split:
+            if not words:
+                preds.append("und")
+                scores.append(0.0)
+                continue
+            mean = self.memo.table[np.fromiter(map(self.memo.row.__getitem__, words), np.int64, len(words))].mean(axis=0)
+            share = np.exp(self.sharpness * (mean - mean.max()))
+            best = int(np.argmax(share))
+            preds.append(self.model.languages[best])
+            scores.append(float(share[best] / share.sum()))
+        return preds, scores
+
+
 def predict(docs: DataFrame, model: LanguageModel, sharpness: float = 8.0) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        memo = WordScores(model)
+        predictor = Predictor(shared.value, sharpness)
         for batch in batches:
-            held = dict(zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()))
+            at = 0
             for ids, texts in text_blocks([batch], "doc_id", "text"):
-                split = [WORD.findall(t.lower()) if t and model.languages else [] for t in texts]
-                memo.learn(set().union(*split))
-                preds, scores = [], []
-                for words in split:
-                    if not words:
-                        preds.append("und")
-                        scores.append(0.0)
-                        continue
-                    mean = memo.table[np.fromiter(map(memo.row.__getitem__, words), np.int64, len(words))].mean(axis=0)
-                    share = np.exp(sharpness * (mean - mean.max()))
-                    best = int(np.argmax(share))
-                    preds.append(model.languages[best])
-                    scores.append(float(share[best] / share.sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([held[i] for i in ids], pa.bool_()), pa.array(preds, pa.string()), pa.array(scores, pa.float64())],
-                    ["doc_id", "held_out", "lang_pred", "score"],
-                )
+                preds, scores = predictor.of(texts)
+                held = batch.column("held_out").slice(at, len(ids))
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), held, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, SCHEMA)
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float, sharpness: float = 8.0) -> DataFrame:
+    """The rows of docs, all their columns, whose text has a language with a score of min_score at least. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = Predictor(shared.value, sharpness)
+        for batch in batches:
+            at = 0
+            for ids, texts in text_blocks([batch], "doc_id", "text"):
+                preds, scores = predictor.of(texts)
+                keep = pa.array([p != "und" and s >= min_score for p, s in zip(preds, scores)], pa.bool_())
+                yield batch.slice(at, len(ids)).filter(keep)
+                at += len(ids)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     """Documents that no model may learn from."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import jaccard_join, lang_id, line_dedup, packing, secret_scan, substring_dedup, token_count
+from sparkloom.llm import decontam, jaccard_join, lang_id, license_scan, line_dedup, packing, secret_scan, substring_dedup, token_count, vptree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), length=35)
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -47,7 +59,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_best_fit_packing, op5_secret_scan, op6_substring_dedup, op9_line_dedup, op10_ngram_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_token_counts,
+        op3_best_fit_packing,
+        op4_decontamination,
+        op5_secret_scan,
+        op6_substring_dedup,
+        op7_nearest_neighbours,
+        op8_license_scan,
+        op9_line_dedup,
+        op10_ngram_jaccard_join,
+    )
+}
 
 ORACLE = {
     "op9_line_dedup": line_dedup.ORACLE,
