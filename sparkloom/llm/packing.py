@@ -109,7 +109,9 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, open_bins:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins: dict[int, OpenBins] = {}
         for batch in batches:
-            where = [bins.setdefault(p, OpenBins(capacity, open_bins)).put(n) + (p,) for p, n in zip(batch.column("packer").to_pylist(), batch.column("length").to_pylist())]
+            packer, length = batch.column("packer").to_pylist(), batch.column("length").to_pylist()
+            bins |= {p: OpenBins(capacity, open_bins) for p in set(packer) - bins.keys()}
+            where = [bins[p].put(n) + (p,) for p, n in zip(packer, length)]
             sequence = pa.array([(p << 40) + b for b, _, p in where], pa.int64())
             offset = pa.array([at for _, at, _ in where], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), sequence, offset], [f.split()[0] for f in PACKED.split(", ")])
