@@ -1 +1,6 @@
+"""All queries of the library, by name."""
 
+from sparkloom.plans import scoring  # noqa: F401
+from sparkloom.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
