@@ -8,6 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types
+
+#: Half-open spans of characters.
+SPANS = types.ArrayType(types.StructType([types.StructField("start", types.IntegerType()), types.StructField("end", types.IntegerType())]))
 
 
 def normalize(text: Column) -> Column:
@@ -25,7 +29,7 @@ def dois(text: Column) -> Column:
 
 
 # What a key may look like.
-KEY_VALUE = r"(?i)(api[_-]?key|token|secret|password)(\"?\s*[:=]\s*\"?)([^\s,}\"]+)"
+KEY_VALUE = r"(?i)(api[_-]?key|authorization|x-api-key|x-goog-api-key)(\s*[:=]\s*)([^\s,}\]]+)"
 BEARER = r"(?i)(bearer)(\s+)([^\s,}\]]+)"
 SECRET_KEYS = (r"\bsk-[A-Za-z0-9_-]{8,}\b", r"\bAIza[A-Za-z0-9_-]{20,}\b")
 
@@ -83,7 +87,7 @@ def years(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_union(expand, single)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition without soft hyphens; Spark has no function for it."""
     return texts.map(lambda t: unicodedata.normalize("NFKC", t).replace("­", ""), na_action="ignore")
@@ -110,7 +114,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(SPANS)
 def sentences(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda t: [{"start": a, "end": b} for a, b in sentence_spans(t)] if t else [])
@@ -135,7 +139,7 @@ def pack_chunks(spans: list[tuple[int, int]], cap: int, overlap: int) -> list[tu
 
 
 def chunker(cap: int = 6_000, overlap: int = 500):
-    @F.pandas_udf("array<struct<start:int,end:int>>")
+    @F.pandas_udf(SPANS)
     def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: [{"start": a, "end": b} for a, b in pack_chunks(sentence_spans(t), cap, overlap)] if t else [])

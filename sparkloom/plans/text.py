@@ -102,7 +102,7 @@ def normalized_doi(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.coalesce(T.normalize_doi(raw), F.lit("invalid")).alias("doi"))
 
 
-@query("""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(api[_-]?key|token|secret|password)("?\\s*[:=]\\s*"?)([^\\s,}"]+)', '\\1\\2[REDACTED]', 'gi'),
+@query("""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(api[_-]?key|authorization|x-api-key|x-goog-api-key)(\\s*[:=]\\s*)([^\\s,}\\]]+)', '\\1\\2[REDACTED]', 'gi'),
   '(bearer)(\\s+)([^\\s,}\\]]+)', '\\1\\2[REDACTED]', 'gi'), '\\bsk-[A-Za-z0-9_-]{8,}\\b', '[REDACTED]', 'g'), '\\bAIza[A-Za-z0-9_-]{20,}\\b', '[REDACTED]', 'g')) AS digest FROM documents""")
 def redacted_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("digest"))
