@@ -7,7 +7,8 @@ An automaton of all documents would grow with the corpus, so the reference is cu
 being broadcast: each window belongs to its minimizer (its `gram`-word sequence with the smallest hash, the leftmost of
 equal ones), equal windows to equal minimizers. Runs of windows with one minimizer are passages:
 
-1. tasks send (minimizer, document, place) of each passage, no text; minimizers that occur once vanish;
+1. tasks send (minimizer, document, place) of each passage, no text, and only one row for a minimizer that a block
+   of documents holds several times; minimizers that occur once vanish;
 2. the words of the passages left are read again and sent to the shard of their minimizer, equal passages of a block
    of documents as one row with all its places, so a passage that many documents hold stays small;
 3. a shard builds a suffix automaton of its distinct passages with counts, streams every passage for its matching
@@ -142,14 +143,25 @@ def spans_of(starts: list[int], length: int) -> list[tuple[int, int]]:
     return out
 
 
+#: A minimizer's only passage in a block; one of several; the word to other blocks that there are several.
+ONE, SEVERAL, WORD = 0, 1, 2
+
+
 def find_passages(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Passages with their minimizers. A minimizer that a block holds several times is known to repeat: its passages
+    need no judging, and one row tells the other blocks, so a hot one reaches its judge as a row per block."""
+
     def run(batches):
         cutter = Passages(length, gram)
         for ids, texts in text_blocks(batches, "doc_id", "text"):
             doc, start, n, grams = cutter.of([words_of(t) for t in texts])
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.asarray(ids, np.int64)[doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["m", "doc_id", "start", "n"])
+            m, at, count = np.unique(grams.view(np.int64), return_inverse=True, return_counts=True)
+            again = m[count > 1]
+            none = np.zeros(len(again), np.int64)
+            columns = (np.r_[m[at], again], np.r_[np.asarray(ids, np.int64)[doc], none], np.r_[start, none].astype(np.int32), np.r_[n, none].astype(np.int32), np.r_[np.where(count[at] > 1, SEVERAL, ONE), none + WORD].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["m", "doc_id", "start", "n", "kind"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "m long, doc_id long, start int, n int")
+    return docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).mapInArrow(run, "m long, doc_id long, start int, n int, kind int")
 
 
 def _columns(batches) -> list[np.ndarray]:
@@ -158,12 +170,15 @@ def _columns(batches) -> list[np.ndarray]:
 
 
 def _met_twice(batches):
+    """Passages whose minimizer another passage has."""
     if cols := _columns(batches):
-        order = np.argsort(cols[0], kind="stable")
-        m = cols[0][order]
-        same = m[1:] == m[:-1]
-        keep = order[np.r_[False, same] | np.r_[same, False]]
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["m", "doc_id", "start", "n"])
+        m, kind = cols[0], cols[4]
+        alone = np.flatnonzero(kind != SEVERAL)
+        order = alone[np.argsort(m[alone], kind="stable")]
+        same = m[order][1:] == m[order][:-1]
+        met = order[np.r_[False, same] | np.r_[same, False]]
+        keep = np.r_[np.flatnonzero(kind == SEVERAL), met[kind[met] == ONE]]
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols[:4]], ["m", "doc_id", "start", "n"])
 
 
 def _read_passages(length: int):
@@ -176,8 +191,8 @@ def _read_passages(length: int):
             for ids, texts in text_blocks([batch], "doc_id", "text"):
                 met: dict[tuple[int, bytes], tuple[list[int], list[int]]] = {}
                 for doc_id, text, passages in zip(ids, texts, lists[at : at + len(ids)]):
-                    words = words_of(text)
-                    for p in passages:
+                    words = words_of(text) if passages else []
+                    for p in passages or ():
                         docs, starts = met.setdefault((p["m"], b" ".join(words[p["start"] : p["start"] + p["n"] - 1 + length])), ([], []))
                         docs.append(doc_id)
                         starts.append(p["start"])
@@ -227,9 +242,12 @@ def _spans(rows):
 def repeated_spans(docs: DataFrame, length: int = 35, gram: int = 8) -> DataFrame:
     """doc_id, a, b: spans of words that repeated windows cover."""
     parts = shuffle_partitions(docs.sparkSession)
-    again = find_passages(docs, length, gram).repartition(parts, "m").mapInArrow(_met_twice, "m long, doc_id long, start int, n int")
+    judge = F.when(F.col("kind") == SEVERAL, F.xxhash64("m", "doc_id")).otherwise(F.col("m"))
+    again = find_passages(docs, length, gram).repartition(parts, judge).mapInArrow(_met_twice, "m long, doc_id long, start int, n int")
     by_doc = again.groupBy("doc_id").agg(F.collect_list(F.struct("m", "start", "n")).alias("passages"))
-    passages = docs.select("doc_id", "text").join(by_doc, "doc_id").mapInArrow(_read_passages(length), "m long, words binary, docs array<long>, starts array<int>")
+    # a left join like the last one, so that Spark shuffles the texts once for both
+    joined = docs.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", F.when(F.col("passages").isNotNull(), F.col("text")).alias("text"), "passages")
+    passages = joined.mapInArrow(_read_passages(length), "m long, words binary, docs array<long>, starts array<int>")
     return passages.repartition(parts, "m").mapInArrow(_judge_shard(length), "doc_id long, a int, b int")
 
 
