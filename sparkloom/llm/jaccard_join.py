@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -263,26 +264,43 @@ def search(sets: list[np.ndarray], percent: int) -> list[int]:
     return label
 
 
-def _search_groups(percent: int):
+def _search_groups(k: int, percent: int):
+    """Star edges of the linked sets of each group of texts."""
+
     def run(batches):
         cols = _all(batches)
         if not cols:
             return
+        unpack = zstandard.ZstdDecompressor().decompress
+        shingler = Shingler(k)
         group, doc = _numbers(cols["g"]), _numbers(cols["doc_id"])
-        sets = [np.frombuffer(b, np.uint64) for c in cols["shingles"] for b in c.to_pylist()]
+        packed = [b for c in cols["z"] for b in c.to_pylist()]
         order = np.lexsort((doc, group))
         cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]), len(order)]
         a, b = [], []
         for s, e in zip(cuts, cuts[1:]):
-            own = order[s:e]
-            for i, first in zip(own, search([sets[i] for i in own], percent)):
-                a.append(doc[i])
-                b.append(doc[own[first]])
-        yield pa.RecordBatch.from_arrays([pa.array(a, I64), pa.array(b, I64)], ["a", "b"])
+            sets: list[np.ndarray] = []
+            for at in range(s, e, 200):
+                texts = [unpack(packed[i]).decode("utf-8") for i in order[at : min(e, at + 200)]]
+                text, h = shingler.sets(texts)
+                ends = np.searchsorted(text, np.arange(len(texts) + 1))
+                sets += [h[i:j] for i, j in zip(ends, ends[1:])]
+            own = doc[order[s:e]]
+            a.append(own)
+            b.append(own[search(sets, percent)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return run
 
 
+def _packed_texts(batches):
+    """Texts compressed: they are shuffled twice."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack(t.encode("utf-8")) for t in texts], pa.binary())], ["doc_id", "z"])
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_docs: int = 10_000, most_frequent: int = 500_000, max_group_shingles: int = 10_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -306,20 +324,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_do
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("component", F.least("i", j), F.greatest("i", j)))
         members = members.select("doc_id", F.explode(pairs).alias("component"))
 
-    def as_sets(batches):
-        shingler = Shingler(k)
-        for batch in batches:
-            groups = batch.column("component").to_pylist()
-            at = 0
-            for ids, texts in text_blocks([batch], "doc_id", "text"):
-                text, h = shingler.sets(texts)
-                cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-                sets = [h[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(groups[at : at + len(ids)], I64), pa.array(ids, I64), pa.array(sets, pa.binary())], ["g", "doc_id", "shingles"])
-                at += len(ids)
-
-    sets = docs.select("doc_id", "text").join(members, "doc_id").mapInArrow(as_sets, "g long, doc_id long, shingles binary")
-    found = sets.repartition(parts, "g").mapInArrow(_search_groups(percent), "a long, b long")
+    first.drop()  # what was read of it has been written
+    packed = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInArrow(_packed_texts, "doc_id long, z binary")
+    grouped = packed.join(members.withColumnRenamed("component", "g"), "doc_id").select("g", "doc_id", "z")
+    found = grouped.repartition(parts, "g").mapInArrow(_search_groups(k, percent), "a long, b long")
     found = connected_components(found) if split else found.toDF("node", "component")
     label = found.groupBy("node").agg(F.min("component").alias("component"))
     return (
