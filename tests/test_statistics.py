@@ -1,0 +1,88 @@
+"""Published counts give the published figures; resampling draws as a plain loop does."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.operators import scoring as S
+from sparkloom.operators import stats
+
+# Outcome counts N0..N5 and rates (present, absent abstention, acc, f1_abs, r_acc) as published.
+PUBLISHED = {
+    "a": ((31, 314, 211, 36, 513, 59), (0.064171, 0.103147, 0.329214, 0.134396, 0.302505)),
+    "b": ((10, 256, 111, 207, 308, 272), (0.360627, 0.468966, 0.457539, 0.464957, 0.379259)),
+    "c": ((3, 197, 17, 365, 151, 431), (0.630397, 0.740550, 0.540913, 0.617921, 0.539726)),
+    "d": ((4, 300, 279, 0, 572, 9), (0.000000, 0.015491, 0.266379, 0.020713, 0.260643)),
+}
+P_VALUES = {"p1": 0.037298, "p2": 0.063397, "p3": 0.000100, "p4": 0.031198, "p5": 0.330783, "p6": 0.000150, "p7": 0.049448, "p8": 0.065247}
+HOLM = {"p1": 0.187191, "p2": 0.197790, "p3": 0.000800, "p4": 0.187191, "p5": 0.330783, "p6": 0.001050, "p7": 0.197790, "p8": 0.197790}
+
+
+def counted(spark):
+    return spark.createDataFrame([(k, *map(int, v[0])) for k, v in PUBLISHED.items()], "model string, n0 long, n1 long, n2 long, n3 long, n4 long, n5 long")
+
+
+def test_published_rates(spark):
+    names = ("present_abstention", "absent_abstention", "acc", "f1_abs", "r_acc")
+    for r in S.with_metrics(counted(spark), *names).collect():
+        assert tuple(r[n] for n in names) == PUBLISHED[r["model"]][1]
+
+
+def test_published_adjustment(spark):
+    exact = [(k, round(p * 20001) / 20001) for k, p in P_VALUES.items()]
+    rows = stats.holm(spark.createDataFrame(exact, "model string, p_value double"), ["model"]).collect()
+    assert {r["model"]: round(r["holm"], 6) for r in rows} == HOLM
+
+
+def test_null_ratios(spark):
+    row = S.with_metrics(spark.createDataFrame([(1, 0, 0, 0, 0, 0)], "n0 long, n1 long, n2 long, n3 long, n4 long, n5 long")).first()
+    assert all(row[n] is None for n in S.metrics())
+
+
+def trials(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(400):
+        present = rng.random() < 0.5
+        rows.append((i, i % 12, "m%d" % (i % 2), "gold_present" if present else "gold_absent", 1 + i % 3, rng.choice(["N1", "N2", "N3"] if present else ["N4", "N5"])))
+    return spark.createDataFrame(rows, "trial_id long, item_id long, model string, condition string, repeat long, outcome string")
+
+
+def test_bootstrap_draws(spark):
+    t = trials(spark)
+    got = {r["model"]: (r["low"], r["high"]) for r in stats.bootstrap(t, "model", ["acc"], resamples=200).collect()}
+    rows = t.collect()
+    for model in ("m0", "m1"):
+        own = [r for r in rows if r["model"] == model]
+        items = sorted({r["item_id"] for r in own})
+        rng, values = random.Random(7), []
+        for _ in range(200):
+            drawn = [rng.choice(range(len(items))) for _ in items]
+            picked = [r for k in drawn for r in own if r["item_id"] == items[k]]
+            values.append(sum(r["outcome"] in ("N1", "N5") for r in picked) / len(picked))
+        values.sort()
+        assert got[model] == pytest.approx((values[int(0.025 * 199)], values[int((1 - 0.025) * 199)]), abs=1e-12)
+
+
+def test_sign_flips():
+    d = [0.25, -0.5, 0.125, 0.75, 0.0, 0.3, -0.1]
+    rng, extreme = random.Random(7), 0
+    least = abs(sum(d) / len(d)) - 1e-12
+    for _ in range(3000):
+        total = 0.0
+        for x in d:
+            total += x if rng.random() < 0.5 else -x
+        extreme += abs(total / len(d)) >= least
+    assert stats.sign_flip_p(d, 3000) == (extreme + 1) / 3001
+
+
+def test_auc_with_ties(spark):
+    rows = [(1.0, 1), (1.0, 0), (2.0, 1), (0.0, 0), (0.0, 1)]
+    got = stats.auc(spark.createDataFrame(rows, "s double, y int"), "s", F.col("y") == 1).first()
+    pairs = [(a, b) for a, y in rows for b, z in rows if y == 1 and z == 0]
+    assert got["auc"] == round(sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs), 6)
+
+
+def test_baseline():
+    assert S.uniform_baseline(5, 5) == {"n1": 0.2, "n2": 0.6, "n3": 0.2, "n4": 0.8, "n5": 0.2}
