@@ -7,7 +7,7 @@ shuffles only hashes; texts move for chunks that repeat.
 
 A hot chunk is counted in each task before any shuffle, and its copies meet its text in a join that adaptive execution
 splits. Null and empty texts stay as they are (a null has no lines). doc_id identifies a document; rows that repeat one
-with its text are cut alike. Lines end at a line feed. Other columns pass through.
+with its text are cut alike, and rows without one pass through uncompared. Lines end at a line feed. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -40,27 +40,31 @@ def chunk_text(j: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """docs with text less its repeated chunks, and n_lines and n_removed."""
-    cut = with_chunks(docs.select("doc_id", "text"), divisor)
+    known = docs.filter(F.col("doc_id").isNotNull())
+    texts = known.select("doc_id", "text")
+    cut = with_chunks(texts, divisor)
     places = F.filter(F.sequence(F.lit(0), F.size("_ends") - 1), lambda j: F.get("_ends", j) - chunk_start(j) >= 1)
     hashed = F.transform(places, lambda j: F.struct(j.alias("j"), F.xxhash64(chunk_text(j)).alias("h")))
     chunks = cut.filter(F.size("_ends") > 0).select("doc_id", F.explode(hashed).alias("c")).select("doc_id", "c.j", "c.h")
 
-    first = chunks.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "j")).alias("f")).filter("k > 1").select("h", F.col("f.doc_id").alias("fd"), F.col("f.j").alias("fj"))
-    kept = first.groupBy("fd").agg(F.collect_list(F.struct("h", "fj")).alias("own"))  # as many as a document has chunks
-    kept = with_chunks(docs.select(F.col("doc_id").alias("fd"), "text").join(kept, "fd"), divisor)
-    kept = kept.select("fd", F.explode(F.transform("own", lambda o: F.struct(o["h"].alias("h"), o["fj"].alias("fj"), chunk_text(o["fj"]).alias("kept")))).alias("o")).select("fd", "o.*").dropDuplicates(["h"])
+    first = chunks.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "j")).alias("f")).filter("k > 1").select("h", F.col("f.doc_id").alias("doc_id"), F.col("f.j").alias("fj"))
+    own = first.groupBy("doc_id").agg(F.collect_list(F.struct("h", "fj")).alias("own"))  # as many as a document has chunks
+    # both joins of the texts are by doc_id, so one shuffle of them serves both
+    kept = with_chunks(texts.join(own, "doc_id"), divisor)
+    kept = kept.select(F.col("doc_id").alias("fd"), F.explode(F.transform("own", lambda o: F.struct(o["h"].alias("h"), o["fj"].alias("fj"), chunk_text(o["fj"]).alias("kept")))).alias("o")).select("fd", "o.*").dropDuplicates(["h"])
 
     copies = chunks.join(kept, "h").filter((F.col("doc_id") != F.col("fd")) | (F.col("j") != F.col("fj"))).groupBy("doc_id").agg(F.collect_list(F.struct("j", "kept")).alias("_copies"))
 
-    out = with_chunks(docs.join(copies, "doc_id", "left"), divisor)
+    out = with_chunks(known.join(copies, "doc_id", "left"), divisor)
     same = F.filter("_copies", lambda c: c["kept"] == chunk_text(c["j"]))
     out = out.withColumn("_gone", F.when(F.col("_copies").isNotNull(), F.transform(same, lambda c: c["j"])))
     left = F.filter(F.sequence(F.lit(0), F.size("_ends") - 1), lambda j: ~F.array_contains("_gone", j))
     text = F.when(F.size("_gone") > 0, F.array_join(F.transform(left, chunk_text), "\n")).otherwise(F.col("text"))
     removed = F.aggregate("_gone", F.lit(0).cast("long"), lambda a, j: a + F.get("_ends", j) - chunk_start(j) + 1)
-    return out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"), "n_removed": F.coalesce(removed, F.lit(0).cast("long")), "text": text}).select(
-        *docs.columns, "n_lines", "n_removed"
-    )
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    done = out.withColumns({"n_lines": n_lines, "n_removed": F.coalesce(removed, F.lit(0).cast("long")), "text": text}).select(*docs.columns, "n_lines", "n_removed")
+    apart = docs.filter(F.col("doc_id").isNull()).withColumn("_lines", F.split("text", "\n", -1)).withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long")})
+    return done.unionByName(apart.select(*docs.columns, "n_lines", "n_removed"))
 
 
 ORACLE = r"""
