@@ -70,7 +70,7 @@ def quality_band(text: Column, sample: int = 16_000) -> Column:
 
 def ranked(df: DataFrame, order: list[Column], top: int, position: str = "rank") -> DataFrame:
     """The first rows in a total order with their rank; only these are ranked, so no window holds all rows."""
-    return df.orderBy(*order).limit(top).withColumn(position, F.row_number().over(Window.orderBy(*order)))
+    return df.orderBy(*order).limit(top).withColumn(position, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def geography(latitudes: Column, boundary: float = 66.56) -> Column:

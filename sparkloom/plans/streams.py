@@ -70,4 +70,4 @@ def top_sources_per_language(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     n = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("text_n"))
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("text_n"), "source"))).filter("rank <= 3")
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("text_n"), "source")).cast("long")).filter("rank <= 3")
