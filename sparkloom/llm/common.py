@@ -41,6 +41,13 @@ class Scratch:
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Sends texts to Python in batches of this many rows at most, as batches count rows and texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -63,7 +70,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, m
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered for at most max_words words at a time."""
 
-    def __init__(self, max_words: int = 400_000):
+    def __init__(self, max_words: int = 150_000):
         self.max_words = max_words
 
     def __missing__(self, word: bytes) -> int:

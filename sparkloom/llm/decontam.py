@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import mix, text_blocks
+from sparkloom.llm.common import mix, small_batches, text_blocks
 
 SCHEMA = "doc_id long, item_id long, start_word int, end_word int, edits int, item_words int"
 WORD = re.compile(r"\w+")
@@ -183,6 +183,7 @@ class Detector:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, repetitions: int = 16, samples: int = 4, min_words: int = 8, seed: int = 7, max_block_words: int = 200_000) -> DataFrame:
     """One row for each passage of docs (doc_id, text) that is an item of benchmark (item_id, text), or nearly."""
+    small_batches(docs.sparkSession)
     sized = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).withColumn("n", F.size(F.split("text", r"\s+")))
     total = sized.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, math.ceil(total / max_block_words))

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import RollingHash, Scratch, WordHashes, mix, shuffle_partitions, text_blocks
+from sparkloom.llm.common import RollingHash, Scratch, WordHashes, mix, shuffle_partitions, small_batches, text_blocks
 from sparkloom.llm.components import connected_components
 
 CLASSES = 64
@@ -303,6 +303,7 @@ def _packed_texts(batches):
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_docs: int = 10_000, most_frequent: int = 500_000, max_group_shingles: int = 10_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     first = Scratch(short_lists(docs, k, percent, frequent_shingles(docs, k, sample_docs, most_frequent)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import text_blocks
+from sparkloom.llm.common import small_batches, text_blocks
 from sparkloom.llm.token_count import Kept
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -154,6 +154,7 @@ class Predictor:
 
 def predict(docs: DataFrame, model: LanguageModel, sharpness: float = 8.0) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +172,7 @@ def predict(docs: DataFrame, model: LanguageModel, sharpness: float = 8.0) -> Da
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float, sharpness: float = 8.0) -> DataFrame:
     """The rows of docs, all their columns, whose text has a language with a score of min_score at least. No shuffle."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.common import text_blocks
+from sparkloom.llm.common import small_batches, text_blocks
 
 SCHEMA = "doc_id long, start long, end long, license string, saved double, n_missing int, n_added int, differences string"
 
@@ -149,6 +149,7 @@ class Matcher:
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: float = 0.8, ranked: int = 4, max_gap: int = 3) -> DataFrame:
     """One row for each license stated in docs (doc_id, text): its block, the share saved, the wording differences."""
+    small_batches(docs.sparkSession)
     templates = templates or TEMPLATES
 
     def run(batches):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, text_blocks
+from sparkloom.llm.common import Scratch, small_batches, text_blocks
 from sparkloom.llm.token_count import Pieces, byte_symbols, split_pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -103,6 +103,7 @@ class OpenBins:
 
 def pack(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, open_bins: int = 4096, pieces_per_packer: int = 100_000) -> DataFrame:
     """All pieces with their sequence and their place in it."""
+    small_batches(docs.sparkSession)
     pieces = Scratch(encode_pieces(docs, vocabulary_path, capacity)).read()
     packers = 1 + pieces.filter(F.col("length") < capacity).count() // pieces_per_packer
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.common import text_blocks
+from sparkloom.llm.common import small_batches, text_blocks
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long"
 
@@ -90,6 +90,8 @@ def join_spans(spans: list[tuple[int, int, str]]) -> str:
 def scan(docs: DataFrame, scope_chars: int = 300) -> DataFrame:
     """Findings of each row of docs (doc_id, text): counts and a digest of the base ones, spans of all."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_blocks(batches, "doc_id", "text"):
             rows = []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import RollingHash, WordHashes, mix, shuffle_partitions, text_blocks
+from sparkloom.llm.common import RollingHash, WordHashes, mix, shuffle_partitions, small_batches, text_blocks
 
 I64, I32 = pa.int64(), pa.int32()
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -241,6 +241,7 @@ def _spans(rows):
 
 def repeated_spans(docs: DataFrame, length: int = 35, gram: int = 8) -> DataFrame:
     """doc_id, a, b: spans of words that repeated windows cover."""
+    small_batches(docs.sparkSession)
     parts = shuffle_partitions(docs.sparkSession)
     judge = F.when(F.col("kind") == SEVERAL, F.xxhash64("m", "doc_id")).otherwise(F.col("m"))
     again = find_passages(docs, length, gram).repartition(parts, judge).mapInArrow(_met_twice, "m long, doc_id long, start int, n int")

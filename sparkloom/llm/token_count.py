@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.common import text_blocks
+from sparkloom.llm.common import small_batches, text_blocks
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -176,6 +176,8 @@ def split_pieces(text: str | None) -> list[str]:
 def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row of docs (doc_id, text)."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = counter(vocabulary_path)
         for ids, texts in text_blocks(batches, "doc_id", "text"):
