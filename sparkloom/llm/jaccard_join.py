@@ -6,8 +6,8 @@ rarest at least one. The work is divided as DivideSkip divides it, over the clus
 
 * the short lists: every set emits its n - T + 1 rarest shingles (rarest by counts over a bounded sample, then by
   hash; any one order of all shingles keeps the join exact), and shingles that only one set emits vanish;
-* sets that meet on a short list stay together only if their counts of shingles in 64 classes differ by no more than
-  linked sets' can; per list a spanning forest of such meetings is kept, never all pairs, and the forest's connected
+* sets that meet on a short list stay together only if their counts of shingles by class differ by no more than linked
+  sets' can; per list a spanning forest of such meetings is kept, never all pairs, and the forest's connected
   components hold all links;
 * in each component the exact search runs set by set: short lists are merged, long ones probed by binary search, and
   partners that reach the overlap join the component; what has joined is searched for no more.
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import RollingHash, Scratch, WordHashes, mix, shuffle_partitions, small_batches, text_blocks
 from sparkloom.llm.components import connected_components
 
-CLASSES = 64
+#: Classes of shingles that are counted for each set: more for larger sets, so that chance can't make two look alike.
+LEAST_CLASSES, MOST_CLASSES = 64, 1024
 DOC, SHORT = 0, 1
 I64 = pa.int64()
 
@@ -125,8 +126,12 @@ def short_lists(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 return (sums[first + n] - sums[first]).view(np.int64)
 
             x, y = total(mix(h ^ np.uint64(0x5851F42D4C957F2D))), total(mix(h ^ np.uint64(0x14057B7EF767814F)))
-            classes = np.minimum(np.bincount(text * CLASSES + (h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=m * CLASSES), 255).astype(np.uint8).reshape(m, CLASSES)
-            rows = [pa.array(np.zeros(m, np.int32)), pa.array(ids, I64), pa.array(n.astype(np.int32)), pa.array(x), pa.array(y), pa.array([c.tobytes() for c in classes], pa.binary())]
+            k_of = n_classes(n)
+            ends = np.cumsum(k_of)
+            cell = (ends - k_of)[text] + (h & (k_of[text] - 1).astype(np.uint64)).astype(np.int64)
+            counted = np.minimum(np.bincount(cell, minlength=int(k_of.sum())), 255).astype(np.uint8).tobytes()
+            classes = [counted[b - a : b] for a, b in zip(k_of.tolist(), ends.tolist())]
+            rows = [pa.array(np.zeros(m, np.int32)), pa.array(ids, I64), pa.array(n.astype(np.int32)), pa.array(x), pa.array(y), pa.array(classes, pa.binary())]
             yield pa.RecordBatch.from_arrays(rows, list(names))
             new = np.zeros(m, bool)
             for i, key in enumerate(zip(x.tolist(), y.tolist())):
@@ -150,17 +155,58 @@ def short_lists(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def n_classes(n: np.ndarray) -> np.ndarray:
+    """A power of two, about a tenth of the set's size."""
+    doublings = np.ceil(np.log2(np.maximum(n, 1) / (10 * LEAST_CLASSES)))
+    return (LEAST_CLASSES * 2 ** np.maximum(doublings, 0)).clip(max=MOST_CLASSES).astype(np.int64)
+
+
 def _shared_only(batches):
+    """Short lists of two sets or more; of a task's lists with the same sets one is enough."""
     cols = _all(batches)
     if cols:
         x, doc = _numbers(cols["x"]), _numbers(cols["doc_id"])
         order = np.argsort(x, kind="stable")
         x, doc = x[order], doc[order]
-        same = x[1:] == x[:-1]
-        keep = np.r_[False, same] | np.r_[same, False]
+        start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        size = np.diff(np.r_[start, len(x)])
+        members = np.add.reduceat(mix(doc.view(np.uint64)), start)
+        _, first = np.unique(np.stack([members, size.astype(np.uint64)]), axis=1, return_index=True)
+        chosen = np.zeros(len(start), bool)
+        chosen[first] = True
+        keep = np.repeat(chosen & (size > 1), size)
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(doc[keep])], ["x", "doc_id"])
 
 
+class ClassCounts:
+    """Counts of shingles by class, of sets that may have different numbers of classes."""
+
+    def __init__(self, counts: list[bytes]):
+        self.k = np.fromiter(map(len, counts), np.int64, len(counts))
+        self.at = np.cumsum(self.k) - self.k
+        self.flat = np.frombuffer(b"".join(counts), np.uint8)
+
+    def folded(self, rows: np.ndarray, k: int) -> np.ndarray:
+        """Counts of these sets by k classes; 255 stands for more, as it does in each set."""
+        out = np.empty((len(rows), k), np.int32)
+        own = self.k[rows]
+        for own_k in np.unique(own):
+            which = np.flatnonzero(own == own_k)
+            cells = self.flat[self.at[rows[which]][:, None] + np.arange(own_k)]
+            out[which] = np.minimum(cells.reshape(-1, own_k // k, k).sum(axis=1, dtype=np.int32), 255)
+        return out
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many shingles the sets i and j differ in, at least."""
+        gap, least = np.zeros(len(i), np.int64), np.minimum(self.k[i], self.k[j])
+        for k in np.unique(least):
+            which = np.flatnonzero(least == k)
+            for s in range(0, len(which), 1_000_000 // int(k)):
+                part = which[s : s + 1_000_000 // int(k)]
+                gap[part] = np.abs(self.folded(i[part], int(k)) - self.folded(j[part], int(k))).sum(axis=1)
+        return gap
+
+
 def compatible(n, m, difference, percent: int):
     """Whether sets of n and m shingles that differ in so many, at least, can link."""
     return difference * (100 + percent) <= (n + m) * (100 - percent)
@@ -174,16 +220,21 @@ def _forest(percent: int):
         if not cols:
             return
         x, doc, n = _numbers(cols["x"]), _numbers(cols["rep"]), _numbers(cols["n"]).astype(np.int64)
-        vec = np.frombuffer(b"".join(b for c in cols["classes"] for b in c.to_pylist()), np.uint8).reshape(-1, CLASSES)
         order = np.lexsort((doc, x))
-        x, doc, n, vec = x[order], doc[order], n[order], vec[order]
-        keep = np.r_[True, (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])]
-        x, doc, n, vec = x[keep], doc[keep], n[keep], vec[keep]
+        keep = order[np.r_[True, (np.diff(x[order]) != 0) | (np.diff(doc[order]) != 0)]]
+        x, doc, n = x[keep], doc[keep], n[keep]
+        every = [b for c in cols["classes"] for b in c.to_pylist()]
+        counts = ClassCounts([every[i] for i in keep])
+
+        def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = compatible(n[i], n[j], np.abs(n[i] - n[j]), percent)
+            ok[ok] = compatible(n[i[ok]], n[j[ok]], counts.differ(i[ok], j[ok]), percent)
+            return ok
+
         cuts = np.r_[np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), len(x)]
         size = np.diff(cuts)
         two = cuts[:-1][size == 2]
-        gap = np.abs(vec[two].astype(np.int16) - vec[two + 1]).sum(axis=1)
-        two = two[compatible(n[two], n[two + 1], gap, percent)]
+        two = two[fit(two, two + 1)]
         a, b = [doc[two]], [doc[two + 1]]
         for s, m in zip(cuts[:-1][size > 2], size[size > 2]):
             left = np.arange(s, s + m)
@@ -191,8 +242,7 @@ def _forest(percent: int):
                 todo, left = [left[0]], left[1:]
                 while todo and len(left):
                     q = todo.pop()
-                    gap = np.abs(vec[left].astype(np.int16) - vec[q]).sum(axis=1)
-                    fits = compatible(n[left], n[q], gap, percent)
+                    fits = fit(np.full(len(left), q), left)
                     found, left = left[fits], left[~fits]
                     todo += found.tolist()
                     a.append(np.full(len(found), doc[q]))
@@ -301,7 +351,7 @@ def _packed_texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack(t.encode("utf-8")) for t in texts], pa.binary())], ["doc_id", "z"])
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_docs: int = 10_000, most_frequent: int = 500_000, max_group_shingles: int = 10_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_docs: int = 10_000, most_frequent: int = 500_000, max_group_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -316,7 +366,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_do
     near = connected_components(met.mapInArrow(_forest(percent), "a long, b long"))
 
     reps = classed.read().filter("doc_id = rep").select("doc_id", "n").dropDuplicates(["doc_id"]).join(near.withColumnRenamed("node", "doc_id"), "doc_id")
-    blocks = reps.groupBy("component").agg(F.sum("n").alias("all_n")).withColumn("blocks", F.ceil(F.col("all_n") / max_group_shingles)).filter("blocks > 1").select("component", "blocks")
+    blocks = reps.groupBy("component").agg(F.sum("n").alias("all_n")).withColumn("blocks", F.ceil(2 * F.col("all_n") / max_group_shingles)).filter("blocks > 2").select("component", "blocks")
     split = not blocks.isEmpty()
     members = reps.select("doc_id", "component")
     if split:  # every pair of blocks of a large component meets in a group of its own

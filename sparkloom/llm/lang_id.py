@@ -136,7 +136,8 @@ class Predictor:
         self.model, self.sharpness, self.memo = model, sharpness, WordScores(model)
 
     def of(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [WORD.findall(t.lower()) if t and self.model.languages else [] for t in texts]
+        # digits such as superscripts pass for letters in the pattern, so a text must also hold a letter
+        split = [WORD.findall(t.lower()) if t and self.model.languages and any(map(str.isalpha, t)) else [] for t in texts]
         self.memo.learn(set().union(*split))
         preds, scores = [], []
         for words in split:

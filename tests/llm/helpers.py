@@ -24,4 +24,4 @@ def words(rng: random.Random, n: int, vocabulary: int = 400) -> list[str]:
 
 
 #: Nulls, emptiness, blanks, one word, odd letters, special strings, long words, a repeated row's text.
-ODD = [None, "", " ", "\n\n", "word", "É ǅ ß ΑΣ", "<|endoftext|> a<|startoftext|>b", "x" * 3000, "word", "a\x1cb\tc\x0bd", "😀 👍🏽 ﬁ"]
+ODD = [None, "", " ", "\n\n", "word", "É ǅ ß ΑΣ", "<|endoftext|> a<|startoftext|>b", "x" * 3000, "word", "a\x1cb\tc\x0bd", "😀 👍🏽 ﬁ", "² Ⅷ 12"]

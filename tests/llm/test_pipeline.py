@@ -42,7 +42,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for r in pipeline.run(spark, str(tmp_path)).collect():
         got[r["doc_id"]] += r["length"]
 
-    known = [i for i, t in enumerate(texts) if t and re.search(r"[^\W\d_]", t)]
+    known = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
     cut = brute_lines([texts[i] for i in known])
     left = {known[k]: t for k, (_, gone, t) in cut.items() if not gone or t.strip()}
     ids = sorted(left)
