@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import Scratch
+
 #: One line in so many ends a chunk.
 DIVISOR = 3
 
@@ -45,13 +47,15 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     cut = with_chunks(texts, divisor)
     places = F.filter(F.sequence(F.lit(0), F.size("_ends") - 1), lambda j: F.get("_ends", j) - chunk_start(j) >= 1)
     hashed = F.transform(places, lambda j: F.struct(j.alias("j"), F.xxhash64(chunk_text(j)).alias("h")))
-    chunks = cut.filter(F.size("_ends") > 0).select("doc_id", F.explode(hashed).alias("c")).select("doc_id", "c.j", "c.h")
+    # explode_outer, as Spark would check before an explode that there are chunks, and cut the text once more for that
+    found = cut.select("doc_id", F.explode_outer(hashed).alias("c")).filter(F.col("c").isNotNull()).select("doc_id", "c.j", "c.h")
+    chunks = Scratch(found).read()  # read twice
 
     first = chunks.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "j")).alias("f")).filter("k > 1").select("h", F.col("f.doc_id").alias("doc_id"), F.col("f.j").alias("fj"))
     own = first.groupBy("doc_id").agg(F.collect_list(F.struct("h", "fj")).alias("own"))  # as many as a document has chunks
     # both joins of the texts are by doc_id, so one shuffle of them serves both
     kept = with_chunks(texts.join(own, "doc_id"), divisor)
-    kept = kept.select(F.col("doc_id").alias("fd"), F.explode(F.transform("own", lambda o: F.struct(o["h"].alias("h"), o["fj"].alias("fj"), chunk_text(o["fj"]).alias("kept")))).alias("o")).select("fd", "o.*").dropDuplicates(["h"])
+    kept = kept.select(F.col("doc_id").alias("fd"), F.explode_outer(F.transform("own", lambda o: F.struct(o["h"].alias("h"), o["fj"].alias("fj"), chunk_text(o["fj"]).alias("kept")))).alias("o")).select("fd", "o.*").dropDuplicates(["h"])
 
     copies = chunks.join(kept, "h").filter((F.col("doc_id") != F.col("fd")) | (F.col("j") != F.col("fj"))).groupBy("doc_id").agg(F.collect_list(F.struct("j", "kept")).alias("_copies"))
 
