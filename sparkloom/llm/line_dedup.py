@@ -66,7 +66,10 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     text = F.when(F.size("_gone") > 0, F.array_join(F.transform(left, chunk_text), "\n")).otherwise(F.col("text"))
     removed = F.aggregate("_gone", F.lit(0).cast("long"), lambda a, j: a + F.get("_ends", j) - chunk_start(j) + 1)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    done = out.withColumns({"n_lines": n_lines, "n_removed": F.coalesce(removed, F.lit(0).cast("long")), "text": text}).select(*docs.columns, "n_lines", "n_removed")
+    # a row of its own for each document keeps filters of callers from being pushed into these expressions and computed with them
+    result = F.struct(text.alias("text"), n_lines.alias("n_lines"), F.coalesce(removed, F.lit(0).cast("long")).alias("n_removed"))
+    done = out.select(*[c for c in docs.columns if c != "text"], F.explode_outer(F.array(result)).alias("_r"))
+    done = done.select(*[F.col("_r.text") if c == "text" else F.col(c) for c in docs.columns], "_r.n_lines", "_r.n_removed")
     apart = docs.filter(F.col("doc_id").isNull()).withColumn("_lines", F.split("text", "\n", -1)).withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long")})
     return done.unionByName(apart.select(*docs.columns, "n_lines", "n_removed"))
 
