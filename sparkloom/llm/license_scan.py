@@ -1,20 +1,23 @@
 """License scan by conditional compression.
 
-Blocks of a text that hold a word of licensing (their lines, with up to max_gap lines between two of them) are
-compressed plain and with each template as a raw zstandard dictionary. The templates that save most, as a share of the
-plain size, are the candidates; the best whose wording the block holds almost whole is reported with the exact
-differences: words of the template that the block lacks, words in between that it adds.
-
-A template fits if the block has at least `similarity` of its words in order. Null and empty texts have no blocks;
-equal savings go to the name that comes first; a block may state several licenses in different places, each reported
-once with its words. Lines are taken whole, so long ones are read whole too. Other columns are not read.
+Blocks of a text that hold a word of licensing (their lines, with up to max_gap lines between two of them) are searched
+for every template: a run of words states it if it has at least `similarity` of the template's words in order (longest
+common subsequence, bit-parallel) and is at most 1 / similarity times as long. Of statements that overlap, that stays
+whose words shrink by most bytes when compressed with their template as a raw zstandard dictionary instead of plain; it
+is reported with the exact differences: words of the template that the block lacks, words in between that it adds.
+The share saved is that of the block, or of the words around the statement in a block of more than 240 words.
+
+Null and empty texts have no blocks; equal savings go to the name that comes first; each statement that overlaps no
+better one is reported, so a block may state several licenses, or one in several places. Lines are taken whole, so
+long ones are read whole too. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,93 +70,87 @@ def blocks_of(text: str, max_gap: int) -> list[tuple[int, int]]:
 
 
 class Matcher:
-    def __init__(self, templates: dict[str, str], similarity: float, ranked: int):
+    def __init__(self, templates: dict[str, str], similarity: float):
         import zstandard as z
 
         self.plain = z.ZstdCompressor(level=3)
-        self.similarity, self.ranked = similarity, ranked
+        self.similarity = similarity
         self.templates = []
         for name, text in sorted(templates.items()):
             folded = " ".join(words_of(text))
-            given = z.ZstdCompressionDict(folded.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, folded.split(), z.ZstdCompressor(level=3, dict_data=given)))
+            if folded:
+                given = z.ZstdCompressionDict(folded.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+                self.templates.append((name, folded.split(), z.ZstdCompressor(level=3, dict_data=given)))
 
-    def rank(self, words: list[str]) -> list[tuple[float, str, list[str]]]:
-        """(share saved, name, template) of the best templates."""
+    def saved(self, words: list[str], compressor) -> tuple[int, float]:
+        """Bytes that a template saves of the words, and their share."""
         data = " ".join(words).encode()
         plain = len(self.plain.compress(data))
-        saved = [(1 - len(c.compress(data)) / plain, name, t) for name, t, c in self.templates]
-        return sorted(saved, key=lambda x: (-x[0], x[1]))[: self.ranked]
-
-    def confirm(self, words: list[str], template: list[str]) -> tuple[int, int, list[str], int, int] | None:
-        """(first word, end, differences, missing, added) if the words hold the template, or nearly."""
-        parts = [p for p in SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks() if p.size]
-        if sum(p.size for p in parts) < self.similarity * len(template):
-            return None
-        start, end = parts[0].a, parts[-1].a + parts[-1].size
-        if end - start > len(template) / self.similarity:
-            return None
+        left = len(compressor.compress(data))
+        return plain - left, 1 - left / plain
+
+    def places(self, words: list[str], template: list[str]) -> list[tuple[int, int]]:
+        """Runs of words that hold the template, or nearly; of overlapping ones that with the fewest differences."""
+        m, masks = len(template), {}
+        for i, w in enumerate(template):
+            masks[w] = masks.get(w, 0) | 1 << i
+        need, longest, full = math.ceil(self.similarity * m), int(m / self.similarity), (1 << m) - 1
+        held = [0, *accumulate(w in masks for w in words)]
+        if held[-1] < need:
+            return []
+        fits = []
+        for s, w in enumerate(words):
+            stop = min(len(words), s + longest)
+            if w not in masks or held[stop] - held[s] < need:
+                continue
+            rows, best = full, None  # a zero bit for each word of the longest common subsequence
+            for e in range(s, stop):
+                both = rows & masks.get(words[e], 0)
+                rows = (rows + both | rows - both) & full
+                common = m - rows.bit_count()
+                if common >= need and (best is None or m + e + 1 - s - 2 * common < best[0]):
+                    best = m + e + 1 - s - 2 * common, s, e + 1
+            if best:
+                fits.append(best)
+        taken: list[tuple[int, int]] = []
+        for _, s, e in sorted(fits):
+            if all(e <= x or y <= s for x, y in taken):
+                taken.append((s, e))
+        return taken
+
+    @staticmethod
+    def differences(words: list[str], template: list[str]) -> tuple[list[str], int, int]:
+        """(differences, missing, added)."""
         diff, missing, added = [], 0, 0
-        for kind, a, b, c, d in SequenceMatcher(None, words[start:end], template, autojunk=False).get_opcodes():
+        for kind, a, b, c, d in SequenceMatcher(None, words, template, autojunk=False).get_opcodes():
             if kind != "equal":
-                diff.append(f"-{' '.join(template[c:d])}+{' '.join(words[start + a : start + b])}")
+                diff.append(f"-{' '.join(template[c:d])}+{' '.join(words[a:b])}")
                 missing, added = missing + d - c, added + b - a
-        return start, end, diff, missing, added
-
-    def near(self, words: list[str], template: list[str]) -> Iterator[tuple[int, int]]:
-        """Windows of the words around the rarest words of the template, so a match is not drawn across a long block."""
-        reach = int(len(template) / self.similarity) + 1
-        if len(words) <= 2 * reach:
-            yield 0, len(words)
-            return
-        count = {w: 0 for w in template}
-        for w in words:
-            if w in count:
-                count[w] += 1
-        rare = min((w for w in template if count[w]), key=lambda w: (count[w], w), default=None)
-        last = -1
-        for i, w in enumerate(words):
-            if w == rare and i > last:
-                yield max(0, i - reach), min(len(words), i + reach)
-                last = i
-
-    def find(self, text: str) -> list[tuple]:
+        return diff, missing, added
+
+    def find(self, text: str, reach: int = 60) -> list[tuple]:
         """(name, share saved, first word, end, differences, missing, added) of each license stated in the text."""
         words = words_of(text)
+        fits = []
+        for name, template, compressor in self.templates:
+            for s, e in self.places(words, template):
+                fits.append((-self.saved(words[s:e], compressor)[0], name, s, e, template, compressor))
         found: list[tuple] = []
-        if not words:
-            return found
-        # a long block hides what a short template saves: ranked as a whole and by the windows around licensing words
-        for a, b in self._windows(words):
-            part = words[a:b]
-            for saved, name, template in self.rank(part):
-                if saved <= 0:
-                    break
-                fits = [(s, x) for s, e in self.near(part, template) if (x := self.confirm(part[s:e], template))]
-                best = min(((x[0] + s, x[1] + s, *x[2:]) for s, x in fits), key=lambda x: (x[3] + x[4], x[0]), default=None)
-                if best and not any(best[0] + a < f[3] and f[2] < best[1] + a for f in found):
-                    found.append((name, saved, best[0] + a, best[1] + a, *best[2:]))
+        for _, name, s, e, template, compressor in sorted(fits, key=lambda x: x[:4]):
+            if not any(s < f[3] and f[2] < e for f in found):
+                # a long block hides what a short template saves
+                around = words if len(words) <= 4 * reach else words[max(0, s - reach) : s + 3 * reach]
+                found.append((name, self.saved(around, compressor)[1], s, e, *self.differences(words[s:e], template)))
         return found
 
-    @staticmethod
-    def _windows(words: list[str], reach: int = 60) -> Iterator[tuple[int, int]]:
-        if len(words) <= 4 * reach:
-            yield 0, len(words)
-            return
-        last = -1
-        for i, w in enumerate(words):
-            if i > last and CUE.search(w):
-                yield max(0, i - reach), min(len(words), i + 3 * reach)
-                last = i + reach
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: float = 0.8, ranked: int = 4, max_gap: int = 3) -> DataFrame:
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: float = 0.8, max_gap: int = 3) -> DataFrame:
     """One row for each license stated in docs (doc_id, text): its block, the share saved, the wording differences."""
     small_batches(docs.sparkSession)
     templates = templates or TEMPLATES
 
     def run(batches):
-        matcher = Matcher(templates, similarity, ranked)
+        matcher = Matcher(templates, similarity)
         kinds = (*(pa.int64(),) * 3, pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
         for ids, texts in text_blocks(batches, "doc_id", "text"):
             rows = []

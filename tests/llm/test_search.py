@@ -144,3 +144,12 @@ def test_licenses(spark):
     assert sorted(r["license"] for r in got[4]) == ["Apache-2.0 statement", "GPL-3.0 statement"]
     assert [r["license"] for r in got[5]] == ["CC-BY-NC-4.0 statement"]
     assert license_scan.scan(docs_frame(spark, [])).count() == 0
+
+
+def test_short_license_statements_beside_full_texts(spark):
+    t = license_scan.TEMPLATES
+    pairs = [(full, short) for full in ("MIT", "Apache-2.0", "BSD", "GPL-3.0") for short in t if short.endswith("statement")]
+    got = {i: set() for i in range(len(pairs))}
+    for r in license_scan.scan(docs_frame(spark, [f"{t[full]}\n{t[short]}" for full, short in pairs])).collect():
+        got[r["doc_id"]].add(r["license"])
+    assert [p for i, p in enumerate(pairs) if not got[i] >= set(p)] == []
