@@ -153,3 +153,15 @@ def test_short_license_statements_beside_full_texts(spark):
     for r in license_scan.scan(docs_frame(spark, [f"{t[full]}\n{t[short]}" for full, short in pairs])).collect():
         got[r["doc_id"]].add(r["license"])
     assert [p for i, p in enumerate(pairs) if not got[i] >= set(p)] == []
+
+
+def test_licenses_in_long_lines(spark):
+    prose, short = "word " * 400, license_scan.TEMPLATES["MIT statement"]
+    texts = [
+        prose + license_scan.TEMPLATES["Unlicense"] + " " + prose,
+        # a near copy that lacks the template's rarest word, which stands elsewhere
+        "word " * 40 + short.replace("Released", "Distributed") + " word" * 40 + "".join(f" {w}" + " word" * 20 for w in ("under", "the", "mit", "license", "released")),
+        prose + short + " " + prose + short + " " + prose,
+    ]
+    rows = license_scan.scan(docs_frame(spark, texts)).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in rows) == [(0, "Unlicense"), (1, "MIT statement"), (2, "MIT statement"), (2, "MIT statement")]
