@@ -16,7 +16,8 @@ Copies collapse before all this to the smallest doc_id of equal sets (128-bit su
 Components of more than max_group_shingles are searched by pairs of blocks.
 
 Null, empty and wordless texts have the empty set and link with nothing; texts of fewer words than a shingle are one
-shingle; ties don't arise. Rows that repeat a doc_id give as many rows. Other columns are not read.
+shingle; ties don't arise. Rows that repeat a doc_id give as many rows. Rows without a doc_id link with nothing: they
+give their n_shingles and a null component_id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -155,6 +156,18 @@ def short_lists(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def counts_only(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id and n_shingles of each row."""
+
+    def run(batches):
+        shingler = Shingler(k)
+        for ids, texts in text_blocks(batches, "doc_id", "text"):
+            n = np.bincount(shingler.sets(texts)[0], minlength=len(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, I64), pa.array(n.astype(np.int64))], ["doc_id", "n_shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long")
+
+
 def n_classes(n: np.ndarray) -> np.ndarray:
     """A power of two, about a tenth of the set's size."""
     doublings = np.ceil(np.log2(np.maximum(n, 1) / (10 * LEAST_CLASSES)))
@@ -356,6 +369,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_do
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
+    apart = counts_only(docs.filter(F.col("doc_id").isNull()), k).withColumn("component_id", F.lit(None).cast("long"))
+    docs = docs.filter(F.col("doc_id").isNotNull())
     first = Scratch(short_lists(docs, k, percent, frequent_shingles(docs, k, sample_docs, most_frequent)))
     own = first.read().filter(F.col("kind") == DOC).select("doc_id", "n", "x", "y", "classes")
     rep = own.filter("n > 0").groupBy("x", "y", "n").agg(F.min("doc_id").alias("rep"))
@@ -381,9 +396,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_do
     found = grouped.repartition(parts, "g").mapInArrow(_search_groups(k, percent), "a long, b long")
     found = connected_components(found) if split else found.toDF("node", "component")
     label = found.groupBy("node").agg(F.min("component").alias("component"))
-    return (
+    linked = (
         classed.read()
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), "rep")
         .join(label.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     )
+    return linked.unionByName(apart)

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import components, jaccard_join, line_dedup, substring_dedup
 from tests.llm.helpers import ODD, docs_frame, with_clashes, words
@@ -172,3 +173,19 @@ def test_empty_tables(spark):
     assert jaccard_join.jaccard_components(empty).count() == 0
     assert substring_dedup.remove_repeated(empty).count() == 0
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_jaccard_rows_without_doc_id(spark):
+    import corpus_pipeline
+
+    texts = near_copies(random.Random(12), 3, 4) + [None, "", "one two three four five six"]
+    d = docs_frame(spark, texts)
+    same, null = d.filter("doc_id in (0, 13, 14)"), F.lit(None).cast("long")
+    d = d.unionByName(same.withColumn("doc_id", null))
+    links = brute_links(texts)
+    rows = [tuple(r) for r in jaccard_join.jaccard_components(d).select("doc_id", "n_shingles", "component_id").collect()]
+    assert {i: (n, c) for i, n, c in rows if i is not None} == links
+    assert sorted(n for i, n, c in rows if i is None and c is None) == sorted(links[i][0] for i in (0, 13, 14))
+    kept = corpus_pipeline.one_of_each_group(spark, d, "").collect()
+    assert {r["doc_id"] for r in kept} == {i for i, (_, c) in links.items() if i == c} | {None}
+    assert sorted(r["text"] for r in kept if r["doc_id"] is None) == sorted(texts[i] for i in (0, 13, 14))
