@@ -3,8 +3,10 @@
 The unit is the lower-case word. The CGK embedding of a word sequence is a walk: at each of its steps it writes the
 word it stands on and, by a random bit of step and word, stays or moves on; sequences a few edits apart give walks
 that differ in a few steps, so edit distance becomes Hamming distance. Each repetition has its own random bits and
-samples a few steps; an item and a window that write the same words there are candidates, and enough repetitions
-reach the recall asked for. Then edit distances decide exactly: a passage is contaminated if some window is within
+samples a few steps of a short stretch that begins at a random word of the items, as edits part walks that are long;
+an item and a window that write the same words there are candidates. For each class of lengths repetitions are added
+until they find the recall asked for of copies of its items with as many edits as the similarity allows (if not even
+MOST do, a warning says so). Then edit distances decide exactly: a passage is contaminated if some window is within
 (1 - similarity) * (words of the item) word edits of the item.
 
 Windows begin at every word of a document and have the size of the items, in classes of lengths within a ratio of
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -35,6 +38,10 @@ from sparkloom.llm.common import mix, small_batches, text_blocks
 SCHEMA = "doc_id long, item_id long, start_word int, end_word int, edits int, item_words int"
 WORD = re.compile(r"\w+")
 RATIO = 1.5
+#: Steps of a walk that samples are taken of; few, as edits part walks.
+STRETCH = 16
+#: Edited copies of items that repetitions are tried on, and the most repetitions.
+TRIALS, MOST = 400, 400
 
 
 def words_of(text: str | None) -> list[str]:
@@ -80,16 +87,17 @@ class EditMatcher:
 
 
 class Repetition:
-    """Random bits and sampled steps of one embedding, and the items' samples."""
+    """Random bits, sampled steps and the first word of one embedding, and the items' samples."""
 
     def __init__(self, items: list[np.ndarray], which: list[int], vocabulary: int, least: int, samples: int, rng: np.random.Generator):
-        steps = max(1, int(RATIO * least))
+        self.offset = int(rng.integers(0, max(1, least - STRETCH // 2)))
+        steps = max(1, min(STRETCH, int(RATIO * (least - self.offset))))
         self.at = np.sort(rng.choice(steps, min(samples, steps), replace=False))
-        self.bits = rng.integers(0, 2, (int(self.at[-1]) + 1, vocabulary + 1), np.int64)
+        self.bits = rng.integers(0, 2, (int(self.at[-1]) + 1, vocabulary + 1), np.int8)
         self.prefixes: list[set[int]] = [set() for _ in self.at]
         self.items: dict[int, list[int]] = defaultdict(list)
         for k in which:
-            i, key, written = 0, np.uint64(0), []
+            i, key, written = self.offset, np.uint64(0), []
             for step in range(len(self.bits)):
                 if i >= len(items[k]):
                     break
@@ -109,7 +117,7 @@ class Repetition:
             return mix(key * np.uint64(0x9E3779B97F4A7C15) + np.asarray(word).astype(np.uint64) + np.uint64(1))
 
     def candidates(self, words: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(first word, item) of the windows that agree with an item; words is padded."""
+        """(first word of the walk, item) of the walks that agree with an item's; words is padded."""
         if not len(self.sorted[-1]):
             return
         i, key, sampled = start.copy(), np.zeros(len(start), np.uint64), 0
@@ -127,8 +135,18 @@ class Repetition:
                 yield s, item
 
 
+def edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """The item with so many words replaced, left out or put in; 0 is a word of no item."""
+    own, places = [[w] for w in item.tolist()], rng.choice(len(item), edits, replace=False)
+    for at, kind in zip(places.tolist(), rng.integers(0, 3, edits).tolist()):
+        own[at] = [[0], [], [own[at][0], 0]][kind]
+    return np.array([w for ws in own for w in ws], np.int64)
+
+
 class Detector:
-    def __init__(self, items: list[tuple[int, str]], similarity: float, repetitions: int, samples: int, min_words: int, seed: int):
+    """With counts (repetitions of each class of lengths) as given, or else as many as reach the recall on edited copies."""
+
+    def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float, samples: int, min_words: int, seed: int, counts: dict[int, int] | None = None):
         split = [(i, w) for i, t in items if len(w := words_of(t)) >= min_words]
         self.ids = [i for i, _ in split]
         self.number = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in split for w in ws}))}
@@ -136,14 +154,38 @@ class Detector:
         self.edits = [math.floor((1 - similarity) * len(x) + 1e-9) for x in self.items]
         self.matchers = [EditMatcher(x.tolist()) for x in self.items]
         self.longest = max(map(len, self.items), default=0)
-        rng = np.random.default_rng(seed)
         classes: dict[int, list[int]] = defaultdict(list)
         for k, x in enumerate(self.items):
             classes[int(math.log(len(x)) / math.log(RATIO))].append(k)
-        self.classes = []
-        for which in classes.values():
+        self.classes, self.counts = [], {}
+        for c, which in classes.items():
             least, edits = min(len(self.items[k]) for k in which), max(self.edits[k] for k in which)
-            self.classes.append((least, least - edits, [Repetition(self.items, which, len(self.number), least, samples, rng) for _ in range(repetitions)]))
+
+            def repetition(r: int, c=c, which=which, least=least) -> Repetition:
+                return Repetition(self.items, which, len(self.number), least, samples, np.random.default_rng([seed, c, r]))
+
+            n = counts[c] if counts else self.enough(which, repetition, recall, np.random.default_rng([seed, c]))
+            self.counts[c] = n
+            self.classes.append((least, least - edits, [repetition(r) for r in range(n)]))
+
+    def enough(self, which: list[int], repetition, recall: float, rng: np.random.Generator) -> int:
+        """Repetitions that miss at most half of what the recall allows, of items with as many edits as the similarity does."""
+        item = rng.permutation(np.resize(np.array(which), TRIALS))
+        copies = [edited(self.items[k], self.edits[k], rng) for k in item]
+        gap = np.zeros(2 * self.longest + 2, np.int64)
+        text = np.concatenate([x for c in copies for x in (c, gap)])
+        ends = np.cumsum([len(c) + len(gap) for c in copies])
+        start = np.flatnonzero(text)
+        missed = np.ones(len(item), bool)
+        for r in range(MOST):
+            for s, k in repetition(r).candidates(text, start):
+                t = np.searchsorted(ends, s, "right")
+                missed[t] &= item[t] != k
+            if missed.mean() <= (1 - recall) / 2:
+                return r + 1
+            start = start[missed[np.searchsorted(ends, start, "right")]]
+        warnings.warn(f"{MOST} repetitions find {1 - missed.mean():.3f} of edited copies of {len(which)} items, {recall} was asked for")
+        return MOST
 
     def find(self, docs: list[list[str]]) -> list[tuple[int, int, int, int, int]]:
         """(document index, item, first word, end, edits)."""
@@ -152,23 +194,30 @@ class Detector:
         words = np.fromiter((get(w, 0) for ws in docs for w in ws), np.int64, int(n.sum()))
         padded = np.r_[words, np.zeros(2 * self.longest + 2, np.int64)]
         known = np.r_[0, np.cumsum(padded > 0)]
-        met: set[tuple[int, int]] = set()
+        base = np.cumsum(n) - n
+        met: set[tuple[int, int, int]] = set()
         for least, enough, repetitions in self.classes:
-            start = np.flatnonzero(known[least : least + len(words)] - known[: len(words)] >= enough)
+            # an item begins where its first words stand, or up to its edits before a document that begins later
+            first = np.arange(-least, len(words))
+            full = known[np.maximum(first + least, 0)] - known[np.maximum(first, 0)] >= enough
             for r in repetitions:
-                met.update(r.candidates(padded, start))
+                start = np.flatnonzero(full[least - r.offset : least - r.offset + len(words)])
+                for s, k in r.candidates(padded, start):
+                    doc = int(np.searchsorted(base, s, "right")) - 1
+                    met.add((doc, s - r.offset, k))
         if not met:
             return []
-        base = np.cumsum(n) - n
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for s, k in sorted(met):
-            doc = int(np.searchsorted(base, s, "right")) - 1
+        for doc, s, k in sorted(met):
             a, b = int(base[doc]), int(base[doc] + n[doc])
             own = found[doc, k]
-            if any(x <= s - a < y and e == 0 for e, x, y in own):
+            if any(x == s - a and e == 0 for e, x, y in own):
                 continue
             low, high = max(a, s - self.edits[k]), min(b, s + len(self.items[k]) + self.edits[k])
-            e, x, y = self.matchers[k].best(words[low:high].tolist())
+            near = words[low:high].tolist()
+            if sum(map(self.matchers[k].forward.__contains__, near)) < len(self.items[k]) - self.edits[k]:
+                continue  # too few words of the item
+            e, x, y = self.matchers[k].best(near)
             if e <= self.edits[k]:
                 own.append((e, x + low - a, y + low - a))
         out = []
@@ -181,7 +230,7 @@ class Detector:
         return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, repetitions: int = 16, samples: int = 4, min_words: int = 8, seed: int = 7, max_block_words: int = 200_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.98, samples: int = 4, min_words: int = 8, seed: int = 7, max_block_words: int = 200_000) -> DataFrame:
     """One row for each passage of docs (doc_id, text) that is an item of benchmark (item_id, text), or nearly."""
     small_batches(docs.sparkSession)
     sized = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).withColumn("n", F.size(F.split("text", r"\s+")))
@@ -191,10 +240,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
 
     def search(block: int) -> DataFrame:
         items = [(r["item_id"], r["text"]) for r in sized.filter(F.col("block") == block).orderBy("item_id", "text").collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        counts = Detector(items, similarity, recall, samples, min_words, seed).counts
+        shared = docs.sparkSession.sparkContext.broadcast((items, counts))
 
         def run(batches):
-            detector = Detector(shared.value, similarity, repetitions, samples, min_words, seed)
+            own, counts = shared.value
+            detector = Detector(own, similarity, recall, samples, min_words, seed, counts)
             for ids, texts in text_blocks(batches, "doc_id", "text", 1_000_000):
                 rows = [(ids[d], detector.ids[k], x, y, e, len(detector.items[k])) for d, k, x, y, e in detector.find([words_of(t) for t in texts])]
                 columns = zip(*rows) if rows else ((),) * 6

@@ -165,3 +165,18 @@ def test_licenses_in_long_lines(spark):
     ]
     rows = license_scan.scan(docs_frame(spark, texts)).collect()
     assert sorted((r["doc_id"], r["license"]) for r in rows) == [(0, "Unlicense"), (1, "MIT statement"), (2, "MIT statement"), (2, "MIT statement")]
+
+
+def test_decontamination_recall_at_the_edit_bound(spark):
+    rng = random.Random(11)
+    for length in (10, 25, 60, 100, 200):
+        items = [(i, " ".join(words(rng, length, 3000))) for i in range(40)]
+        texts = []
+        for d in range(200):
+            own = [[w] for w in items[d % 40][1].split()]
+            for at in rng.sample(range(length), length // 5):
+                own[at] = rng.choice([[], ["new"], ["new", own[at][0]]])
+            texts.append(" ".join(words(rng, 30 * (d % 3), 3000) + sum(own, []) + words(rng, 30 * (d % 2), 3000)))
+        benchmark = spark.createDataFrame(items, "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in decontam.find_contamination(docs_frame(spark, texts), benchmark).collect()}
+        assert sum((d, d % 40) in got for d in range(200)) >= 0.96 * 200, length
