@@ -15,7 +15,7 @@ def docs_frame(spark, texts, langs=None):
 def with_clashes(df):
     from pyspark.sql import functions as F
 
-    names = ("n", "h", "kind", "rep", "component", "start", "n_tokens", "piece", "score", "block", "text_", "lines", "item_id")
+    names = "n h kind rep component start n_tokens piece score block text_ lines item_id row ends copies gone again r th g j f k own kept fd fth fj _lines _copies _ends _gone _r m x y salt classes spans passages node u v a b z held_out lang_pred license saved rank query_id region shard".split()
     return df.withColumns({name: F.lit("x") for name in names})
 
 

@@ -42,13 +42,13 @@ def near_copies(rng, n_bases, copies, length=120):
     return texts
 
 
-@pytest.mark.parametrize("max_group", [10_000_000, 300])
-def test_jaccard_components(spark, max_group):
+@pytest.mark.parametrize("max_group, list_rows", [(10_000_000, 4_000), (300, 3), (10_000_000, 6)])
+def test_jaccard_components(spark, max_group, list_rows):
     rng = random.Random(3)
     passage = " ".join(words(rng, 40))
     texts = [*ODD, *near_copies(rng, 8, 12), *[passage + " " + " ".join(words(rng, 60)) for _ in range(40)], *[" ".join(words(rng, n)) for n in (1, 3, 4, 5, 6)] * 2]
     texts += [texts[20]] * 30 + ["A b C d E f", "a B c D e F"]
-    rows = jaccard_join.jaccard_components(with_clashes(docs_frame(spark, texts)), sample_docs=40, max_group_shingles=max_group).collect()
+    rows = jaccard_join.jaccard_components(with_clashes(docs_frame(spark, texts)), sample_docs=40, max_group_shingles=max_group, list_rows=list_rows).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_links(texts)
 
 
@@ -96,16 +96,28 @@ def brute_windows(texts, length):
     return {d: (len(w), len(gone[d]), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone[d])).hexdigest()) for d, w in enumerate(docs)}
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("least", [3, 10**9])
+def test_substring_dedup(spark, least):
     rng = random.Random(4)
     passage, tail = words(rng, 60), words(rng, 50)
     texts = [*ODD, *near_copies(rng, 6, 6)]
     texts += [" ".join(words(rng, rng.randrange(50)) + passage[rng.randrange(20) :] + words(rng, 40)) for _ in range(25)]
     texts += [" ".join(tail + tail + words(rng, 10) + tail[:35]), "a " * 200, "é b\tc " * 30, texts[15], " ".join(passage[:34])]
-    rows = substring_dedup.remove_repeated(with_clashes(docs_frame(spark, texts)), length=35).collect()
+    rows = substring_dedup.remove_repeated(with_clashes(docs_frame(spark, texts)), length=35, least=least).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == brute_windows(texts, 35)
 
 
+def test_substrings_of_repeated_rows_and_ids(spark):
+    rng = random.Random(17)
+    one, two, three = (" ".join(words(rng, 60, 5000)) for _ in range(3))
+    null = F.lit(None).cast("long")
+    texts = [one, one, two, three, "a b", two + " x", one]
+    d = docs_frame(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") < 3, 7).when(F.col("doc_id") < 6, F.col("doc_id")).otherwise(null))
+    got = sorted(tuple(r) for r in substring_dedup.remove_repeated(d).fillna(-1, ["doc_id"]).collect())
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted([(7, 60, 60, digest("")), (7, 60, 60, digest("")), (7, 60, 60, digest("")), (3, 60, 0, digest(three)), (4, 2, 0, digest("a b")), (5, 61, 60, digest("x")), (-1, 60, 0, digest(one))])
+
+
 def test_suffix_automaton_counts():
     rng = random.Random(6)
     for _ in range(50):
@@ -122,23 +134,23 @@ def test_suffix_automaton_counts():
             assert list(automaton.repeated(list(s), 3)) == [i for i in range(len(s) - 2) if total[s[i : i + 3]] > 1]
 
 
-def brute_lines(texts, divisor=3):
-    def h(line):
-        return int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
+def brute_ends(lines):
+    """Last lines, counted from 1, of chunks: where the hash of two lines is least among its neighbours."""
+    h = [int(hashlib.md5(line.encode()).hexdigest()[:7], 16) for line in lines]
+    n, r = len(lines), {i: (h[i - 2] * 31 + h[i - 1]) * 40503 % 2**32 for i in range(2, len(lines) + 1)}
+    return [i for i in range(1, n + 1) if i == n or 2 <= i <= n - 2 and r[i] <= r[i + 1] and (i == 2 or r[i] < r[i - 1])]
 
+
+def brute_lines(texts):
     seen, out = set(), {}
     for d, t in enumerate(texts):
         if t is None:
             out[d] = (0, 0, None)
             continue
-        lines, chunks, own = t.split("\n"), [], []
-        for i, line in enumerate(lines):
-            own.append(line)
-            if i == len(lines) - 1 or i > 0 and (h(lines[i - 1]) * 31 + h(line)) % divisor == 0:
-                chunks.append(own)
-                own = []
+        lines = t.split("\n")
+        ends = brute_ends(lines)
         kept, gone = [], 0
-        for c in chunks:
+        for c in (lines[a:b] for a, b in zip([0, *ends], ends)):
             if len(c) > 1 and tuple(c) in seen:
                 gone += len(c)
             else:
@@ -149,18 +161,40 @@ def brute_lines(texts, divisor=3):
     return out
 
 
-def test_line_dedup(spark):
-    rng = random.Random(8)
+def line_texts(rng):
     lines = [" ".join(words(rng, 6)) for _ in range(80)]
     texts = [*ODD]
     for _ in range(60):
         i = rng.randrange(60)
         texts.append("\n".join([" ".join(words(rng, 5)) for _ in range(rng.randrange(3))] + lines[i : i + rng.randrange(1, 15)] + [" ".join(words(rng, 5))]))
-    texts += [texts[-1], "a\nb\n" * 30, "\n".join(lines), "\n".join(lines)]
-    d = with_clashes(docs_frame(spark, texts))
+    return [*texts, texts[-1], "a\nb\n" * 30, "\n".join(lines), "\n".join(lines)]
+
+
+def test_line_dedup(spark):
+    texts = line_texts(random.Random(8))
+    d = with_clashes(docs_frame(spark, texts)).withColumns({c: F.lit("x") for c in ("n_lines", "n_removed")})
     got = line_dedup.dedup_lines(d)
-    assert got.columns == [*d.columns, "n_lines", "n_removed"]
-    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in got.collect()} == brute_lines(texts)
+    assert got.columns == [c for c in d.columns if c not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
+    rows = got.collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in rows} == brute_lines(texts)
+    assert {r["lines"] for r in rows} == {"x"}
+
+
+def test_exact_copies_go_whole(spark):
+    rng = random.Random(15)
+    texts = [" \n".join(" ".join(words(rng, 4, 5000)) for _ in range(n)) for n in range(2, 40)]
+    rows = line_dedup.dedup_lines(docs_frame(spark, texts * 2)).filter(F.col("doc_id") >= len(texts)).collect()
+    assert len(rows) == len(texts) and all(r["text"] == "" and r["n_removed"] == r["n_lines"] for r in rows)
+
+
+def test_lines_of_repeated_rows_and_ids(spark):
+    rng = random.Random(16)
+    one, two = ("\n".join(" ".join(words(rng, 4, 5000)) for _ in range(9)) for _ in range(2))
+    null = F.lit(None).cast("long")
+    d = docs_frame(spark, [one, one, two, "a\nb"]).withColumn("doc_id", F.when(F.col("doc_id") < 3, 7).otherwise(null))
+    d = d.unionByName(docs_frame(spark, [two]).withColumn("doc_id", F.lit(9).cast("long"))).unionByName(d.filter("doc_id is null"))
+    got = sorted((r["doc_id"] or 0, r["n_removed"], r["text"]) for r in line_dedup.dedup_lines(d).collect())
+    assert got == sorted([(7, 0, one), (7, 9, ""), (7, 0, two), (9, 9, ""), (0, 0, "a\nb"), (0, 0, "a\nb")])
 
 
 def test_line_dedup_is_native(spark):

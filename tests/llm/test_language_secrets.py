@@ -41,7 +41,7 @@ def test_held_out_documents_teach_nothing(spark):
 
 
 def test_unknown_words_back_off():
-    model = lang_id.build({"en": {"nation": 9, "station": 9}, "de": {"zeitung": 9, "leitung": 9}}, 1000)
+    model = lang_id.build({"en": {"nation": 9, "station": 9}, "de": {"zeitung": 9, "leitung": 9}})
     p = lang_id.Predictor(model, 8.0)
     assert p.of(["ration", "deitung", ""])[0] == ["en", "de", "und"]
 

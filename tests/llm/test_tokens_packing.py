@@ -27,8 +27,8 @@ def test_counts_equal_the_library(spark, library):
 
 
 def test_counts_beyond_the_memory_for_pieces(library):
-    pieces = token_count.counter(PATH)
-    small = token_count.Pieces(PATH, pieces.of_words, lambda _: 1, max_pieces=4)
+    pieces = token_count.counter(token_count.read_vocabulary(PATH))
+    small = token_count.Pieces(token_count.read_vocabulary(PATH), pieces.of_words, lambda _: 1, max_pieces=4)
     for text in TEXTS * 2:
         split = token_count.split_pieces(text)
         value = small.of(set(split))
@@ -36,7 +36,7 @@ def test_counts_beyond_the_memory_for_pieces(library):
 
 
 def test_lengths_of_overlapping_pairs(library):
-    merger = token_count.RankMerger(PATH)
+    merger = token_count.RankMerger(token_count.read_vocabulary(PATH))
     for word in ("aaaaaaa", "hahahaha", "thethethe", "a", "ab"):
         assert merger.lengths([word.encode()])[0] == len(library.encode(word).ids)
 
