@@ -6,7 +6,8 @@ which holds a fixed number of open bins, found through a bitset of free spaces:
 that takes it; if none does, it opens one, and when too many are open the fullest closes. A packer gets about
 pieces_per_packer pieces, so the sequences left part-empty at its end stay a small share at any size.
 
-Null texts count as empty: one piece that holds the closing id alone. Repeated rows are packed as rows of their own.
+Null texts count as empty: one piece that holds the closing id alone. Repeated rows and rows without a doc_id are
+packed as rows of their own. Very long texts are encoded whole, one at a time. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,35 +21,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Scratch, small_batches, text_blocks
-from sparkloom.llm.token_count import Pieces, byte_symbols, split_pieces
+from sparkloom.llm.token_count import Pieces, byte_symbols, read_vocabulary, remembered, split_pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
-#: Of this Python worker, by vocabulary.
+#: Of this Python worker: what it remembers of the vocabulary it used last.
 ENCODERS: dict[str, Pieces] = {}
 
 
-def encoder(vocabulary_path: str) -> Pieces:
+def encoder(vocabulary: str) -> Pieces:
     """Ids (little-endian, 4 bytes each) of pieces of text, as the tokenizers library gives them."""
-    if vocabulary_path not in ENCODERS:
+
+    def make(vocabulary: str) -> Pieces:
         from tokenizers import Tokenizer
 
-        model, symbols = Tokenizer.from_file(vocabulary_path).model, byte_symbols()
+        model, symbols = Tokenizer.from_str(vocabulary).model, byte_symbols()
 
         def ids_of(words: list[bytes]) -> list[bytes]:
             return [np.array([t.id for t in model.tokenize("".join(map(symbols.__getitem__, w)))], "<u4").tobytes() for w in words]
 
-        ENCODERS[vocabulary_path] = Pieces(vocabulary_path, ids_of, lambda i: np.array([i], "<u4").tobytes())
-    return ENCODERS[vocabulary_path]
+        return Pieces(vocabulary, ids_of, lambda i: np.array([i], "<u4").tobytes())
+
+    return remembered(ENCODERS, vocabulary, make)
 
 
 def encode_pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int = 0) -> DataFrame:
     """One row per piece of each document, with a checksum of its ids."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, end, width = encoder(vocabulary_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        pieces, end, width = encoder(vocabulary.value), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for doc_ids, texts in text_blocks(batches, "doc_id", "text"):
             split = [split_pieces(t) for t in texts]
             value = pieces.of(set().union(*split))

@@ -6,7 +6,8 @@ cut into pre-tokens, all new pre-tokens of a block form one ragged array of symb
 merges its own pair of lowest rank wherever it occurs, until no sequence has a pair with a rank. What is left is
 counted.
 
-Nulls and empty texts have no tokens; repeated rows are counted anew; other columns do not matter.
+Nulls and empty texts have no tokens; repeated rows and rows without a doc_id are counted like others; other columns do
+not matter. Very long texts are counted whole, one at a time; pieces of them that are long are not remembered.
 """
 
 from __future__ import annotations
@@ -37,9 +38,8 @@ def byte_symbols() -> list[str]:
 class RankMerger:
     """Counts BPE symbols of many pre-tokens at a time."""
 
-    def __init__(self, vocabulary_path: str):
-        with open(vocabulary_path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, vocabulary: str):
+        spec = json.loads(vocabulary)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
@@ -108,12 +108,11 @@ class Pieces:
     """A value for each blank-separated piece of text, added up from those of its pre-tokens.
 
     of_words gives the values of new pre-tokens (UTF-8), of_special that of a special token. The first max_pieces
-    pieces and half as many pre-tokens are remembered, those after them only for their block.
+    pieces and half as many pre-tokens of up to 40 letters are remembered, those after them only for their block.
     """
 
-    def __init__(self, vocabulary_path: str, of_words: Callable[[list[bytes]], list], of_special: Callable[[int], Any], max_pieces: int = 500_000):
-        with open(vocabulary_path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, vocabulary: str, of_words: Callable[[list[bytes]], list], of_special: Callable[[int], Any], max_pieces: int = 200_000):
+        spec = json.loads(vocabulary)
         self.special = {t["content"]: of_special(t["id"]) for t in spec["added_tokens"]}
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -144,7 +143,7 @@ class Pieces:
         unseen = list({w for ws in split for w in ws if w not in self.words and isinstance(w, bytes)})
         fresh = dict(zip(unseen, self.of_words(unseen)))
         if room := max(0, self.max_pieces // 2 - len(self.words)):
-            self.words.update(islice(fresh.items(), room))
+            self.words.update(islice(((w, v) for w, v in fresh.items() if len(w) <= 40), room))
         zero = type(next(iter(self.special.values())))()
         found = {}
         for p, ws in zip(new, split):
@@ -153,20 +152,35 @@ class Pieces:
                 value += self.special[w] if isinstance(w, str) else fresh[w] if w in fresh else self.words[w]
             found[p] = value
         if room := max(0, self.max_pieces - len(self.kept)):
-            self.kept.update(islice(found.items(), room))
+            self.kept.update(islice(((p, v) for p, v in found.items() if len(p) <= 40), room))
         self.kept.block = found
         return self.kept
 
 
-#: Of this Python worker, by vocabulary.
+#: Of this Python worker: what it remembers of the vocabulary it used last.
 COUNTERS: dict[str, Pieces] = {}
 
 
-def counter(vocabulary_path: str) -> Pieces:
-    if vocabulary_path not in COUNTERS:
-        merger = RankMerger(vocabulary_path)
-        COUNTERS[vocabulary_path] = Pieces(vocabulary_path, lambda words: merger.lengths(words).tolist() if words else [], lambda _: 1)
-    return COUNTERS[vocabulary_path]
+def remembered(of_worker: dict[str, Pieces], vocabulary: str, make: Callable[[str], Pieces]) -> Pieces:
+    """One vocabulary's pieces at a time, so what a worker holds is bounded."""
+    if vocabulary not in of_worker:
+        of_worker.clear()
+        of_worker[vocabulary] = make(vocabulary)
+    return of_worker[vocabulary]
+
+
+def counter(vocabulary: str) -> Pieces:
+    def make(vocabulary: str) -> Pieces:
+        merger = RankMerger(vocabulary)
+        return Pieces(vocabulary, lambda words: merger.lengths(words).tolist() if words else [], lambda _: 1)
+
+    return remembered(COUNTERS, vocabulary, make)
+
+
+def read_vocabulary(path: str) -> str:
+    """The driver reads the file (a few MB); tasks get its text."""
+    with open(path, encoding="utf-8") as f:
+        return f.read()
 
 
 def split_pieces(text: str | None) -> list[str]:
@@ -177,9 +191,10 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048) -> Da
     """doc_id, n_bytes, n_tokens and over_limit of each row of docs (doc_id, text)."""
 
     small_batches(docs.sparkSession)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = counter(vocabulary_path)
+        pieces = counter(vocabulary.value)
         for ids, texts in text_blocks(batches, "doc_id", "text"):
             split = [split_pieces(t) for t in texts]
             value = pieces.of(set().union(*split))
