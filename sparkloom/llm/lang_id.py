@@ -6,9 +6,10 @@ lacks it). An unknown word is cut from left to right into the longest known n-gr
 mean over all words, scaled, gives a share for each language; the largest wins, ties to the name that comes first.
 
 fit learns from a sample of about docs_per_language labelled documents of each language (all of them where there are
-fewer), chosen by a hash of doc_id, and keeps the words_per_language most frequent words, so the model has a bounded
-size. Rows without text or language teach nothing. predict reads whole texts: null or letterless texts get `und`, 0.0;
-repeated rows get equal results; other columns are not read.
+fewer), chosen by a hash of doc_id, and keeps every word and n-gram of the sample, so that bound alone bounds the model.
+Rows without text or language teach nothing. predict reads whole texts, very long ones one at a time: null or letterless
+texts get `und`, 0.0; repeated rows and rows without a doc_id get results like others (held_out is null without one);
+languages of equal share go to the name that comes first; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import small_batches, text_blocks
@@ -60,7 +61,7 @@ class LanguageModel:
 class WordScores:
     """Log frequencies of words in each language, remembered for the first max_words."""
 
-    def __init__(self, model: LanguageModel, max_words: int = 300_000):
+    def __init__(self, model: LanguageModel, max_words: int = 150_000):
         self.model, self.max_words = model, max_words
         self.row = Kept()
         self.kept = np.zeros((0, len(model.languages)))
@@ -85,7 +86,7 @@ class WordScores:
             self.row.block = dict(zip(new, range(known, known + len(new))))
 
 
-def fit(labelled: DataFrame, docs_per_language: int = 1_000, words_per_language: int = 30_000, grams_per_language: int = 20_000) -> LanguageModel:
+def fit(labelled: DataFrame, docs_per_language: int = 1_000) -> LanguageModel:
     """Learns from rows (doc_id, text, lang)."""
     rows = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -94,14 +95,14 @@ def fit(labelled: DataFrame, docs_per_language: int = 1_000, words_per_language:
     bound = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1_000_000, math.ceil(1e6 * docs_per_language / n)))])
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < bound[F.col("lang")])
     words = sample.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    top = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).filter(F.col("r") <= words_per_language)
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in top.select("lang", "w", "n").collect():
-        counts[r["lang"]][r["w"]] = r["n"]
-    return build(counts, grams_per_language)
+    found = words.toArrow()
+    for lang, w, n in zip(*(found.column(c).to_pylist() for c in ("lang", "w", "n"))):
+        counts[lang][w] = n
+    return build(counts)
 
 
-def build(counts: dict[str, dict[str, int]], grams_per_language: int) -> LanguageModel:
+def build(counts: dict[str, dict[str, int]]) -> LanguageModel:
     langs = sorted(counts)
     grams: dict[str, Counter] = {}
     for lang in langs:
@@ -111,21 +112,18 @@ def build(counts: dict[str, dict[str, int]], grams_per_language: int) -> Languag
             for n in GRAMS:
                 for i in range(len(marked) - n + 1):
                     c[marked[i : i + n]] += k
-        grams[lang] = Counter(dict(c.most_common(grams_per_language)))
+        grams[lang] = c
 
     rows = [np.full(len(langs), math.log(1e-7))]
 
-    def add(own: dict[str, dict[str, int]], least: int) -> dict[str, int]:
+    def add(own: dict[str, dict[str, int]]) -> dict[str, int]:
         total = np.array([sum(own[x].values()) for x in langs], float)
-        seen: Counter = Counter()
-        for x in langs:
-            seen.update(own[x])
-        kept = [k for k, n in seen.items() if n >= least]
+        kept = sorted(set().union(*own.values()))
         first = sum(map(len, rows)) // len(langs)
         rows.append(np.log((np.array([[own[x].get(k, 0) for x in langs] for k in kept], float).reshape(-1, len(langs)) + 0.05) / (total + 1)).ravel())
         return dict(zip(kept, range(first, first + len(kept))))
 
-    words, grams_at = add(counts, 2), add(grams, 1)
+    words, grams_at = add(counts), add(grams)
     return LanguageModel(langs, words, grams_at, np.concatenate(rows).reshape(-1, len(langs)))
 
 
