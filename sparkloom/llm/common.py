@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that a task handles at a time; bounds the arrays made from them.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -41,21 +44,22 @@ class Scratch:
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Sends texts to Python in batches of this many rows at most, as batches count rows and texts may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, size: int = 4_000_000) -> None:
+    """Sends rows to Python in batches of this many bytes, or of one longer row. A caller's own setting stays."""
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(size))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, max_chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str | None]]]:
-    """(ids, texts) of at most max_chars characters, or of one longer text."""
+def text_blocks(batches: Iterator[pa.RecordBatch], id_col: str | tuple[str, ...], text_col: str, max_chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str | None]]]:
+    """(ids, texts) of at most max_chars characters, or of one longer text; several id columns give tuples."""
     for batch in batches:
-        ids, texts = batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist()
+        ids = batch.column(id_col).to_pylist() if isinstance(id_col, str) else list(zip(*(batch.column(c).to_pylist() for c in id_col)))
+        texts = batch.column(text_col).to_pylist()
         start, chars = 0, 0
         for i, text in enumerate(texts):
             n = len(text) if text else 0
@@ -111,3 +115,32 @@ class RollingHash:
     def runs(self, prefix: np.ndarray, start: np.ndarray, length) -> np.ndarray:
         """Hashes of the runs of length words that begin at start."""
         return mix((prefix[start + length] - prefix[start]) * self.inverses[start])
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int = 1, most: int = 100_000) -> Iterator[dict[str, pa.Array]]:
+    """Runs of whole groups, of about most rows each, from batches sorted by their first columns (the keys)."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def columns(parts: list[pa.RecordBatch]) -> dict[str, pa.Array]:
+        table = pa.Table.from_batches(parts)
+        return {name: table.column(name).combine_chunks() for name in table.column_names}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rows >= most:  # close before the last group that this batch begins or goes on with
+            key = [batch.column(k)[0] for k in range(keys)]
+            new = [h.column(k)[h.num_rows - 1] for h in held[-1:] for k in range(keys)]
+            if key != new:
+                yield columns(held)
+                held, rows = [], 0
+            else:
+                cut = np.flatnonzero(np.logical_or.reduce([batch.column(k).to_numpy(zero_copy_only=False) != key[k].as_py() for k in range(keys)]))
+                if len(cut):
+                    yield columns([*held, batch.slice(0, int(cut[0]))])
+                    held, rows, batch = [], 0, batch.slice(int(cut[0]))
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield columns(held)

@@ -8,13 +8,18 @@ rarest at least one. The work is divided as DivideSkip divides it, over the clus
   hash; any one order of all shingles keeps the join exact), and shingles that only one set emits vanish;
 * sets that meet on a short list stay together only if their counts of shingles by class differ by no more than linked
   sets' can; per list a spanning forest of such meetings is kept, never all pairs, and the forest's connected
-  components hold all links;
+  components hold all links. A list of more than list_rows sets is dealt to several tasks; each keeps, besides its
+  forest, the sets from which it found the others, and those of all its tasks are joined where, by the triangle
+  inequality, sets found from them can link;
 * in each component the exact search runs set by set: short lists are merged, long ones probed by binary search, and
   partners that reach the overlap join the component; what has joined is searched for no more.
 
 Copies collapse before all this to the smallest doc_id of equal sets (128-bit sums of hashes), in each task first.
 Components of more than max_group_shingles are searched by pairs of blocks.
 
+Lists and components come to a task sorted, so it holds one at a time. Very long texts are sets like others; a task
+holds the words of one of them at a time.
+
 Null, empty and wordless texts have the empty set and link with nothing; texts of fewer words than a shingle are one
 shingle; ties don't arise. Rows that repeat a doc_id give as many rows. Rows without a doc_id link with nothing: they
 give their n_shingles and a null component_id. Other columns are not read.
@@ -31,13 +36,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import RollingHash, Scratch, WordHashes, mix, shuffle_partitions, small_batches, text_blocks
-from sparkloom.llm.components import connected_components
+from sparkloom.llm.common import RollingHash, Scratch, WordHashes, mix, shuffle_partitions, small_batches, sorted_groups, text_blocks
+from sparkloom.llm.components import Stars, connected_components, contracted
 
 #: Classes of shingles that are counted for each set: more for larger sets, so that chance can't make two look alike.
 LEAST_CLASSES, MOST_CLASSES = 64, 1024
 DOC, SHORT = 0, 1
-I64 = pa.int64()
+EDGE, FOUND_FROM = 0, 1
+#: Sets that so many others of a list were found from are compared pair by pair; more are joined as they are.
+MOST_PAIRED = 5_000
+I64, I32 = pa.int64(), pa.int32()
 
 
 class Shingler:
@@ -62,26 +70,13 @@ class Shingler:
         return text[keep], h[keep]
 
 
-def _all(batches: Iterator[pa.RecordBatch]) -> dict[str, list]:
-    """The columns of a partition, by name."""
-    table: dict[str, list] = {}
-    for batch in batches:
-        for name, column in zip(batch.schema.names, batch.columns):
-            table.setdefault(name, []).append(column)
-    return table
-
-
-def _numbers(columns: list) -> np.ndarray:
-    return np.concatenate([c.to_numpy(zero_copy_only=False) for c in columns])
-
-
 def needed(n, percent: int):
     """Shingles that a set of n shares with any partner, at least."""
     return -(-percent * n // 100)
 
 
-def frequent_shingles(docs: DataFrame, k: int, sample_docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the shingles of several sampled documents."""
+def frequent_shingles(docs: DataFrame, k: int, sample_docs: int, most: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Hashes, sorted, and counts of the shingles of several sampled documents, and the share of documents sampled."""
     share = min(1.0, sample_docs / max(1, docs.count()))
     sample = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * share))
 
@@ -91,29 +86,23 @@ def frequent_shingles(docs: DataFrame, k: int, sample_docs: int, most: int) -> t
             h, c = np.unique(shingler.sets(texts)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
-    def add_up(batches):
-        cols = _all(batches)
-        if cols:
-            h, at = np.unique(_numbers(cols["h"]), return_inverse=True)
-            c = np.bincount(at, weights=_numbers(cols["c"])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[c > 1]), pa.array(c[c > 1])], ["h", "c"])
-
-    counted = sample.mapInArrow(emit, "h long, c long").repartition(shuffle_partitions(docs.sparkSession), "h").mapInArrow(add_up, "h long, c long")
-    top = counted.orderBy(F.desc("c"), "h").limit(most).toPandas()
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    counted = sample.mapInArrow(emit, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1")
+    top = counted.orderBy(F.desc("c"), "h").limit(most).toArrow()
+    h = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], top["c"].to_numpy(np.int64)[order]
+    return h[order], top.column("c").to_numpy().astype(np.int64)[order], share
 
 
-def short_lists(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """Rows of kind DOC (doc_id, n, digest x and y, class counts) and, for one of a task's equal sets, SHORT (doc_id, x: shingle)."""
+def short_lists(docs: DataFrame, k: int, percent: int, frequent, list_rows: int) -> DataFrame:
+    """Rows of kind DOC (doc_id, n, digest x and y, class counts) and, for one of a task's equal sets, SHORT (doc_id,
+    x: shingle, n: which part of the list, as lists that the sample shows to be long are dealt to several tasks)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     schema = "kind int, doc_id long, n int, x long, y long, classes binary"
     names, types = zip(*(f.split() for f in schema.split(", ")))
     arrow = [pa.int32(), I64, pa.int32(), I64, I64, pa.binary()]
 
     def run(batches):
-        common, counts = shared.value
+        common, counts, share = shared.value
         shingler = Shingler(k)
         met: set[tuple[int, int]] = set()
         for ids, texts in text_blocks(batches, "doc_id", "text"):
@@ -135,6 +124,8 @@ def short_lists(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
             rows = [pa.array(np.zeros(m, np.int32)), pa.array(ids, I64), pa.array(n.astype(np.int32)), pa.array(x), pa.array(y), pa.array(classes, pa.binary())]
             yield pa.RecordBatch.from_arrays(rows, list(names))
             new = np.zeros(m, bool)
+            if len(met) > 200_000:
+                met.clear()
             for i, key in enumerate(zip(x.tolist(), y.tolist())):
                 if n[i] and key not in met:
                     met.add(key)
@@ -143,14 +134,16 @@ def short_lists(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
             at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
             df = np.where(common[at] == h, counts[at], 0) if len(common) else np.zeros(len(h), np.int64)
             order = np.lexsort((h, df, text))
-            text, h = text[order], h[order]
+            text, h, df = text[order], h[order], df[order]
             kept = n * new
             place = np.arange(len(text)) - (np.cumsum(kept) - kept)[text]
             short = place < (n - needed(n, percent) + 1)[text]
-            text, h = text[short], h[short]
+            text, h, df = text[short], h[short], df[short]
             owner = np.asarray(ids, np.int64)[text] if len(text) else np.zeros(0, np.int64)
+            parts = np.ceil(df / share / list_rows).astype(np.int64)
+            part = np.where(parts > 1, dealt(owner, np.maximum(parts, 1)), -1)
             none = [pa.nulls(len(h), t) for t in arrow]
-            none[0], none[1], none[3] = pa.array(np.full(len(h), SHORT, np.int32)), pa.array(owner), pa.array(h.view(np.int64))
+            none[:4] = pa.array(np.full(len(h), SHORT, np.int32)), pa.array(owner), pa.array(part.astype(np.int32)), pa.array(h.view(np.int64))
             yield pa.RecordBatch.from_arrays(none, list(names))
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -168,27 +161,41 @@ def counts_only(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long")
 
 
+def dealt(doc: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return (mix(doc.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) % parts.astype(np.uint64)).astype(np.int64)
+
+
 def n_classes(n: np.ndarray) -> np.ndarray:
     """A power of two, about a tenth of the set's size."""
     doublings = np.ceil(np.log2(np.maximum(n, 1) / (10 * LEAST_CLASSES)))
     return (LEAST_CLASSES * 2 ** np.maximum(doublings, 0)).clip(max=MOST_CLASSES).astype(np.int64)
 
 
-def _shared_only(batches):
-    """Short lists of two sets or more; of a task's lists with the same sets one is enough."""
-    cols = _all(batches)
-    if cols:
-        x, doc = _numbers(cols["x"]), _numbers(cols["doc_id"])
-        order = np.argsort(x, kind="stable")
-        x, doc = x[order], doc[order]
-        start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        size = np.diff(np.r_[start, len(x)])
-        members = np.add.reduceat(mix(doc.view(np.uint64)), start)
-        _, first = np.unique(np.stack([members, size.astype(np.uint64)]), axis=1, return_index=True)
-        chosen = np.zeros(len(start), bool)
-        chosen[first] = True
-        keep = np.repeat(chosen & (size > 1), size)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(doc[keep])], ["x", "doc_id"])
+def _shared_only(list_rows: int):
+    """Short lists of two sets or more, dealt anew where they are long; of a task's lists with the same sets one is enough."""
+
+    def run(batches):
+        met: set[tuple[int, int]] = set()
+        for cols in sorted_groups(batches, keys=2):
+            x, first_part, doc = (cols[c].to_numpy() for c in ("x", "part", "doc_id"))
+            start = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (first_part[1:] != first_part[:-1])])
+            size = np.diff(np.r_[start, len(x)])
+            members = np.add.reduceat(mix(doc.view(np.uint64)), start)
+            whole = (first_part[start] < 0) & (size <= list_rows)
+            chosen = ~whole
+            if len(met) > 300_000:
+                met.clear()
+            for i in np.flatnonzero(whole & (size > 1)).tolist():
+                key = int(members[i]), int(size[i])
+                if key not in met:
+                    met.add(key)
+                    chosen[i] = True
+            keep = np.repeat(chosen, size)
+            again = dealt(doc ^ 1, np.repeat(-(-size // list_rows), size))
+            part = np.where(np.repeat(whole, size), -1, (np.maximum(first_part, 0).astype(np.int64) << 32) + again)
+            yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (x, part, doc)], ["x", "part", "doc_id"])
+
+    return run
 
 
 class ClassCounts:
@@ -209,9 +216,9 @@ class ClassCounts:
             out[which] = np.minimum(cells.reshape(-1, own_k // k, k).sum(axis=1, dtype=np.int32), 255)
         return out
 
-    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def differ(self, i: np.ndarray, j: np.ndarray, coarser: int = 1) -> np.ndarray:
         """How many shingles the sets i and j differ in, at least."""
-        gap, least = np.zeros(len(i), np.int64), np.minimum(self.k[i], self.k[j])
+        gap, least = np.zeros(len(i), np.int64), np.minimum(self.k[i], self.k[j]) // coarser
         for k in np.unique(least):
             which = np.flatnonzero(least == k)
             for s in range(0, len(which), 1_000_000 // int(k)):
@@ -225,43 +232,89 @@ def compatible(n, m, difference, percent: int):
     return difference * (100 + percent) <= (n + m) * (100 - percent)
 
 
+def near_enough(n, m, difference, percent: int):
+    """Whether sets that can link with one of n and one of m shingles can link with each other: from end to end the
+    difference is at most that of three links between sets whose sizes differ by 100 / percent at most."""
+    return difference * (100 + percent) * percent <= (n + m) * (100 - percent) * (percent + 200)
+
+
+FOREST = "kind int, a long, b long, n int, classes binary"
+
+
 def _forest(percent: int):
-    """Edges that join the sets of each short list that can link."""
+    """Edges that join the sets of each short list that can link and, of lists that several tasks share, the sets that
+    others were found from (a: shingle, b: set)."""
+
+    def run(batches):
+        stars = Stars()
+
+        def edges() -> pa.RecordBatch:
+            out = stars.batch()
+            m = out.num_rows
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, EDGE, np.int32)), *out.columns, pa.nulls(m, I32), pa.nulls(m, pa.binary())], ["kind", "a", "b", "n", "classes"])
+
+        for cols in sorted_groups(batches, keys=2, most=20_000):
+            x, part, doc, n = (cols[c].to_numpy() for c in ("x", "part", "rep", "n"))
+            keep = np.flatnonzero(np.r_[True, (np.diff(x) != 0) | (np.diff(part) != 0) | (np.diff(doc) != 0)])
+            x, part, doc, n, classes = x[keep], part[keep], doc[keep], n[keep].astype(np.int64), cols["classes"].take(pa.array(keep))
+            counts = ClassCounts(classes.to_pylist())
+
+            def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                ok = compatible(n[i], n[j], np.abs(n[i] - n[j]), percent)
+                ok[ok] = compatible(n[i[ok]], n[j[ok]], counts.differ(i[ok], j[ok]), percent)
+                return ok
+
+            cuts = np.r_[np.flatnonzero(np.r_[True, (np.diff(x) != 0) | (np.diff(part) != 0)]), len(x)]
+            size, shared = np.diff(cuts), part[cuts[:-1]] >= 0
+            two = cuts[:-1][(size == 2) & ~shared]
+            two = two[fit(two, two + 1)]
+            stars.add(doc[two].tolist(), doc[two + 1].tolist())
+            found_from: list[int] = []
+            for s, m, several in zip(*(v[(size > 2) | shared].tolist() for v in (cuts[:-1], size, shared))):
+                left = np.arange(s, s + m)
+                while len(left):
+                    todo, left = [left[0]], left[1:]
+                    sources = {int(todo[0])}
+                    while todo and len(left):
+                        q = todo.pop()
+                        fits = fit(np.full(len(left), q), left)
+                        found, left = left[fits], left[~fits]
+                        if len(found):
+                            sources.add(int(q))
+                            todo += found.tolist()
+                            stars.add([int(doc[q])] * len(found), doc[found].tolist())
+                    if several:
+                        found_from += sources
+            if found_from:
+                at = pa.array(found_from, I64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), FOUND_FROM, np.int32)), pa.array(x).take(at), pa.array(doc).take(at), pa.array(n.astype(np.int32)).take(at), classes.take(at)], ["kind", "a", "b", "n", "classes"])
+            if len(stars.parent) > 200_000:
+                yield edges()
+        yield edges()
+
+    return run
+
+
+def _join_parts(percent: int):
+    """Edges between the sets that the tasks of a list found others from."""
 
     def run(batches):
-        cols = _all(batches)
-        if not cols:
-            return
-        x, doc, n = _numbers(cols["x"]), _numbers(cols["rep"]), _numbers(cols["n"]).astype(np.int64)
-        order = np.lexsort((doc, x))
-        keep = order[np.r_[True, (np.diff(x[order]) != 0) | (np.diff(doc[order]) != 0)]]
-        x, doc, n = x[keep], doc[keep], n[keep]
-        every = [b for c in cols["classes"] for b in c.to_pylist()]
-        counts = ClassCounts([every[i] for i in keep])
-
-        def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            ok = compatible(n[i], n[j], np.abs(n[i] - n[j]), percent)
-            ok[ok] = compatible(n[i[ok]], n[j[ok]], counts.differ(i[ok], j[ok]), percent)
-            return ok
-
-        cuts = np.r_[np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), len(x)]
-        size = np.diff(cuts)
-        two = cuts[:-1][size == 2]
-        two = two[fit(two, two + 1)]
-        a, b = [doc[two]], [doc[two + 1]]
-        for s, m in zip(cuts[:-1][size > 2], size[size > 2]):
-            left = np.arange(s, s + m)
-            while len(left):
-                todo, left = [left[0]], left[1:]
-                while todo and len(left):
-                    q = todo.pop()
-                    fits = fit(np.full(len(left), q), left)
-                    found, left = left[fits], left[~fits]
-                    todo += found.tolist()
-                    a.append(np.full(len(found), doc[q]))
-                    b.append(doc[found])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        def edges():
+            for cols in sorted_groups(batches, most=20_000):
+                x, doc, n = (cols[c].to_numpy() for c in ("a", "b", "n"))
+                n, counts = n.astype(np.int64), ClassCounts(cols["classes"].to_pylist())
+                cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(x) != 0]), len(x)]
+                for s, e in zip(cuts, cuts[1:]):
+                    if e - s > MOST_PAIRED:
+                        yield np.full(e - s, doc[s]), doc[s:e]
+                        continue
+                    for i in range(s, e - 1):
+                        j = np.arange(i + 1, e)
+                        own = np.full(len(j), i)
+                        j = j[near_enough(n[own], n[j], counts.differ(own, j, coarser=2), percent)]
+                        yield np.full(len(j), doc[i]), doc[j]
+
+        yield from contracted(edges())
 
     return run
 
@@ -331,27 +384,23 @@ def _search_groups(k: int, percent: int):
     """Star edges of the linked sets of each group of texts."""
 
     def run(batches):
-        cols = _all(batches)
-        if not cols:
-            return
         unpack = zstandard.ZstdDecompressor().decompress
         shingler = Shingler(k)
-        group, doc = _numbers(cols["g"]), _numbers(cols["doc_id"])
-        packed = [b for c in cols["z"] for b in c.to_pylist()]
-        order = np.lexsort((doc, group))
-        cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]), len(order)]
-        a, b = [], []
-        for s, e in zip(cuts, cuts[1:]):
-            sets: list[np.ndarray] = []
-            for at in range(s, e, 200):
-                texts = [unpack(packed[i]).decode("utf-8") for i in order[at : min(e, at + 200)]]
-                text, h = shingler.sets(texts)
-                ends = np.searchsorted(text, np.arange(len(texts) + 1))
-                sets += [h[i:j] for i, j in zip(ends, ends[1:])]
-            own = doc[order[s:e]]
-            a.append(own)
-            b.append(own[search(sets, percent)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        for cols in sorted_groups(batches, most=5_000):
+            group, doc, packed = cols["g"].to_numpy(), cols["doc_id"].to_numpy(), cols["z"]
+            cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(group) != 0]), len(group)]
+            a, b = [], []
+            for s, e in zip(cuts, cuts[1:]):
+                sets: list[np.ndarray] = []
+                for at in range(s, e, 200):
+                    texts = [unpack(z).decode("utf-8") for z in packed.slice(at, min(e, at + 200) - at).to_pylist()]
+                    text, h = shingler.sets(texts)
+                    ends = np.searchsorted(text, np.arange(len(texts) + 1))
+                    sets += [h[i:j] for i, j in zip(ends, ends[1:])]
+                own = doc[s:e]
+                a.append(own)
+                b.append(own[search(sets, percent)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return run
 
@@ -364,21 +413,25 @@ def _packed_texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack(t.encode("utf-8")) for t in texts], pa.binary())], ["doc_id", "z"])
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_docs: int = 10_000, most_frequent: int = 500_000, max_group_shingles: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_docs: int = 10_000, most_frequent: int = 500_000, max_group_shingles: int = 2_000_000, list_rows: int = 4_000) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     apart = counts_only(docs.filter(F.col("doc_id").isNull()), k).withColumn("component_id", F.lit(None).cast("long"))
     docs = docs.filter(F.col("doc_id").isNotNull())
-    first = Scratch(short_lists(docs, k, percent, frequent_shingles(docs, k, sample_docs, most_frequent)))
+    first = Scratch(short_lists(docs, k, percent, frequent_shingles(docs, k, sample_docs, most_frequent), list_rows))
     own = first.read().filter(F.col("kind") == DOC).select("doc_id", "n", "x", "y", "classes")
     rep = own.filter("n > 0").groupBy("x", "y", "n").agg(F.min("doc_id").alias("rep"))
     classed = Scratch(own.join(rep, ["x", "y", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "classes"))
 
-    shared = first.read().filter(F.col("kind") == SHORT).select("x", "doc_id").repartition(parts, "x").mapInArrow(_shared_only, "x long, doc_id long")
-    met = shared.join(classed.read(), "doc_id").select("x", "rep", "n", "classes").repartition(parts, "x")
-    near = connected_components(met.mapInArrow(_forest(percent), "a long, b long"))
+    lists = first.read().filter(F.col("kind") == SHORT).select("x", F.col("n").alias("part"), "doc_id").repartition(parts, "x", "part").sortWithinPartitions("x", "part")
+    shared = lists.mapInArrow(_shared_only(list_rows), "x long, part long, doc_id long")
+    met = shared.join(classed.read(), "doc_id").select("x", "part", "rep", "n", "classes").repartition(parts, "x", "part").sortWithinPartitions("x", "part", "rep")
+    forest = Scratch(met.mapInArrow(_forest(percent), FOREST))
+    between = forest.read().filter(F.col("kind") == FOUND_FROM).select("a", "b", "n", "classes").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_join_parts(percent), "a long, b long")
+    near = connected_components(forest.read().filter(F.col("kind") == EDGE).select("a", "b").union(between), stars_already=True)
+    forest.drop()
 
     reps = classed.read().filter("doc_id = rep").select("doc_id", "n").dropDuplicates(["doc_id"]).join(near.withColumnRenamed("node", "doc_id"), "doc_id")
     blocks = reps.groupBy("component").agg(F.sum("n").alias("all_n")).withColumn("blocks", F.ceil(2 * F.col("all_n") / max_group_shingles)).filter("blocks > 2").select("component", "blocks")
@@ -393,7 +446,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_do
     first.drop()  # what was read of it has been written
     packed = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInArrow(_packed_texts, "doc_id long, z binary")
     grouped = packed.join(members.withColumnRenamed("component", "g"), "doc_id").select("g", "doc_id", "z")
-    found = grouped.repartition(parts, "g").mapInArrow(_search_groups(k, percent), "a long, b long")
+    found = grouped.repartition(parts, "g").sortWithinPartitions("g", "doc_id").mapInArrow(_search_groups(k, percent), "a long, b long")
     found = connected_components(found) if split else found.toDF("node", "component")
     label = found.groupBy("node").agg(F.min("component").alias("component"))
     linked = (
