@@ -113,12 +113,42 @@ def test_recall_of_the_default_factor(spark):
     assert hit >= 0.9 * sum(map(len, want.values()))
 
 
+def exact(spark, ids, x, **how):
+    got = vptree.nearest(vectors(spark, ids, x), F.col("vec_id") % 20 == 0, k=20, factor=1.0, **how).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        by.setdefault(r["query_id"], []).append(r["vec_id"])
+    return by
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(4)
+    # 400 distinct vectors of one inner product with the first, and small integers, which tie everywhere
+    flood = np.concatenate([np.ones((401, 1)), rng.normal(size=(401, 3)).astype(np.float32)], axis=1)
+    flood[0] = [1, 0, 0, 0]
+    small = rng.integers(-1, 2, (700, 4)).astype(float)
+    small[(small == 0).all(axis=1)] = 1
+    for x, how in ((flood, {"shard_rows": 10_000}), (flood, {"shard_rows": 60, "block_rows": 3}), (small, {"shard_rows": 90}), (small * 1e6, {"shard_rows": 90})):
+        ids = rng.permutation(len(x)) if x is not flood else np.arange(len(x))
+        assert exact(spark, ids, x, **how) == {q: [v for v, _ in rows] for q, rows in brute_nearest(ids, x, 20).items()}
+
+
+def test_repeated_ids_and_large_norms(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6)).astype(np.float32).astype(float) * 10.0 ** rng.integers(0, 7, (300, 1))
+    x = x.astype(np.float32).astype(float)
+    assert exact(spark, np.arange(300), x, shard_rows=50) == {q: [v for v, _ in rows] for q, rows in brute_nearest(np.arange(300), x, 20).items()}
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [3.0, 1.0]), (5, [2.0, 0.0]), (7, [1.0, 5.0])]
+    got = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=3).collect()
+    assert sorted(tuple(r) for r in got) == sorted([(20, 1, 20, 3.0), (20, 2, 5, 2.0), (20, 3, 7, 1.0), (20, 1, 7, 8.0), (20, 2, 5, 6.0), (20, 3, 20, 3.0)])
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5]), (20, [0.0, 2.0]), (None, [1.0, 1.0]), (40, [1.0, 2.0, 3.0])]
+    rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [0.5, 0.5]), (20, [0.0, 2.0]), (None, [1.0, 1.0]), (40, [1.0, 2.0, 3.0]), (60, [1.0, 1.0, 1.0, 1.0]), (61, [1.0, 0.0, 0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = vptree.nearest(df, F.col("vec_id") % 20 == 0, k=20).collect()
-    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {(0, 1, 7), (0, 2, 20), (20, 1, 7), (20, 2, 0)}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {(0, 1, 7), (0, 2, 20), (20, 1, 7), (20, 2, 0), (60, 1, 61)}
     assert vptree.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert vptree.nearest(df.filter("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
