@@ -13,10 +13,14 @@ Windows begin at every word of a document and have the size of the items, in cla
 1.5. A window that holds too few words of the benchmark at all cannot be near any item and is left out first, by
 sums; sampled steps are read in order and windows that agree with no item drop out at once.
 
-The benchmark is broadcast in blocks of at most max_block_words words, each with a pass of its own, so what is
-broadcast is bounded. Items of fewer than min_words words are not searched. Null and empty texts hold nothing; of
-several occurrences of an item that do not overlap each is reported; of overlapping ones that with the fewest edits,
-then the leftmost. Other columns are not read.
+The benchmark is broadcast in blocks of at most max_block_words words, or one longer item; where there are several,
+each has a pass of its own whose findings are written before the next begins, so one block is held at a time. Random bits
+come from hashes of words, so what a task holds is a few numbers for each item and repetition.
+
+Items of any length are searched: of those of fewer than 1 / (1 - similarity) words, which allow no edit, exact copies
+are found. Null, empty and wordless items are none, and null and empty texts hold nothing. Of several occurrences of an
+item that do not overlap each is reported; of overlapping ones that with the fewest edits, then the leftmost. Repeated
+rows and rows without a doc_id are searched like others, very long texts one at a time. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import mix, small_batches, text_blocks
+from sparkloom.llm.common import Scratch, mix, small_batches, text_blocks
 
 SCHEMA = "doc_id long, item_id long, start_word int, end_word int, edits int, item_words int"
 WORD = re.compile(r"\w+")
@@ -93,46 +97,56 @@ class Repetition:
         self.offset = int(rng.integers(0, max(1, least - STRETCH // 2)))
         steps = max(1, min(STRETCH, int(RATIO * (least - self.offset))))
         self.at = np.sort(rng.choice(steps, min(samples, steps), replace=False))
-        self.bits = rng.integers(0, 2, (int(self.at[-1]) + 1, vocabulary + 1), np.int8)
-        self.prefixes: list[set[int]] = [set() for _ in self.at]
-        self.items: dict[int, list[int]] = defaultdict(list)
-        for k in which:
-            i, key, written = self.offset, np.uint64(0), []
-            for step in range(len(self.bits)):
-                if i >= len(items[k]):
-                    break
-                if step in self.at:
-                    key = self.extend(key, items[k][i])
-                    written.append(int(key))
-                i += int(self.bits[step, items[k][i]])
-            if len(written) == len(self.at):  # else the walk left the item before its last sample
-                for seen, key in zip(self.prefixes, written):
-                    seen.add(key)
-                self.items[written[-1]].append(k)
-        self.sorted = [np.array(sorted(p), np.uint64) for p in self.prefixes]
+        self.seed, self.vocabulary = np.uint64(rng.integers(0, 2**63)), vocabulary
+        moves = self.moves()
+        which = np.array(which)
+        lengths = np.fromiter((len(items[k]) for k in which), np.int64, len(which))
+        flat, base = np.concatenate([items[k] for k in which]), np.cumsum(lengths) - lengths
+        i, key, written = np.full(len(which), self.offset), np.zeros(len(which), np.uint64), []
+        for step in range(int(self.at[-1]) + 1):
+            going = i < lengths
+            i, key, which, lengths, base = i[going], key[going], which[going], lengths[going], base[going]
+            written = [w[going] for w in written]
+            words = flat[base + i]
+            if step in self.at:
+                key = self.extend(key, words)
+                written.append(key)
+            i = i + (moves[words] >> np.uint16(step) & np.uint16(1))
+        # a walk that left its item before its last sample is gone
+        self.sorted = [np.unique(w) for w in written]
+        order = np.argsort(key, kind="stable")
+        self.keys, self.items = key[order], which[order]
+
+    def moves(self) -> np.ndarray:
+        """For each word a bit for each step, by a hash."""
+        return (mix(np.arange(self.vocabulary + 1, dtype=np.uint64) ^ self.seed) >> np.uint64(20)).astype(np.uint16)
 
     @staticmethod
     def extend(key, word):
         with np.errstate(over="ignore"):
             return mix(key * np.uint64(0x9E3779B97F4A7C15) + np.asarray(word).astype(np.uint64) + np.uint64(1))
 
-    def candidates(self, words: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(first word of the walk, item) of the walks that agree with an item's; words is padded."""
-        if not len(self.sorted[-1]):
-            return
+    def candidates(self, words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first words of the walks, items) of the walks that agree with an item's; words is padded."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(self.keys):
+            return none
+        moves = self.moves()
         i, key, sampled = start.copy(), np.zeros(len(start), np.uint64), 0
-        for step, bits in enumerate(self.bits):
+        for step in range(int(self.at[-1]) + 1):
+            own = words[i]
             if step == self.at[sampled]:
-                key, known = self.extend(key, words[i]), self.sorted[sampled]
+                key, known = self.extend(key, own), self.sorted[sampled]
                 alive = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-                start, i, key = start[alive], i[alive], key[alive]
+                start, i, key, own = start[alive], i[alive], key[alive], own[alive]
                 sampled += 1
                 if not len(start):
-                    return
-            i = i + bits[words[i]]
-        for s, k in zip(start.tolist(), key.tolist()):
-            for item in self.items[k]:
-                yield s, item
+                    return none
+            i = i + (moves[own] >> np.uint16(step) & np.uint16(1))
+        low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        n = high - low
+        at = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(start, n), self.items[at]
 
 
 def edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -178,9 +192,9 @@ class Detector:
         start = np.flatnonzero(text)
         missed = np.ones(len(item), bool)
         for r in range(MOST):
-            for s, k in repetition(r).candidates(text, start):
-                t = np.searchsorted(ends, s, "right")
-                missed[t] &= item[t] != k
+            s, k = repetition(r).candidates(text, start)
+            t = np.searchsorted(ends, s, "right")
+            missed[t[item[t] == k]] = False
             if missed.mean() <= (1 - recall) / 2:
                 return r + 1
             start = start[missed[np.searchsorted(ends, start, "right")]]
@@ -202,9 +216,8 @@ class Detector:
             full = known[np.maximum(first + least, 0)] - known[np.maximum(first, 0)] >= enough
             for r in repetitions:
                 start = np.flatnonzero(full[least - r.offset : least - r.offset + len(words)])
-                for s, k in r.candidates(padded, start):
-                    doc = int(np.searchsorted(base, s, "right")) - 1
-                    met.add((doc, s - r.offset, k))
+                s, k = r.candidates(padded, start)
+                met.update(zip((np.searchsorted(base, s, "right") - 1).tolist(), (s - r.offset).tolist(), k.tolist()))
         if not met:
             return []
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
@@ -230,7 +243,7 @@ class Detector:
         return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.98, samples: int = 4, min_words: int = 8, seed: int = 7, max_block_words: int = 200_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.98, samples: int = 4, min_words: int = 1, seed: int = 7, max_block_words: int = 200_000) -> DataFrame:
     """One row for each passage of docs (doc_id, text) that is an item of benchmark (item_id, text), or nearly."""
     small_batches(docs.sparkSession)
     sized = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).withColumn("n", F.size(F.split("text", r"\s+")))
@@ -246,16 +259,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
         def run(batches):
             own, counts = shared.value
             detector = Detector(own, similarity, recall, samples, min_words, seed, counts)
-            for ids, texts in text_blocks(batches, "doc_id", "text", 1_000_000):
+            for ids, texts in text_blocks(batches, "doc_id", "text"):
                 rows = [(ids[d], detector.ids[k], x, y, e, len(detector.items[k])) for d, k, x, y, e in detector.find([words_of(t) for t in texts])]
                 columns = zip(*rows) if rows else ((),) * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *(pa.int32(),) * 4))], [f.split()[0] for f in SCHEMA.split(", ")])
 
-        return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        found = docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        if blocks > 1:
+            found = Scratch(found).read()
+            shared.unpersist()
+        return found
 
     return reduce(DataFrame.unionByName, map(search, range(blocks)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs less the documents that hold a benchmark passage."""
+    """docs less the documents that hold a benchmark passage; rows without a doc_id stay."""
     return docs.join(find_contamination(docs, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti")

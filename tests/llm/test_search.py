@@ -41,14 +41,18 @@ def test_decontamination_recall_and_precision(spark):
     for d in range(300):
         w = words(rng, 120, 3000)
         if d % 2:
-            i, t = items[rng.randrange(60)]
+            i, t = items[rng.randrange(len(items))]
             own = t.split()
             for _ in range(rng.randrange(int(0.15 * len(own)) + 1)):
                 at = rng.randrange(len(own))
                 own[at : at + 1] = rng.choice([[], ["new"], ["new", own[at]]])
             w[40:40] = [x.upper() + "!" for x in own]
         texts.append(" ".join(w))
-    benchmark = spark.createDataFrame([*items, (98, None), (99, ""), (100, "too short"), items[0]], "item_id long, text string")
+    short = [(200, "q1 q2"), (201, "q3"), (202, "q4 q5 q6 q7 q8 q9"), (203, "w1 q2")]
+    for t in ("q1 q2", "q1 Q2!", "w7 q3", "q4 q5 q6 q8 q9", "q4 q5 w1 w2 q8 q9", "w2 q2"):
+        texts.append(" ".join(words(rng, 30, 3000)) + f" {t} " + " ".join(words(rng, 30, 3000)))
+    items += short
+    benchmark = spark.createDataFrame([*items, (98, None), (99, ""), (100, "?!"), items[0]], "item_id long, text string")
     rows = decontam.find_contamination(with_clashes(docs_frame(spark, texts)), benchmark, max_block_words=1_500).collect()
     got = {(r["doc_id"], r["item_id"]) for r in rows}
     for d, t in enumerate(texts):
@@ -57,6 +61,8 @@ def test_decontamination_recall_and_precision(spark):
             if brute_edits(own, decontam.words_of(t)) <= int(0.2 * len(own) + 1e-9):
                 want.add((d, i))
     assert got <= want and len(got) >= 0.97 * len(want) > 0
+    assert {(d, i) for d, i in got if i in (200, 201, 203)} == {(d, i) for d, i in want if i in (200, 201, 203)}  # no edits: all of them
+    assert {i for _, i in want} >= {200, 201, 202}
     for r in rows:
         run = decontam.words_of(texts[r["doc_id"]])[r["start_word"] : r["end_word"]]
         assert r["edits"] == brute_edits(decontam.words_of(dict(items)[r["item_id"]]), run)
@@ -199,14 +205,31 @@ def test_licenses_in_long_lines(spark):
 
 def test_decontamination_recall_at_the_edit_bound(spark):
     rng = random.Random(11)
-    for length in (10, 25, 60, 100, 200):
+    # all left out, all put in, all replaced, mixed
+    kinds = [lambda w: [], lambda w: ["new", w], lambda w: ["new"], lambda w: rng.choice([[], ["new"], ["new", w]])]
+    for length in (5, 7, 10, 20, 40, 60, 100, 200):
         items = [(i, " ".join(words(rng, length, 3000))) for i in range(40)]
         texts = []
         for d in range(200):
             own = [[w] for w in items[d % 40][1].split()]
             for at in rng.sample(range(length), length // 5):
-                own[at] = rng.choice([[], ["new"], ["new", own[at][0]]])
+                own[at] = kinds[d % 4](own[at][0])
             texts.append(" ".join(words(rng, 30 * (d % 3), 3000) + sum(own, []) + words(rng, 30 * (d % 2), 3000)))
         benchmark = spark.createDataFrame(items, "item_id long, text string")
         got = {(r["doc_id"], r["item_id"]) for r in decontam.find_contamination(docs_frame(spark, texts), benchmark).collect()}
         assert sum((d, d % 40) in got for d in range(200)) >= 0.96 * 200, length
+
+
+def test_a_large_benchmark_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 60_000, n))) for i, n in enumerate([40] * 4_000 + [1_000] * 40)]
+    detector = decontam.Detector(items[:4], 0.8, 0.98, 4, 1, 7)
+    counts = dict.fromkeys((int(np.log(n) / np.log(decontam.RATIO)) for n in (40, 1_000)), 40)
+    tracemalloc.start()
+    detector = decontam.Detector(items, 0.8, 0.98, 4, 1, 7, counts)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    text = items[9][1].split() + ["x"] * 50 + items[4_005][1].split()
+    assert {k for _, k, *_ in detector.find([text])} == {9, 4_005} and held < 200e6
