@@ -8,8 +8,9 @@ is reported with the exact differences: words of the template that the block lac
 The share saved is that of the block, or of the words around the statement in a block of more than 240 words.
 
 Null and empty texts have no blocks; equal savings go to the name that comes first; each statement that overlaps no
-better one is reported, so a block may state several licenses, or one in several places. Lines are taken whole, so
-long ones are read whole too. Other columns are not read.
+better one is reported, so a block may state several licenses, or one in several places. Repeated rows and rows without
+a doc_id are scanned like others. Lines are taken whole, so long ones are read whole too; very long texts are scanned
+one at a time. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ are joined by interval: a weak part is reported when, in its scope (the paragrap
 of complementary kinds begin: an identifier and a secret, or an endpoint with both. The join is one pass over the
 parts in order of position, so it makes no pairs.
 
-Null and empty texts have no findings; overlapping findings of different kinds are all kept; repeated rows are scanned
-anew; other columns are not read. Whole texts are scanned.
+Null and empty texts have no findings; overlapping findings of different kinds are all kept, but a weak part that
+overlaps a base finding is no part of its own; repeated rows and rows without a doc_id are scanned like others; other
+columns are not read. Whole texts are scanned, very long ones one at a time, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -57,11 +58,16 @@ def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     found += [(m.start(), m.end(), "identifier") for m in IDENTIFIER.finditer(text)] if re.search("user|login|client|account|access", text, re.I) else []
     if found or base:
         found += [(m.start(), m.end(), "random") for m in RANDOM.finditer(text) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
-    taken = sorted((a, b) for a, b, _ in base)
+    taken: list[list[int]] = []  # base findings, joined where they overlap
+    for a, b, _ in sorted(base):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
 
     def overlaps(a: int, b: int) -> bool:
-        i = bisect.bisect_left(taken, (b, -1))
-        return any(x < b and a < y for x, y in taken[max(0, i - 4) : i])
+        i = bisect.bisect_left(taken, [b, -1])
+        return i > 0 and a < taken[i - 1][1]
 
     return [(a, b, k) for a, b, k in found if not overlaps(a, b)]
 
@@ -75,7 +81,8 @@ def linked(text: str, base: list[tuple[int, int, str]], weak: list[tuple[int, in
         v.sort()
     out = []
     for a, b, k in weak:
-        low = max(a - scope_chars, text.rfind("\n\n", 0, a) + 1)
+        low = max(0, a - scope_chars)
+        low = max(low, text.rfind("\n\n", low, a) + 1)
         end = text.find("\n\n", b, b + scope_chars)
         high = b + scope_chars if end < 0 else end
         if all((i := bisect.bisect_left(starts[r], low)) < len(starts[r]) and starts[r][i] < high for r in NEEDS[ROLE[k]]):

@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkloom.llm import lang_id, secret_scan
@@ -101,3 +103,88 @@ def test_weak_parts_need_their_complement(spark):
 def test_empty_tables(spark):
     empty = docs_frame(spark, [])
     assert lang_id.identify(empty).count() == 0 and secret_scan.scan(empty).count() == 0
+
+
+def brute_linked(text, base, weak, scope):
+    """Every weak part against every other part, by the definition."""
+    role, needs = secret_scan.ROLE, secret_scan.NEEDS
+    breaks = [i for i in range(len(text) - 1) if text[i : i + 2] == "\n\n"]
+    out = []
+    for a, b, k in weak:
+        low = max([a - scope] + [i + 1 for i in breaks if a - scope <= i and i + 2 <= a])
+        high = min([b + scope] + [i for i in breaks if b <= i and i + 2 <= b + scope])
+        roles = {role[k2] for a2, _, k2 in base + weak if low <= a2 < high}
+        if all(r in roles for r in needs[role[k]]):
+            out.append((a, b, k))
+    return out
+
+
+def test_links_equal_brute_force():
+    rng = random.Random(21)
+    random40 = lambda: "".join(rng.choice("abcXYZ0189") for _ in range(37)) + "aZ9"
+    parts = [
+        lambda: "user: bob%d" % rng.randrange(99),
+        lambda: "https://db.example.org/x",
+        random40,
+        lambda: "token=abcdef0123456789",
+        lambda: "AKIA" + "Q7" * 8,
+        lambda: "0f" * 16,
+        lambda: "token=" + ".".join(["0f" * 16] * 6) + "+" + random40(),
+        lambda: "\n\n",
+        lambda: "plain words " * rng.randrange(1, 12),
+    ]
+    links = 0
+    for _ in range(400):
+        text = " ".join(rng.choice(parts)() for _ in range(rng.randrange(2, 14)))
+        base = secret_scan.base_findings(text)
+        weak = secret_scan.weak_parts(text, base)
+        assert not any(a < y and x < b for a, b, _ in weak for x, y, _ in base)
+        got = secret_scan.linked(text, base, weak, 120)
+        assert got == brute_linked(text, base, weak, 120)
+        links += len(got)
+    assert links > 100
+
+
+def test_secret_scan_of_a_very_long_text():
+    import time
+
+    text = ("user: bob and https://db.example.org/x " + "w " * 60) * 20_000
+    began = time.time()
+    base = secret_scan.base_findings(text)
+    weak = secret_scan.weak_parts(text, base)
+    assert secret_scan.linked(text, base, weak, 300) == [] and len(weak) == 40_000 and time.time() - began < 30
+
+
+def brute_language(model, text):
+    """Mean of word scores, letter by letter, by the definition."""
+    total, n = np.zeros(len(model.languages)), 0
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w in model.words:
+            s = model.table[model.words[w]]
+        else:
+            marked, at, own = f" {w} ", 0, []
+            while at < len(marked):
+                size = next((k for k in (4, 3, 2, 1) if marked[at : at + k] in model.grams), None)
+                own.append(model.table[model.grams[marked[at : at + size]] if size else 0])
+                at += size or 1
+            s = np.mean(own, axis=0)
+        total, n = total + s, n + 1
+    share = np.exp(8.0 * (total / n - max(total / n)))
+    return model.languages[int(np.argmax(share))], float(share.max() / share.sum())
+
+
+def test_predictions_equal_brute_force(spark):
+    rng = random.Random(22)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    texts = [make("abcde" if i % 2 else "cdefg", rng.randrange(1, 30)) for i in range(120)]
+    d = docs_frame(spark, texts, ["xx" if i % 2 else "yy" for i in range(120)])
+    model = lang_id.fit(d.filter("doc_id < 60"))
+    for r in lang_id.predict(d, model).collect():
+        lang, score = brute_language(model, texts[r["doc_id"]])
+        assert abs(r["score"] - score) < 1e-9 and (r["lang_pred"] == lang or abs(score - 0.5) < 1e-9)
+
+
+def test_held_out_accuracy(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null")
+    rows = lang_id.identify(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len(rows) > 200 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.99 * len(rows)

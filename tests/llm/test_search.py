@@ -203,6 +203,60 @@ def test_licenses_in_long_lines(spark):
     assert sorted((r["doc_id"], r["license"]) for r in rows) == [(0, "Unlicense"), (1, "MIT statement"), (2, "MIT statement"), (2, "MIT statement")]
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def brute_licenses(words_, templates, similarity=0.8):
+    """Names of the templates that some run of words states: every template, every run."""
+    found = set()
+    for name, text in templates.items():
+        t = license_scan.words_of(text)
+        for s in range(len(words_)):
+            for e in range(s + 1, min(len(words_), s + int(len(t) / similarity)) + 1):
+                if lcs(words_[s:e], t) >= similarity * len(t):
+                    found.add(name)
+    return found
+
+
+def test_every_statement_is_found():
+    names = ("MIT statement", "CC-BY-4.0", "GPL-3.0 statement", "Apache-2.0 statement", "Unlicense", "CC-BY-4.0 statement", "CC-BY-NC-4.0 statement")
+    text = "\n".join(license_scan.TEMPLATES[n] for n in names)
+    assert [f[0] for f in sorted(license_scan.Matcher(license_scan.TEMPLATES, 0.8).find(text), key=lambda f: f[2])] == list(names)
+
+
+def test_licenses_equal_brute_force():
+    rng = random.Random(23)
+    templates = {f"T{i}": " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(3, 9))) for i in range(6)}
+    matcher, stated = license_scan.Matcher(templates, 0.8), 0
+    for _ in range(150):
+        own = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(25))]
+        for name in rng.sample(sorted(templates), rng.randrange(3)):
+            t = templates[name].split()
+            t[rng.randrange(len(t)) :][:1] = rng.choice([[], ["x"], ["x", "y"]])
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = t
+        found = matcher.find(" ".join(own))
+        want = brute_licenses(own, templates)
+        assert {f[0] for f in found} <= want
+        # what is left out overlaps something that is reported
+        for name in want - {f[0] for f in found}:
+            t = templates[name].split()
+            places = matcher.places(own, t)
+            assert places and all(any(s < f[3] and f[2] < e for f in found) for s, e in places)
+        stated += len(want)
+        for name, _, s, e, diff, missing, added in found:
+            t = templates[name].split()
+            assert (missing == 0 and added == 0) == (own[s:e] == t) and len(t) - missing == e - s - added
+    assert stated > 80
+
+
 def test_decontamination_recall_at_the_edit_bound(spark):
     rng = random.Random(11)
     # all left out, all put in, all replaced, mixed
