@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.scoring import OUTCOMES, metrics, ratio, tally
@@ -15,70 +16,112 @@ from sparkloom.operators.scoring import OUTCOMES, metrics, ratio, tally
 SEED = 7
 
 
-def draws(spark: SparkSession, n: int, resamples: int, seed: int = SEED) -> DataFrame:
-    """resample, position, times: how often each of n questions is drawn, one choice per question.
+#: Questions that one group may have: its counts are an array in one row.
+MOST_QUESTIONS = 2_000_000
 
-    The stream of one generator has to be drawn in order; the table is small: a row per resample.
+
+def words_from(seed: int) -> np.random.MT19937:
+    """The stream of 32-bit words of random.Random(seed)."""
+    key = random.Random(seed).getstate()[1]
+    generator = np.random.MT19937()
+    generator.state = {"bit_generator": "MT19937", "state": {"key": np.array(key[:-1], np.uint32), "pos": key[-1]}}
+    return generator
+
+
+def drawn_times(n: int, first: int, resamples: int, seed: int = SEED, block: int = 4_000_000) -> Iterator[np.ndarray]:
+    """Matrices (resample, place): how often each of n places is drawn, one choice per place, from resample `first` on.
+
+    A choice takes the upper bits of a word and, where they are no place, those of the next word, so where a resample
+    begins is known only by going through those before it; that costs a few nanoseconds a draw.
     """
-    rng = random.Random(seed)
-    places = range(n)
-    rows = []
-    for r in range(resamples):
-        times = [0] * n
-        for _ in places:
-            times[rng.choice(places)] += 1
-        rows.append((r, times))
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["resample", "times"]), "resample int, times array<int>")
-
-
-def bootstrap(trials: DataFrame, key: str, names: list[str], resamples: int, level: float = 0.95, seed: int = SEED) -> DataFrame:
+    generator, shift = words_from(seed), np.uint64(32 - n.bit_length())
+    rest = np.zeros(0, np.int64)
+    skip, left = first * n, resamples * n
+    rows = max(1, block // n)
+    while left:
+        while len(rest) < min(left, rows * n) + min(skip, block):
+            r = generator.random_raw(min(block, 2 * (left + skip) + 64)) >> shift
+            r = r[r < n].astype(np.int64)
+            gone = min(skip, len(r))
+            skip -= gone
+            rest = np.concatenate([rest, r[gone:]])
+        take = min(left, rows * n) // n
+        places = rest[: take * n] + np.repeat(np.arange(take) * n, n)
+        yield np.bincount(places, minlength=take * n).reshape(take, n)
+        rest = rest[take * n :]
+        left -= take * n
+
+
+def sign_matrices(n: int, first: int, permutations: int, seed: int = SEED, block: int = 2_000_000) -> Iterator[np.ndarray]:
+    """Matrices (permutation, place) of random signs: +1 where random() < 0.5, two words for each."""
+    generator, rows = words_from(seed), max(1, block // n)
+    for done in range(0, first * n * 2, 50_000_000):
+        generator.random_raw(min(50_000_000, first * n * 2 - done), False)
+    for s in range(0, permutations, rows):
+        m = min(rows, permutations - s)
+        high = generator.random_raw(2 * m * n)[::2] >> np.uint64(31)
+        yield 1.0 - 2.0 * high.astype(np.float64).reshape(m, n)
+
+
+def checked(size: Column) -> Column:
+    return F.when(size <= MOST_QUESTIONS, size).otherwise(F.raise_error(F.lit(f"a group has more than {MOST_QUESTIONS} questions")).cast("int"))
+
+
+def in_blocks(df: DataFrame, rounds: int, blocks: int) -> DataFrame:
+    """df with a row for each block of rounds (first, rounds), dealt over the tasks."""
+    size = -(-rounds // blocks)
+    parts = [F.struct(F.lit(s).alias("first"), F.lit(min(size, rounds - s)).alias("rounds")) for s in range(0, rounds, size)]
+    return df.select("*", F.explode(F.array(*parts)).alias("block")).select(*df.columns, "block.*").repartition(blocks * 2)
+
+
+def bootstrap(trials: DataFrame, key: str, names: list[str], resamples: int = 10_000, level: float = 0.95, seed: int = SEED, blocks: int = 4) -> DataFrame:
     """Percentile intervals of metrics per group from a paired bootstrap of its questions in order of id.
 
-    Question counts of a group become arrays (bounded by the number of questions); resamples are joined to groups with
-    as many questions and summed by array functions, so each group and resample is one row.
+    The counts of a group's questions (at most MOST_QUESTIONS) are arrays; a task takes a group and a block of
+    resamples, draws for them and returns the sums of the counts, so each group and resample is one row.
     """
-    per_item = tally(trials, key, "item_id")
     cols = [n.lower() for n in OUTCOMES]
-    grouped = per_item.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("item_id", *cols))).alias("q"))
-    grouped = grouped.select(key, F.size("q").alias("size"), *[F.col("q")[c].alias(c) for c in cols])
-    sizes = [r["size"] for r in grouped.select("size").distinct().collect()]
-    spark = trials.sparkSession
-    tables = [draws(spark, n, resamples, seed).withColumn("size", F.lit(n)) for n in sizes]
-    if not tables:
-        return grouped.select(key, F.lit("").alias("metric"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high")).limit(0)
-    drawn = tables[0]
-    for t in tables[1:]:
-        drawn = drawn.union(t)
-    total = {c: F.aggregate(F.zip_with(c, "times", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x) for c in cols}
-    sums = grouped.join(drawn, "size").withColumns(total)
+    grouped = tally(trials, key, "item_id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("item_id", *cols))).alias("q"))
+    grouped = grouped.select(key, checked(F.size("q")).alias("size"), *[F.col("q")[c].alias(c) for c in cols])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                counts = np.array([row[c] for c in cols], np.float64).T
+                for times in drawn_times(row["size"], row["first"], row["rounds"], seed):
+                    sums = np.rint(times @ counts).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([row[key]] * len(sums)), *(pa.array(sums[:, i]) for i in range(len(cols)))], [key, *cols])
+
+    kind = dict(trials.dtypes)[key]
+    sums = in_blocks(grouped, resamples, blocks).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} long" for c in cols))
     every = metrics()
     long = sums.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), every[n].alias("v")) for n in names])).alias("m")).select(key, "m.*").filter("v is not null")
     low = (1 - level) / 2
     at = lambda p: F.element_at("s", (F.floor(F.lit(p) * (F.size("s") - 1)) + 1).cast("int"))
-    return long.groupBy(key, "metric").agg(F.array_sort(F.collect_list("v")).alias("s")).select(key, "metric", at(low).alias("low"), at(1 - low).alias("high"))
+    return long.groupBy(key, "metric").agg(F.array_sort(F.collect_list("v")).alias("s")).select(key, "metric", at(low).alias("low"), at(1 - low).alias("high"))  # as many values as resamples
 
 
-def sign_flip_p(differences: list[float], permutations: int, seed: int = SEED) -> float:
-    """Two-sided p-value of the mean of paired differences when signs are random."""
-    rng = random.Random(seed)
+def sign_flip_extremes(differences: list[float], first: int, permutations: int, seed: int = SEED) -> int:
+    """Of these permutations those whose mean is as far from zero as the observed one."""
     d = np.array(differences)
-    least, extreme, block = abs(sum(differences) / len(d)) - 1e-12, 0, 2_000
-    for s in range(0, permutations, block):
-        rows = min(block, permutations - s)
-        signs = np.array([1.0 if rng.random() < 0.5 else -1.0 for _ in range(rows * len(d))]).reshape(rows, -1)
-        totals = np.add.accumulate(signs * d, axis=1)[:, -1]  # in order, as a loop would add
-        extreme += int((np.abs(totals / len(d)) >= least).sum())
-    return (extreme + 1) / (permutations + 1)
+    least = abs(sum(differences) / len(d)) - 1e-12
+    return sum(int((np.abs(signs @ d / len(d)) >= least).sum()) for signs in sign_matrices(len(d), first, permutations, seed))
 
 
-def sign_flip_test(shifts: DataFrame, key: str, permutations: int, seed: int = SEED) -> DataFrame:
-    """p-value per group of its questions' shifts, in order of id; one group has at most all questions of one model."""
+def sign_flip_test(shifts: DataFrame, key: str, permutations: int = 20_000, seed: int = SEED, blocks: int = 4) -> DataFrame:
+    """Two-sided p-value per group of the mean of its questions' shifts (in order of id, at most MOST_QUESTIONS) when
+    signs are random; a task takes a group and a block of permutations."""
+    grouped = shifts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("item_id", "shift"))).alias("q"))
+    grouped = grouped.select(key, checked(F.size("q")).cast("long").alias("questions"), F.col("q.shift").alias("d"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        d = group.sort_values("item_id")["shift"].tolist()
-        return pd.DataFrame({key: [group[key].iloc[0]], "questions": [len(d)], "p_value": [sign_flip_p(d, permutations, seed)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            extremes = [sign_flip_extremes(r["d"], r["first"], r["rounds"], seed) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[key] for r in rows]), pa.array([r["questions"] for r in rows], pa.int64()), pa.array(extremes, pa.int64())], [key, "questions", "extreme"])
 
-    return shifts.select(key, "item_id", "shift").groupBy(key).applyInPandas(run, f"{key} string, questions long, p_value double")
+    found = in_blocks(grouped, permutations, blocks).mapInArrow(run, f"{key} {dict(shifts.dtypes)[key]}, questions long, extreme long")
+    return found.groupBy(key, "questions").agg(((F.sum("extreme") + 1) / F.lit(permutations + 1)).alias("p_value"))
 
 
 def holm(p_values: DataFrame, order: list[str], p: str = "p_value") -> DataFrame:

@@ -141,13 +141,22 @@ def pooled_shift(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def shift_sign_flip_tests(spark: SparkSession, d: str) -> DataFrame:
-    tests = stats.sign_flip_test(S.question_shift(trials(spark, d), "model"), "model", permutations=2_000)
+    tests = stats.sign_flip_test(S.question_shift(trials(spark, d), "model"), "model")
     return stats.holm(tests, ["model"])
 
 
+@query()
+def pooled_shift_test(spark: SparkSession, d: str) -> DataFrame:
+    """One sign-flip test over all models: each question gives its mean shift over them."""
+    per_item = S.question_shift(trials(spark, d), "model").groupBy("item_id").agg(F.avg("shift").alias("shift"))
+    p = stats.sign_flip_test(per_item.withColumn("test", F.lit("pooled")), "test", blocks=16)
+    signs = per_item.agg(F.round(F.avg("shift"), 6).alias("mean_shift"), F.count_if(F.col("shift") > 1e-12).alias("positive"), F.count_if(F.col("shift") < -1e-12).alias("negative"))
+    return p.crossJoin(F.broadcast(signs))  # one row each
+
+
 @query()
 def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return stats.bootstrap(trials(spark, d).filter("outcome <> 'N0'"), "model", ["acc", "f1_abs", "shift"], resamples=1_000)
+    return stats.bootstrap(trials(spark, d).filter("outcome <> 'N0'"), "model", ["acc", "f1_abs", "shift"])
 
 
 @query("""WITH p AS (SELECT o_orderpriority AS name, count(*) FILTER (WHERE o_orderstatus = 'F') / CAST(count(*) * 20 AS DOUBLE) AS p_value FROM orders GROUP BY 1),

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def trials(spark):
 
 def test_bootstrap_draws(spark):
     t = trials(spark)
-    got = {r["model"]: (r["low"], r["high"]) for r in stats.bootstrap(t, "model", ["acc"], resamples=200).collect()}
+    got = {r["model"]: (r["low"], r["high"]) for r in stats.bootstrap(t, "model", ["acc"], resamples=200, blocks=3).collect()}
     rows = t.collect()
     for model in ("m0", "m1"):
         own = [r for r in rows if r["model"] == model]
@@ -65,7 +66,19 @@ def test_bootstrap_draws(spark):
         assert got[model] == pytest.approx((values[int(0.025 * 199)], values[int((1 - 0.025) * 199)]), abs=1e-12)
 
 
-def test_sign_flips():
+def test_draws_of_a_block_follow_those_before():
+    for n in (1, 2, 7, 8, 100):
+        rng, want = random.Random(7), []
+        for _ in range(60):
+            times = [0] * n
+            for _ in range(n):
+                times[rng.choice(range(n))] += 1
+            want.append(times)
+        for first, rounds, block in ((0, 60, 4_000_000), (13, 47, 4_000_000), (20, 30, 50), (59, 1, 3)):
+            assert np.concatenate(list(stats.drawn_times(n, first, rounds, block=block))).tolist() == want[first : first + rounds]
+
+
+def test_sign_flips(spark):
     d = [0.25, -0.5, 0.125, 0.75, 0.0, 0.3, -0.1]
     rng, extreme = random.Random(7), 0
     least = abs(sum(d) / len(d)) - 1e-12
@@ -74,7 +87,10 @@ def test_sign_flips():
         for x in d:
             total += x if rng.random() < 0.5 else -x
         extreme += abs(total / len(d)) >= least
-    assert stats.sign_flip_p(d, 3000) == (extreme + 1) / 3001
+    assert sum(stats.sign_flip_extremes(d, first, 1000) for first in (0, 1000, 2000)) == extreme
+    shifts = spark.createDataFrame([("m", i, x) for i, x in enumerate(d)], "model string, item_id long, shift double")
+    row = stats.sign_flip_test(shifts, "model", permutations=3000, blocks=5).first()
+    assert row["p_value"] == (extreme + 1) / 3001 and row["questions"] == 7
 
 
 def test_auc_with_ties(spark):
