@@ -114,13 +114,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = b.agg(F.count("*").alias("n"))
     b = b.crossJoin(F.broadcast(n)).select("item_id", "text", "n")  # one row
     steps = b.select("item_id", "text", "n", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rank"))
-    d = b.select(F.col("item_id").alias("d_id"), F.substring("text", 1, 60).alias("d_text"))
+    d = b.select(F.col("item_id").alias("d_id"), F.col("text").alias("d_text"))
     joined = steps.withColumn("d_id", (F.col("item_id") + F.col("rank")) % F.col("n")).join(d, "d_id")
-    return joined.groupBy("item_id").agg(F.substring(F.first("text"), 1, 60).alias("gold"), F.first("text").alias("question"), F.array_sort(F.collect_list(F.struct("rank", "d_id", "d_text"))).alias("distractors"))
+    return joined.groupBy("item_id").agg(F.first("text").alias("gold"), F.first("text").alias("question"), F.array_sort(F.collect_list(F.struct("rank", "d_id", "d_text"))).alias("distractors"))
 
 
 ITEM = """item AS (
-  SELECT b.item_id, substr(b.text, 1, 60) AS gold, b.text AS question, s.rank AS rank, d.item_id AS d_id, substr(d.text, 1, 60) AS d_text
+  SELECT b.item_id, b.text AS gold, b.text AS question, s.rank AS rank, d.item_id AS d_id, d.text AS d_text
   FROM benchmark b, (SELECT unnest(range(1, 5)) AS rank) s, benchmark d
   WHERE d.item_id = (b.item_id + s.rank) % (SELECT count(*) FROM benchmark))"""
 

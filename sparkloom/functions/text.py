@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -93,24 +94,51 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t).replace("­", ""), na_action="ignore")
 
 
-SENTENCE_END = (".", "!", "?")
-# Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = ("e.g", "i.e", "et al", "fig", "figs", "eq", "ref", "refs", "vs", "cf", "dr", "approx", "no")
+# What ends a sentence, what may close after it, and abbreviations whose full stop ends none.
+SENTENCE_MARKS = re.compile("[.!?\u2026]+[\"'\u2019\u201d)\\]]*")
+CLOSERS = ")]}\"'\u2019\u201d"
+ABBREVIATIONS = frozenset(
+    "al approx ca cf chap dr e.g ed eds eq eqs esp et etc fig figs i.e inc jr ltd max min mr mrs ms mt no nos p pp prof ref refs resp sec sr st suppl tab univ viz vol vs".split()
+)
+TOKEN_LETTERS = frozenset(".'-\u2019_")
+
+
+def last_token(line: str, end: int) -> tuple[str, int]:
+    """The token that ends before a place of a line, closers aside, and where it begins."""
+    while end and line[end - 1] in CLOSERS:
+        end -= 1
+    start = end
+    while start and (line[start - 1].isalnum() or line[start - 1] in TOKEN_LETTERS):
+        start -= 1
+    return line[start:end].rstrip("."), start
+
+
+def ends_sentence(line: str, mark: int, after: int) -> bool:
+    """Whether the mark at a place of a line, which closes before `after`, ends a sentence."""
+    if after < len(line) and line[after] != " ":
+        return False
+    following = after
+    while following < len(line) and line[following].isspace():
+        following += 1
+    if following < len(line) and line[following].islower():
+        return False
+    token, start = last_token(line, mark)
+    if not token or len(token) == 1 and token.isalpha() or token.casefold() in ABBREVIATIONS:
+        return False
+    return not (token.isdigit() and not line[:start].strip())  # a number that opens a line is a marker
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """Half-open character spans of the sentences of a text."""
-    spans, start = [], 0
-    for i, c in enumerate(text):
-        ends = c in SENTENCE_END and (i + 1 == len(text) or text[i + 1].isspace())
-        if ends and c == "." and text[:i].lower().endswith(tuple(f" {a}" for a in ABBREVIATIONS)):
-            ends = False
-        if ends or c == "\n":
-            if text[start : i + 1].strip():
-                spans.append((start + len(text[start : i + 1]) - len(text[start : i + 1].lstrip()), i + 1 if ends else i))
-            start = i + 1
-    if text[start:].strip():
-        spans.append((start + len(text[start:]) - len(text[start:].lstrip()), len(text)))
+    """Half-open character spans of the sentences of a text; a line feed ends one. Time grows with the text's length."""
+    spans, at = [], 0
+    for line in text.split("\n"):
+        begin, stops = 0, [m.end() for m in SENTENCE_MARKS.finditer(line) if ends_sentence(line, m.start(), m.end())]
+        for stop in [*stops, len(line)]:
+            own = line[begin:stop]
+            if own.strip():
+                spans.append((at + stop - len(own.lstrip()), at + begin + len(own.rstrip())))
+            begin = stop
+        at += len(line) + 1
     return spans
 
 
@@ -120,28 +148,43 @@ def sentences(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: [{"start": a, "end": b} for a, b in sentence_spans(t)] if t else [])
 
 
-def pack_chunks(spans: list[tuple[int, int]], cap: int, overlap: int) -> list[tuple[int, int]]:
-    """Chunks of whole sentences of at most cap characters that repeat up to overlap characters of the one before."""
-    chunks: list[tuple[int, int]] = []
-    first = 0
+def pack_chunks(spans: list[tuple[int, int]], cap: int, overlap: int) -> list[tuple[int, int, int, bool]]:
+    """(start, end, characters carried over, complete) of chunks of whole sentences of at most cap characters, each of
+    which repeats sentences of the one before until overlap characters are reached. A sentence longer than the cap is
+    cut into pieces that are not complete."""
+    if cap <= 0 or not 0 <= overlap < cap:
+        raise ValueError("the cap must be positive and the overlap smaller")
+    chunks: list[tuple[int, int, int, bool]] = []
+    first = carried = 0
     while first < len(spans):
-        last = first
-        while last + 1 < len(spans) and spans[last + 1][1] - spans[first][0] <= cap:
-            last += 1
-        chunks.append((spans[first][0], spans[last][1]))
-        if last + 1 == len(spans):
+        start, end = spans[first]
+        if end - start > cap:
+            chunks += [(i, min(i + cap, end), 0, False) for i in range(start, end, cap)]
+            first, carried = first + 1, 0
+            continue
+        after = first + 1
+        while after < len(spans) and spans[after][1] - start <= cap:
+            after += 1
+        chunks.append((start, spans[after - 1][1], carried, True))
+        if after == len(spans):
             break
-        back = last + 1
-        while back - 1 > first and spans[last][1] - spans[back - 1][0] <= overlap:
+        back, repeated = after, 0
+        while overlap and back - 1 > first and repeated < overlap:
             back -= 1
+            repeated += spans[back][1] - spans[back][0]
+        carried = spans[after - 1][1] - spans[back][0] if back < after else 0
         first = back
     return chunks
 
 
+CHUNKS = types.ArrayType(types.StructType([*SPANS.elementType.fields, types.StructField("carried", types.IntegerType()), types.StructField("complete", types.BooleanType())]))
+
+
 def chunker(cap: int = 6_000, overlap: int = 500):
-    @F.pandas_udf(SPANS)
+    @F.pandas_udf(CHUNKS)
     def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = [f.name for f in CHUNKS.elementType.fields]
         for texts in batches:
-            yield texts.map(lambda t: [{"start": a, "end": b} for a, b in pack_chunks(sentence_spans(t), cap, overlap)] if t else [])
+            yield texts.map(lambda t: [dict(zip(names, c)) for c in pack_chunks(sentence_spans(t), cap, overlap)] if t else [])
 
     return chunks

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -67,3 +68,22 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
     both = left.withColumn("_l", F.lit(1)).unionByName(right.select(key, at, F.struct(F.col(value).alias("v")).alias("_v")), allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy(at, F.col("_l").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)["v"]).filter("_l = 1").drop("_l", "_v")
+
+
+def positions(df: DataFrame, key: Column, name: str = "position", parts: int = 64, sample: int = 4_096) -> DataFrame:
+    """df with the place of each row, from 1, in the order of a key that no two rows share.
+
+    Rows are dealt by ranges of the key, numbered within their range, and moved up by the rows of the ranges before it,
+    so no task sorts all rows. The bounds come from a sample of about `sample` keys and are constants of the plan.
+    """
+    rows = df.withColumn("key", key)
+    every = max(1, rows.count() // sample)
+    seen = sorted(r[0] for r in rows.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key").collect())
+    bounds = [seen[len(seen) * i // parts] for i in range(1, parts)] if seen else []
+    kind = rows.schema["key"].dataType
+    table = df.sparkSession.createDataFrame([(sorted(set(bounds)),)], StructType([StructField("bounds", ArrayType(kind))]))
+    placed = rows.crossJoin(F.broadcast(table)).withColumn("range", F.size(F.filter("bounds", lambda b: b <= F.col("key")))).drop("bounds")  # one row
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = placed.groupBy("range").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("range", "offset")
+    own = placed.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("key")))
+    return own.join(F.broadcast(offsets), "range").withColumn(name, (F.col("place") + F.col("offset")).cast("long")).select(*df.columns, name)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.adapters import ITEM, REQUEST, TRIAL, items, requests, table, trials
 from sparkloom.functions import ids as I
+from sparkloom.functions import validation as V
+from sparkloom.operators.lookups import positions
 from sparkloom.operators.prefilter import strings
 from sparkloom.plans.registry import query
 
@@ -56,11 +58,10 @@ def letters_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {REQUEST}, r AS (SELECT family, request_key, row_number() OVER (PARTITION BY family ORDER BY submitted_at DESC, request_key DESC) AS r, min(request_key) OVER (PARTITION BY family) AS seen FROM request)
-SELECT family, request_key, row_number() OVER (ORDER BY seen) AS position FROM r WHERE r = 1 ORDER BY seen LIMIT 300""")
+SELECT family, request_key, row_number() OVER (ORDER BY seen) AS position FROM r WHERE r = 1""")
 def latest_in_first_seen_order(spark: SparkSession, d: str) -> DataFrame:
     g = requests(spark, d).groupBy("family").agg(F.max(F.struct("submitted_at", "request_key"))["request_key"].alias("request_key"), F.min("request_key").alias("seen"))
-    top = g.orderBy("seen").limit(300)
-    return top.withColumn("position", F.row_number().over(Window.orderBy("seen")).cast("long")).select("family", "request_key", "position")
+    return positions(g, F.col("seen")).select("family", "request_key", "position")
 
 
 @query("""SELECT event_type, list_sort(list(value))[CAST(floor(0.025 * (count(*) - 1)) AS BIGINT) + 1] AS low, list_sort(list(value))[CAST(floor(0.975 * (count(*) - 1)) AS BIGINT) + 1] AS high FROM events GROUP BY event_type""")
@@ -119,9 +120,9 @@ def acronym_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(a).cast("long").alias("acronyms")).filter("acronyms > 0")
 
 
-@query("SELECT item_id, contains(text, chr(10)) OR regexp_matches(text, ' {3,}') AS malformed, length(text) AS n FROM benchmark")
+@query("""SELECT item_id, regexp_matches(text, '[\\r\\n]|[ \\t\\f\\v]{3,}') OR len(list_filter(regexp_extract_all(text, '["“]([^"“”]{2,})["”]', 1), lambda q: len(regexp_extract_all(q, '\\S+')) > 8)) > 0 AS malformed, length(text) AS n FROM benchmark""")
 def malformed_items(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", (F.contains("text", F.lit("\n")) | F.col("text").rlike(" {3,}")).alias("malformed"), F.length("text").cast("long").alias("n"))
+    return table(spark, d, "benchmark").select("item_id", V.malformed(F.col("text")).alias("malformed"), F.length("text").cast("long").alias("n"))
 
 
 @query("""WITH w AS (SELECT item_id, string_split(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' ') AS w FROM benchmark), a AS (SELECT item_id, list_filter(w, lambda x: length(x) > 6)[1] AS answer, w FROM w)

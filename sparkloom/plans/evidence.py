@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.adapters import CANDIDATE, EVENT, REQUEST, TRIAL, candidates, requests, table, trials, validation_events
+from sparkloom.operators.lookups import positions
 from sparkloom.operators.prefilter import strings, type_tokens
 from sparkloom.plans.registry import query
 
@@ -58,13 +59,12 @@ def prior_first_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT doc_id, least(length(text) / 5000.0, 1.0) AS a, (1 + doc_id % 9) / 10.0 AS b FROM documents)
-SELECT doc_id, round(pow(a, 0.5) * pow(b, 0.5), 6) AS probability, row_number() OVER (ORDER BY round(pow(a, 0.5) * pow(b, 0.5), 6) DESC, doc_id) AS rank FROM s ORDER BY round(pow(a, 0.5) * pow(b, 0.5), 6) DESC, doc_id LIMIT 100""")
+SELECT doc_id, round(pow(a, 0.5) * pow(b, 0.5), 6) AS probability, row_number() OVER (ORDER BY round(pow(a, 0.5) * pow(b, 0.5), 6) DESC, doc_id) AS rank FROM s""")
 def prescreen_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Gate and quality weigh one half each, geometrically."""
     gate, quality = F.least(F.length("text") / 5000.0, F.lit(1.0)), (1 + F.col("doc_id") % 9) / 10.0
     s = table(spark, d, "documents").select("doc_id", F.round(F.pow(gate, F.lit(0.5)) * F.pow(quality, F.lit(0.5)), 6).alias("probability"))
-    order = [F.desc("probability"), F.col("doc_id")]
-    return s.orderBy(*order).limit(100).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return positions(s, F.struct((-F.col("probability")).alias("p"), "doc_id"), "rank")
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), e AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM l),
@@ -138,20 +138,20 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0))
 
 
-@query("""WITH p AS (SELECT a.item_id, list_distinct(regexp_extract_all(lower(substr(a.text, 1, 40)), '[a-z]+')) AS l, list_distinct(regexp_extract_all(lower(b.text), '[a-z]+')) AS r
+@query("""WITH p AS (SELECT a.item_id, list_distinct(regexp_extract_all(lower(a.text), '[a-z]+')) AS l, list_distinct(regexp_extract_all(lower(b.text), '[a-z]+')) AS r
   FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
 SELECT item_id, len(list_filter(l, lambda x: NOT list_contains(r, x))) = 0 AS entailed, CAST(len(list_filter(l, lambda x: list_contains(r, x))) AS BIGINT) AS common FROM p""")
 def scope_entailment(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark")
-    p = b.select("item_id", tokens(F.substring("text", 1, 40)).alias("l")).join(b.select((F.col("item_id") - 1).alias("item_id"), tokens(F.col("text")).alias("r")), "item_id")
+    p = b.select("item_id", tokens(F.col("text")).alias("l")).join(b.select((F.col("item_id") - 1).alias("item_id"), tokens(F.col("text")).alias("r")), "item_id")
     return p.select("item_id", (F.size(F.array_except("l", "r")) == 0).alias("entailed"), F.size(F.array_intersect("l", "r")).cast("long").alias("common"))
 
 
-@query("""WITH a AS (SELECT conv_id, turn FROM conversations)
+@query("""WITH a AS (SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 11 <> 0)
 SELECT conv_id, turn FROM a WHERE turn > 0 AND NOT EXISTS (SELECT 1 FROM a p WHERE p.conv_id = a.conv_id AND p.turn = a.turn - 1)""")
 def orphan_attempts(spark: SparkSession, d: str) -> DataFrame:
     """Attempts whose parent is missing; a lineage is whole if there are none."""
-    a = table(spark, d, "conversations").select("conv_id", "turn")
+    a = table(spark, d, "conversations").select("conv_id", "turn").filter("(conv_id + turn) % 11 <> 0")  # some attempts are lost
     return a.filter("turn > 0").join(a.select("conv_id", (F.col("turn") + 1).alias("turn")), ["conv_id", "turn"], "left_anti")
 
 

@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 
@@ -43,17 +43,29 @@ def normalized_pages(pages: DataFrame, *shapes: str) -> DataFrame:
     return pages.select(F.explode(F.coalesce(*shapes)).alias("record")).select("record.*")
 
 
-def journal(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """An append-only journal with the order of its lines; a torn last line is dropped."""
-    return jsonl(spark, path, schema).withColumn("ord", F.monotonically_increasing_id())
+def journal(spark: SparkSession, path: str, schema: StructType, only_torn_tail: bool = False) -> DataFrame:
+    """An append-only journal of JSON objects with the order of its lines (ord: file, block of it, line); blank lines
+    and lines that are no object are dropped. only_torn_tail: such a line that isn't the last of its file is an error."""
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", block.alias("ord")).filter(F.trim("value") != "")
+    kept = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
+    rows = lines.select("ord", "value", F.from_json("value", kept).alias("row"))
+    good = F.col("row._corrupt_record").isNull() & F.col("value").rlike(r"^\s*\{")
+    if only_torn_tail:
+        last = rows.groupBy(F.col("ord.file").alias("file")).agg(F.max("ord").alias("last"))  # a row for each file
+        rows = rows.join(F.broadcast(last), F.col("ord.file") == F.col("file"))
+        good = good | F.when(F.col("ord") != F.col("last"), F.raise_error(F.concat(F.lit("a line of the journal is broken: "), "ord.file")).cast("boolean"))
+        good = F.coalesce(good, F.lit(False))
+    return rows.filter(good).select("row.*", "ord").drop("_corrupt_record")
 
 
 def links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), 1)
+    """Targets of anchors, whatever their other attributes and their quotes."""
+    return F.regexp_extract_all(html, F.lit("""(?is)<a\\b(?:[^>"']|"[^"]*"|'[^']*')*?\\bhref\\s*=\\s*["']([^"']*)["']"""), 1)
 
 
 def heading(html: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(html, "<h1>(.*?)</h1>", 1), "<[^>]*>", "")
+    return F.regexp_replace(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1), "<[^>]*>", "")
 
 
 class _Sections(HTMLParser):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -40,15 +40,23 @@ def digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.sum(h).cast("string").alias("digest"))
 
 
-def markdown(df: DataFrame, limit: int = 1_000) -> str:
+def small_rows(df: DataFrame, most: int) -> list[Row]:
+    """All rows of a result that is small; more than `most` are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows is no report")
+    return rows
+
+
+def markdown(df: DataFrame, most: int = 1_000) -> str:
     """A small result as a Markdown table."""
-    rows = df.limit(limit).collect()
+    rows = small_rows(df, most)
     cell = lambda v: "" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v)
     return "\n".join([f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}", *[f"| {' | '.join(map(cell, r))} |" for r in rows]]) + "\n"
 
 
-def latex(df: DataFrame, limit: int = 1_000) -> str:
+def latex(df: DataFrame, most: int = 1_000) -> str:
     """A small result as the body of a LaTeX table."""
-    rows = df.limit(limit).collect()
+    rows = small_rows(df, most)
     cell = lambda v: "--" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("_", r"\_")
     return "\n".join(" & ".join(map(cell, r)) + r" \\" for r in rows) + "\n"

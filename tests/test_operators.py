@@ -81,10 +81,20 @@ def test_texts(spark):
 def test_sentences_and_chunks():
     t = "One et al. two. Three fig. 4!\nFive"
     assert [t[a:b] for a, b in text.sentence_spans(t)] == ["One et al. two.", "Three fig. 4!", "Five"]
+    t = 'See Vol. 3 and prof. Lee. "Done." Then e.g. this. 1. marker\n2. Two. A. Smith went. ok then. lower (Fig. 2).'
+    assert [t[a:b] for a, b in text.sentence_spans(t)] == ["See Vol. 3 and prof. Lee.", '"Done."', "Then e.g. this.", "1. marker", "2. Two.", "A. Smith went. ok then. lower (Fig. 2)."]
     spans = [(i * 10, i * 10 + 9) for i in range(10)]
-    chunks = text.pack_chunks(spans, 30, 10)
-    assert chunks[0] == (0, 29) and chunks[-1][1] == 99 and all(b - a <= 30 for a, b in chunks)
-    assert all(y[0] <= x[1] + 1 for x, y in zip(chunks, chunks[1:]))
+    chunks = text.pack_chunks(spans, 30, 9)
+    assert chunks[:3] == [(0, 29, 0, True), (20, 49, 9, True), (40, 69, 9, True)] and chunks[-1][1] == 99
+    assert text.pack_chunks([(0, 5), (6, 30), (31, 35)], 10, 0) == [(0, 5, 0, True), (6, 16, 0, False), (16, 26, 0, False), (26, 30, 0, False), (31, 35, 0, True)]
+
+
+def test_sentences_of_a_very_long_text():
+    import time
+
+    began = time.time()
+    assert len(text.sentence_spans("This is one more sentence of the text. " * 60_000)) == 60_000
+    assert time.time() - began < 20
 
 
 def test_orders(spark):
