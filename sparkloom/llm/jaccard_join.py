@@ -15,7 +15,8 @@ rarest at least one. The work is divided as DivideSkip divides it, over the clus
   partners that reach the overlap join the component; what has joined is searched for no more.
 
 Copies collapse before all this to the smallest doc_id of equal sets (128-bit sums of hashes), in each task first.
-Components of more than max_group_shingles are searched by pairs of blocks.
+Components of more than max_group_shingles are searched in blocks; one set of each group found there meets those of the
+other blocks, and only sets that are then outside the component's largest group meet all blocks.
 
 Lists and components come to a task sorted, so it holds one at a time. Very long texts are sets like others; a task
 holds the words of one of them at a time.
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import RollingHash, Scratch, WordHashes, mix, shuffle_partitions, small_batches, sorted_groups, text_blocks
@@ -413,6 +414,45 @@ def _packed_texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack(t.encode("utf-8")) for t in texts], pa.binary())], ["doc_id", "z"])
 
 
+def in_blocks(members: DataFrame, most: int) -> DataFrame:
+    """doc_id, n, component, blocks and block of the sets of components with more than `most` shingles."""
+    blocks = members.groupBy("component").agg(F.ceil(2 * F.sum("n") / most).cast("int").alias("blocks")).filter("blocks > 2")
+    return members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+
+
+def every(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def pairs_of_blocks(blocked: DataFrame) -> DataFrame:
+    """Groups in which every two sets of a component meet."""
+    groups = blocked.select("*", every(F.col("blocks")).alias("other"))
+    return groups.select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "doc_id").distinct()
+
+
+def search_large(large: DataFrame, search_in, most: int) -> DataFrame:
+    """Edges that join the linked sets of large components. Each block is searched by itself, then one set of each group
+    of linked sets that it has, all blocks together: copies of one text are a single group after that. Only the sets
+    that are still outside their component's largest group meet all blocks."""
+    own = Scratch(search_in(large.select(F.xxhash64("component", "block").alias("g"), "doc_id"))).read()
+    firsts = own.select(F.col("b").alias("doc_id")).distinct().join(large.select("doc_id", "n", "component"), "doc_id")
+    split = in_blocks(firsts, most)
+    together = firsts.join(split.select("component").distinct(), "component", "left_anti").select(F.xxhash64("component").alias("g"), "doc_id")
+    between = Scratch(search_in(together.union(pairs_of_blocks(split)))).read()
+    edges = own.union(between)
+    label = connected_components(edges).withColumnRenamed("component", "label").withColumnRenamed("node", "doc_id")
+    labelled = large.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    sizes = labelled.groupBy("component", "label").agg(F.sum("n").alias("all_n"))
+    main = sizes.groupBy("component").agg(F.max_by("label", F.struct("all_n", "label")).alias("main"))
+    rest = Scratch(labelled.join(main, "component").filter("label <> main").select("doc_id", "n", "component", "blocks", "block")).read()
+    parts = rest.groupBy("component").agg(F.ceil(2 * F.sum("n") / most).cast("int").alias("parts"))  # at least one
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int").alias("part")
+    outside = rest.join(parts, "component").select("doc_id", "component", part, every(F.col("blocks")).alias("block"))
+    inside = large.join(parts, "component").select("doc_id", "component", every(F.col("parts")).alias("part"), "block")
+    met = outside.unionByName(inside).select(F.xxhash64("component", "block", "part").alias("g"), "doc_id").distinct()
+    return edges.union(search_in(met))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_docs: int = 10_000, most_frequent: int = 500_000, max_group_shingles: int = 2_000_000, list_rows: int = 4_000) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
@@ -433,21 +473,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_do
     near = connected_components(forest.read().filter(F.col("kind") == EDGE).select("a", "b").union(between), stars_already=True)
     forest.drop()
 
-    reps = classed.read().filter("doc_id = rep").select("doc_id", "n").dropDuplicates(["doc_id"]).join(near.withColumnRenamed("node", "doc_id"), "doc_id")
-    blocks = reps.groupBy("component").agg(F.sum("n").alias("all_n")).withColumn("blocks", F.ceil(2 * F.col("all_n") / max_group_shingles)).filter("blocks > 2").select("component", "blocks")
-    split = not blocks.isEmpty()
-    members = reps.select("doc_id", "component")
-    if split:  # every pair of blocks of a large component meets in a group of its own
-        i = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-        members = members.join(blocks, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("i", i)
-        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("component", F.least("i", j), F.greatest("i", j)))
-        members = members.select("doc_id", F.explode(pairs).alias("component"))
+    members = classed.read().filter("doc_id = rep").select("doc_id", "n").dropDuplicates(["doc_id"]).join(near.withColumnRenamed("node", "doc_id"), "doc_id")
+    packed = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInArrow(_packed_texts, "doc_id long, z binary")
 
+    def search_in(groups: DataFrame) -> DataFrame:
+        """Star edges (a, b) of the linked sets of each group (g, doc_id)."""
+        grouped = packed.join(groups.select("g", "doc_id"), "doc_id")
+        return grouped.repartition(parts, "g").sortWithinPartitions("g", "doc_id").mapInArrow(_search_groups(k, percent), "a long, b long")
+
+    large = in_blocks(members, max_group_shingles)
+    if large.isEmpty():
+        found = search_in(members.withColumnRenamed("component", "g")).toDF("node", "component")
+    else:
+        large = Scratch(large).read()
+        whole = members.join(large.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("g"), "doc_id")
+        found = connected_components(search_in(whole).union(search_large(large, search_in, max_group_shingles)))
     first.drop()  # what was read of it has been written
-    packed = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInArrow(_packed_texts, "doc_id long, z binary")
-    grouped = packed.join(members.withColumnRenamed("component", "g"), "doc_id").select("g", "doc_id", "z")
-    found = grouped.repartition(parts, "g").sortWithinPartitions("g", "doc_id").mapInArrow(_search_groups(k, percent), "a long, b long")
-    found = connected_components(found) if split else found.toDF("node", "component")
     label = found.groupBy("node").agg(F.min("component").alias("component"))
     linked = (
         classed.read()
