@@ -152,8 +152,14 @@ def multiset_equality(spark: SparkSession, d: str) -> DataFrame:
     return t.join(s, "item").select("item", (F.array_sort("b") == F.col("a")).alias("same"), (F.size(F.array_except("b", "a")) == 0).alias("covered"))
 
 
+#: Requests that one family may have, as its schedule is made by one task.
+MOST_REQUESTS = 100_000
+
+
 def waves(group: pd.DataFrame, slots: int) -> pd.DataFrame:
     """Fair waves: each takes up to a share of the slots from every vendor, the scarcest vendor first."""
+    if len(group) > MOST_REQUESTS:
+        raise ValueError(f"a family has more than {MOST_REQUESTS} requests")
     left = {v: g["request_key"].sort_values().tolist() for v, g in group.groupby("model")}
     rows, wave = [], 0
     while left:

@@ -30,17 +30,13 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_receipts(spark: SparkSession, d: str) -> DataFrame:
     rows = jobs.read_table(spark, f"{d}/events.parquet").select("user_id", "event_type")
-    return jobs.run_to_table(jobs.first_receipts(rows, "user_id", "event_type"), jobs.work_folder(spark), "append")
+    return jobs.first_receipts_table(rows, jobs.work_folder(spark), "user_id", "event_type")
 
 
 @query("SELECT user_id, max(epoch_us(ts)) AS us, arg_max(event_type, ts) AS state FROM events GROUP BY user_id")
 def stream_last_states(spark: SparkSession, d: str) -> DataFrame:
-    states = jobs.last_states(jobs.read_table(spark, f"{d}/events.parquet"), "user_id")
-    folder = jobs.work_folder(spark)
-    out = f"{folder}/out"
-    write = lambda batch, number: batch.write.mode("append").parquet(out)
-    states.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(out).groupBy("user_id").agg(F.max("us").alias("us"), F.max_by("state", "us").alias("state"))
+    rows = jobs.read_table(spark, f"{d}/events.parquet").select("user_id", F.unix_micros("ts").alias("us"), F.col("event_type").alias("state"))
+    return jobs.upsert_batches(rows, jobs.work_folder(spark), "user_id", "us").select("user_id", "us", "state")
 
 
 @query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,9 +14,11 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names; below a temporary one where it names none."""
+    """A new folder below the shared one that the cluster names; below a temporary one only where all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-stream-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -56,9 +59,24 @@ def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
     return events.withWatermark("ts", "1 day").groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("events"), F.max("ts").alias("ended"))
 
 
-def first_receipts(events: DataFrame, *keys: str) -> DataFrame:
-    """One row per key, whichever file brings it first."""
-    return events.dropDuplicates(list(keys))
+def first_receipts(events: DataFrame, within: str, *keys: str) -> DataFrame:
+    """One row per key of those that come within so long of each other (by ts); older keys leave the state."""
+    return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(list(keys))
+
+
+def first_receipts_table(stream: DataFrame, folder: str, *keys: str) -> DataFrame:
+    """One row per key, whichever batch brings it first. What is known is a table, not state in memory; a batch that is
+    run again writes its own part anew."""
+    spark, out = stream.sparkSession, f"{folder}/receipts"
+    known = spark.createDataFrame([], stream.select(*keys).schema)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        before = known if not number else spark.read.schema(f"{known_ddl}, batch int").option("basePath", out).parquet(out).filter(F.col("batch") < number).select(*keys)
+        batch.select(*keys).distinct().join(before, list(keys), "left_anti").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    known_ddl = ", ".join(f"{c} {kind}" for c, kind in known.dtypes)
+    stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(apply).start().awaitTermination()
+    return spark.read.schema(f"{known_ddl}, batch int").parquet(out).drop("batch")
 
 
 def last_states(events: DataFrame, key: str) -> DataFrame:

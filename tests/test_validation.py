@@ -123,3 +123,35 @@ def test_reports_are_whole_or_an_error(spark):
     with pytest.raises(ValueError, match="more than 3"):
         sinks.markdown(spark.range(4), most=3)
     assert sinks.markdown(spark.range(3), most=3).count("\n") == 5
+
+
+def test_fair_waves():
+    import random
+
+    import pandas as pd
+
+    from sparkloom.plans.evaluation import waves
+
+    rng = random.Random(3)
+    for _ in range(60):
+        slots, rows = rng.randrange(1, 6), [(f"k{i:02}", f"m{rng.randrange(4)}") for i in range(rng.randrange(1, 30))]
+        got = dict(waves(pd.DataFrame(rows, columns=["request_key", "model"]), slots).values.tolist())
+        left, want, wave = {m: sorted(k for k, v in rows if v == m) for _, m in rows}, {}, 0
+        while left:
+            share, free = -(-slots // len(left)), slots
+            for m in sorted(left, key=lambda m: (len(left[m]), m)):
+                for _ in range(min(share, free, len(left[m]))):
+                    want[left[m].pop(0)] = wave
+                    free -= 1
+            left = {m: k for m, k in left.items() if k}
+            wave += 1
+        assert got == want and all(list(got.values()).count(w) <= slots for w in got.values())
+
+
+def test_compatibility_forms(spark):
+    import unicodedata
+
+    from sparkloom.functions import text
+
+    texts = ["ﬁ ﬃ ½ Å", "so\u00adft", None, "", "plain", "㎏ ①"]
+    assert values(spark, texts, lambda c: text.nfkc(c)) == [t and unicodedata.normalize("NFKC", t).replace("\u00ad", "") for t in texts]
