@@ -50,23 +50,24 @@ def chunk_text(j: Column) -> Column:
 
 
 def cut_rows(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs), text, n_lines and n_removed of each row of docs."""
-    every = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    others = [F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
+    """row (all columns of docs but text), text, n_lines and n_removed of each row of docs."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    every = docs.select("doc_id", "text", *[F.struct(*rest).alias("rest")] * bool(rest))
+    row = F.struct(*[F.col("doc_id") if c == "doc_id" else F.col("rest")[c].alias(c) for c in docs.columns if c != "text"]).alias("row")
+    others = [F.col("rest")[c] for c, kind in docs.dtypes if c in rest and "map<" not in kind]  # maps have no hash
     keyed = every.filter(F.col("doc_id").isNotNull()).withColumn("th", F.xxhash64("text"))
-    texts = keyed.select("doc_id", "th", "text")
 
     places = F.filter(F.sequence(F.lit(0), F.size("ends") - 1), lambda j: F.get("ends", j) - chunk_start(j) >= 1)
     hashed = F.transform(places, lambda j: F.struct(j.alias("j"), F.xxhash64(chunk_text(j)).alias("h"), F.xxhash64(F.lit(1), chunk_text(j)).alias("g")))
     # explode_outer, as Spark would check before an explode that there are chunks, and cut the text once more for that
-    found = with_chunks(texts).select("doc_id", "th", F.explode_outer(hashed).alias("c")).filter(F.col("c").isNotNull()).select("doc_id", "th", "c.*")
+    found = with_chunks(keyed).select("doc_id", "th", F.explode_outer(hashed).alias("c")).filter(F.col("c").isNotNull()).select("doc_id", "th", "c.*")
     chunks = Scratch(found).read()  # read twice
 
     place = F.struct("doc_id", "th", "j")
     first = chunks.groupBy("h", "g").agg(F.count("*").alias("k"), F.min(place).alias("f")).filter("k > 1").select("h", "g", F.col("f.doc_id").alias("doc_id"), F.col("f.th").alias("fth"), F.col("f.j").alias("fj"))
     own = first.groupBy("doc_id").agg(F.collect_list(F.struct("h", "g", "fth", "fj")).alias("own"))  # as many as a document has chunks
-    # both joins of the texts are by doc_id, so one shuffle of them serves both
-    kept = with_chunks(texts.join(own, "doc_id").withColumn("own", F.filter("own", lambda o: o["fth"] == F.col("th"))))
+    # both joins of the texts are by doc_id, so one shuffle of them serves both where there are no other columns
+    kept = with_chunks(keyed.join(own, "doc_id").withColumn("own", F.filter("own", lambda o: o["fth"] == F.col("th"))))
     firsts = F.transform("own", lambda o: F.struct(o["h"].alias("h"), o["g"].alias("g"), o["fth"].alias("fth"), o["fj"].alias("fj"), chunk_text(o["fj"]).alias("kept")))
     kept = kept.select(F.col("doc_id").alias("fd"), F.explode_outer(firsts).alias("o")).filter(F.col("o").isNotNull()).select("fd", "o.*")
     # one row for each hash; grouped by more than the hash, so that the join deals both sides itself and can split them
@@ -76,7 +77,7 @@ def cut_rows(docs: DataFrame) -> DataFrame:
     copies = met.groupBy("doc_id").agg(F.collect_list(F.struct("th", "j", "kept")).alias("copies"))
 
     out = with_chunks(keyed.join(copies, "doc_id", "left").withColumn("copies", F.filter("copies", lambda c: c["th"] == F.col("th"))))
-    out = out.withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(F.xxhash64(*others))) > 1)
+    out = out.withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(F.xxhash64(*others, "doc_id"))) > 1)
     same = F.filter("copies", lambda c: c["kept"] == chunk_text(c["j"]))
     gone = F.when(F.col("again") & F.col("text").isNotNull(), places).when(F.col("copies").isNotNull(), F.array_distinct(F.transform(same, lambda c: c["j"])))
     out = out.withColumn("gone", gone)
@@ -86,8 +87,8 @@ def cut_rows(docs: DataFrame) -> DataFrame:
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
     # a row of its own for each document keeps filters of callers from being pushed into these expressions and computed with them
     result = F.struct(text.alias("text"), n_lines.alias("n_lines"), F.coalesce(removed, F.lit(0).cast("long")).alias("n_removed"))
-    done = out.select("row", F.explode_outer(F.array(result)).alias("r")).select("row", "r.*")
-    apart = every.filter(F.col("doc_id").isNull()).withColumn("lines", F.split("text", "\n", -1)).select("row", "text", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    done = out.select(row, F.explode_outer(F.array(result)).alias("result")).select("row", "result.*")
+    apart = every.filter(F.col("doc_id").isNull()).withColumn("lines", F.split("text", "\n", -1)).select(row, "text", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
     return done.unionByName(apart)
 
 
