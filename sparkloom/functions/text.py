@@ -58,6 +58,34 @@ def budgeted(text: Column, budget: int) -> Column:
     return F.when(F.length(text) <= budget, text).otherwise(F.concat(F.substring(text, 1, head), F.lit("\n"), F.right(text, F.lit(budget - head))))
 
 
+# Headings of reference lists, the least text and the mark of what is left out.
+REFERENCES = r"[^\S\n]{0,60}(?:\d+[.)]?[^\S\n]{1,6})?(?:references|bibliography|literature cited|works cited)[^\S\n]*:?[^\S\n]*$"
+LEAST_TEXT = 1000
+ELISION = "\n\n[... middle of the article omitted by the prescreen budget ...]\n\n"
+
+
+def references_start(text: Column) -> Column:
+    """Where the last heading of a reference list in the second half begins; the length of the text if there is none."""
+    before = F.length(F.regexp_extract(text, rf"(?imsdU)\A(.*)^{REFERENCES}", 1))
+    return F.when((before > 0) & (before >= F.floor(F.length(text) / 2)), before).otherwise(F.length(text)).cast("int")
+
+
+def state_text(text: Column, tokens: int) -> Column:
+    """What of a text fits a budget of tokens, and by which rule: all of it, all before the references, or six tenths of
+    the budget from the head of that and the rest from its tail. The budget is turned into characters by the script
+    mix of the text. Null for null."""
+    n = F.length(text)
+    estimate = estimated_tokens(n, wide_characters(text))
+    budget = F.greatest(F.lit(LEAST_TEXT), F.floor(tokens * F.when(estimate > 0, n / estimate).otherwise(4.0)).cast("int"))
+    end, head = references_start(text), F.floor(budget * 6 / 10).cast("int")
+    tail = budget - head
+    ends = F.concat(F.substring(text, F.lit(1), head), F.lit(ELISION), F.substring(text, end - tail + 1, tail))
+    row = lambda rule, state: F.struct(rule.alias("rule"), state.alias("state"))
+    cut = F.when(end == n, "head_tail").otherwise("references_trimmed_head_tail")
+    fits = F.when(n <= budget, row(F.lit("whole"), text)).when(end <= budget, row(F.lit("references_trimmed"), F.substring(text, F.lit(1), end)))
+    return F.when(text.isNotNull(), fits.otherwise(row(cut, ends)))
+
+
 def script(text: Column) -> Column:
     cyrillic, latin = text.rlike(r"\p{IsCyrillic}"), text.rlike(r"[A-Za-z]")
     return F.when(cyrillic & latin, "mixed").when(cyrillic, "cyrillic").otherwise("latin")
@@ -74,6 +102,27 @@ def line_measures(text: Column) -> dict[str, Column]:
     }
 
 
+# Glued columns, words cut by a line's end, ligatures and soft hyphens.
+GUTTER = r"[A-Za-z,.;:)][ ]{3,}[A-Za-z(]"
+MID_WORD_BREAK = r"[\p{L}\p{N}&&[^\p{Nd}]][-\x{2010}\x{00AD}]\n[a-z]"
+PRESENTATION = r"[\x{FB00}-\x{FB06}\x{00AD}]"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def extraction_measures(text: Column) -> dict[str, Column]:
+    """Defects of an extracted text: glued columns among its lines that aren't blank, cut words, presentation marks."""
+    lines = F.filter(F.split(text, LINE_END, -1), lambda x: x.rlike(r"(?U)\S"))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
+    return {
+        "lines": F.size(lines).cast("long"),
+        "gutter_lines": F.size(F.filter(lines, lambda x: x.rlike(GUTTER))).cast("long"),
+        "mid_word_breaks": count(MID_WORD_BREAK),
+        "presentation_marks": count(PRESENTATION),
+        "characters": F.length(text).cast("long"),
+        "words": count(r"(?U)\S+"),
+    }
+
+
 def segments(text: Column, size: int) -> Column:
     """Pieces of a fixed number of characters, with their start."""
     last = F.greatest(F.length(text) - 1, F.lit(0))

@@ -1,6 +1,6 @@
 """All queries of the library, by name."""
 
-from sparkloom.plans import evaluation, evidence, lookups, scoring, streams, text, validation  # noqa: F401
+from sparkloom.plans import evaluation, evidence, guard, lookups, scoring, streams, text, validation  # noqa: F401
 from sparkloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
