@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,26 +64,36 @@ LEAST_TEXT = 1000
 ELISION = "\n\n[... middle of the article omitted by the prescreen budget ...]\n\n"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it occurs there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def references_start(text: Column) -> Column:
     """Where the last heading of a reference list in the second half begins; the length of the text if there is none."""
-    before = F.length(F.regexp_extract(text, rf"(?imsdU)\A(.*)^{REFERENCES}", 1))
-    return F.when((before > 0) & (before >= F.floor(F.length(text) / 2)), before).otherwise(F.length(text)).cast("int")
+    found = F.length(F.regexp_extract(text, rf"(?imsdU)\A(.*)^{REFERENCES}", 1))
+    late = lambda at: F.when((at > 0) & (at >= F.floor(F.length(text) / 2)), at).otherwise(F.length(text))
+    return once(found, late).cast("int")
 
 
 def state_text(text: Column, tokens: int) -> Column:
     """What of a text fits a budget of tokens, and by which rule: all of it, all before the references, or six tenths of
     the budget from the head of that and the rest from its tail. The budget is turned into characters by the script
     mix of the text. Null for null."""
-    n = F.length(text)
-    estimate = estimated_tokens(n, wide_characters(text))
-    budget = F.greatest(F.lit(LEAST_TEXT), F.floor(tokens * F.when(estimate > 0, n / estimate).otherwise(4.0)).cast("int"))
-    end, head = references_start(text), F.floor(budget * 6 / 10).cast("int")
-    tail = budget - head
-    ends = F.concat(F.substring(text, F.lit(1), head), F.lit(ELISION), F.substring(text, end - tail + 1, tail))
     row = lambda rule, state: F.struct(rule.alias("rule"), state.alias("state"))
-    cut = F.when(end == n, "head_tail").otherwise("references_trimmed_head_tail")
-    fits = F.when(n <= budget, row(F.lit("whole"), text)).when(end <= budget, row(F.lit("references_trimmed"), F.substring(text, F.lit(1), end)))
-    return F.when(text.isNotNull(), fits.otherwise(row(cut, ends)))
+    estimate = estimated_tokens(F.length(text), wide_characters(text))
+    budget = once(estimate, lambda e: F.greatest(F.lit(LEAST_TEXT), F.floor(tokens * F.when(e > 0, F.length(text) / e).otherwise(4.0)).cast("int")))
+
+    def ends(size: Column, end: Column) -> Column:
+        head = F.floor(size * 6 / 10).cast("int")
+        tail = size - head
+        rule = F.when(end == F.length(text), "head_tail").otherwise("references_trimmed_head_tail")
+        cut = F.concat(F.substring(text, F.lit(1), head), F.lit(ELISION), F.substring(text, end - tail + 1, tail))
+        return F.when(end <= size, row(F.lit("references_trimmed"), F.substring(text, F.lit(1), end))).otherwise(row(rule, cut))
+
+    cut = lambda size: once(references_start(text), lambda end: ends(size, end))
+    fitted = once(budget, lambda size: F.when(F.length(text) <= size, row(F.lit("whole"), text)).otherwise(cut(size)))
+    return F.when(text.isNotNull(), fitted)
 
 
 def script(text: Column) -> Column:
