@@ -130,11 +130,11 @@ def unresolved_acronyms(text: Column) -> Column:
 
     def resolved(token: Column) -> Column:
         letters = F.split(F.regexp_replace(token, "[0-9]", ""), "")
-        initials = F.array_join(F.transform(letters, lambda c: F.concat(c, F.lit(r"[\w]*"))), r"(?:[\s-]+(?:of|the|and|for|in|on)\b)*[\s-]+")
-        before = F.concat(F.lit(r"(?i)\b"), initials, F.lit(r"\s*\("), token, F.lit(r"\)"))
+        initials = F.array_join(F.transform(letters, lambda c: F.concat(c, F.lit(r"\w*(?:[-/]\w+)*"))), r"(?:[\s/-]+(?:of|the|and|for|in|on)\b)*[\s/-]+")
+        before = F.concat(F.lit(r"(?i)\b"), initials, F.lit(r"(?:\s+version\s+[0-9.]+)?\s*\("), token, F.lit(r"\)"))
         after = F.concat(F.lit(r"(?i)\b"), token, F.lit(r"\s*\("), initials, F.lit(r"\)"))
         defined = F.concat(F.lit(r"(?i)(?<!\w)"), token, F.lit(rf"[\w-]*\s+(?:{GLOSS_VERBS})\s+\S"))
-        named = F.concat(F.lit(r"(?i)\b(?:abbreviated|denoted|designated|referred to|termed|known|labelled|labeled|hereafter)\s+(?:as\s+)?(?:the\s+)?"), token, F.lit(r"(?![\w-])"))
+        named = F.concat(F.lit(r"(?i)\b(?:(?:abbreviated|denoted|designated|referred to|termed|known|labelled|labeled|hereafter)\s+(?:as\s+)?(?:the\s+)?|(?:abbreviation|acronym)\s+)"), token, F.lit(r"(?![\w-])"))
         return (F.length(F.regexp_replace(token, "[0-9]", "")) > 1) & (F.regexp(text, before) | F.regexp(text, after)) | F.regexp(text, defined) | F.regexp(text, named)
 
     return F.filter(found, lambda t: ~resolved(t))
