@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import normalize
 
 # Patterns, words and reasons of the decisions.
-NUMBER = r"(?U)(?<![\w.])([+\-−]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?:[eE][+\-−]?[0-9]+)?)(?![0-9.,])"
+NUMBER = r"(?<![\w.])([+\-−]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?:[eE][+\-−]?[0-9]+)?)(?![0-9.,])"
 YEAR = r"(?<![0-9])(1[89][0-9]{2}|20[0-9]{2})(?![0-9])"
 YEAR_RANGE = r"(?<![0-9])(1[89][0-9]{2}|20[0-9]{2})\s*(?:-|to|and|through|until)\s*(1[89][0-9]{2}|20[0-9]{2})(?![0-9])"
+PLUS_MINUS = r"\s*(?:±|\+\s*/?\s*-)\s*"
+STATISTIC = r"\s*\(\s*(?:sd|se|sem|s\.d\.|s\.e\.|σ)\s*=\s*"
 MOST_YEARS = 150
 SHORTEST_IN_CONTEXT = 4
 NOT_CAUSAL = ("observation", "association", "definition")
@@ -43,7 +45,7 @@ def question_leak(question: Column, answers: Column) -> Column:
 
 def context_leak(context: Column, answers: Column) -> Column:
     """Whether a context holds an answer of four characters or more, or a number of the first. False for nulls."""
-    number = lambda c: F.regexp_extract_all(c, F.lit(NUMBER), 1)
+    number = lambda c: F.regexp_extract_all(c, F.lit(f"(?U){NUMBER}"), 1)
     shared = F.coalesce(F.arrays_overlap(number(F.get(answers, F.lit(0))), number(context)), F.lit(False))
     return F.coalesce(match_text(context) != "", F.lit(False)) & (_given_away(context, answers, SHORTEST_IN_CONTEXT) | shared)
 
@@ -106,3 +108,33 @@ def option_reason(text: Column, answers: Column, repeated: Column, same_set: Col
         number,
         F.when(same_number, "distractor_is_equivalent_numeric_answer"),
     )
+
+
+def unevidenced(passed: Column, reasons: Column, phrases: Column, readings: Column) -> Column:
+    """Whether a failing verdict shows nothing of what it found: no phrase that is undefined, no two readings."""
+    written = lambda c: F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
+    undefined = F.exists(reasons, lambda r: r.startswith("undefined_")) & (written(phrases) == 0)
+    ambiguous = F.array_contains(reasons, "multiple_interpretations") & (written(readings) < 2)
+    return F.coalesce(~passed, F.lit(False)) & (F.coalesce(undefined, F.lit(False)) | F.coalesce(ambiguous, F.lit(False)))
+
+
+def gate_reasons(in_question: Column, in_context: Column, rule: Column, leak_absent: Column, judged: Column) -> Column:
+    """All reasons against a displayed task, each once: leaks, the first broken rule, then the judge's codes."""
+    own = F.array(
+        F.when(in_question, "question_answer_leakage"),
+        F.when(in_context, "question_context_answer_leakage"),
+        rule,
+        F.when(~leak_absent, "standalone_answer_leakage"),
+    )
+    codes = F.transform(F.coalesce(judged, F.array().cast("array<string>")), lambda r: F.concat(F.lit("standalone_"), r))
+    return F.array_distinct(F.array_compact(F.concat(own, codes)))
+
+
+def uncertain_quantities(text: Column, unit: Column) -> Column:
+    """Values and their uncertainties that share one unit: a plus-minus clause before it, or a statistic in brackets
+    after it. Null for a null text or unit."""
+    named = F.concat(F.lit(r"\s*\Q"), F.trim(unit), F.lit(r"\E(?!\w)"))
+    spread = F.concat(F.lit(f"(?iU){NUMBER}{PLUS_MINUS}{NUMBER}"), named)
+    bracket = F.concat(F.lit(f"(?iU){NUMBER}"), named, F.lit(rf"[^()0-9]{{0,39}}?{STATISTIC}{NUMBER}\s*\)"))
+    found = [F.regexp_extract_all(text, pattern, F.lit(g)) for pattern in (spread, bracket) for g in (1, 2)]
+    return F.array_distinct(F.transform(F.concat(*found), lambda n: F.translate(n, "−,", "-").try_cast("decimal(38,12)")))

@@ -104,3 +104,32 @@ def option_rejections(spark: SparkSession, d: str) -> DataFrame:
     same = is_number & V.numeric_equal(F.when(i % 16 == 0, "1200").otherwise("9"), F.lit("cm"), F.lit("0"), number, F.lit("m"))
     reason = J.option_reason(t, F.array("gold"), repeated, F.lit(False), F.lit(None).cast("string"), V.assertion_issue(t), F.when(is_number, V.numeric_display_issue(t, number, F.lit("m"))), same)
     return o.select("item_id", F.col("rank").cast("long").alias("rank"), reason.alias("reason"))
+
+
+@query("""WITH e AS (SELECT event_id % 3 = 0 AS q, event_id % 5 = 0 AS c, event_id % 7 AS rule, event_id % 2 AS absent, event_id % 11 AS j FROM events)
+SELECT concat_ws(' ', CASE WHEN q THEN 'question_answer_leakage' END, CASE WHEN c THEN 'question_context_answer_leakage' END, CASE WHEN rule = 0 THEN 'source_dependent_locator' END,
+    CASE WHEN absent = 0 THEN 'standalone_answer_leakage' END, CASE WHEN j < 4 THEN 'standalone_undefined_term' END, CASE WHEN j < 2 THEN 'standalone_multiple_interpretations' END, CASE WHEN j = 5 AND absent <> 0 THEN 'standalone_answer_leakage' END) AS reasons,
+  CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN j < 4 AND rule < 3 OR j < 2 AND NOT c THEN 1 ELSE 0 END) AS BIGINT) AS unevidenced FROM e GROUP BY 1""")
+def gate_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Reasons against displayed tasks, and how many verdicts name no evidence."""
+    i = F.col("event_id")
+    judged = F.when(i % 11 < 2, strings("undefined_term", "multiple_interpretations")).when(i % 11 < 4, strings("undefined_term", "undefined_term")).when(i % 11 == 5, strings("answer_leakage"))
+    bare = J.unevidenced(judged.isNull(), judged, F.when(i % 7 >= 3, strings("it")).otherwise(strings(" ")), F.when(i % 5 == 0, strings("so", "or so")).otherwise(strings("so", "")))
+    reasons = J.gate_reasons(i % 3 == 0, i % 5 == 0, F.when(i % 7 == 0, "source_dependent_locator"), F.when(i % 2 == 0, F.lit(False)), judged)
+    return table(spark, d, "events").groupBy(F.array_join(reasons, " ").alias("reasons")).agg(F.count("*").alias("n"), F.count_if(bare).alias("unevidenced"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS kind, o_custkey % 90 AS a, 1 + o_orderkey % 9 AS b FROM orders)
+SELECT o_orderkey, CASE WHEN kind IN (0, 1) THEN a || '.5 ' || b ELSE '' END AS quantities FROM o""")
+def uncertain_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values in millimetres with their uncertainty; the other clauses have another unit, or none of their own."""
+    a, b, kind = F.concat(F.col("o_custkey") % 90, F.lit(".5")), 1 + F.col("o_orderkey") % 9, F.col("o_orderkey") % 5
+    text = (
+        F.when(kind == 0, F.concat(F.lit("grew "), a, F.lit(" ± "), b, F.lit(" mm.")))
+        .when(kind == 1, F.concat(F.lit("grew "), a, F.lit("mm of ice (SD = "), b, F.lit(")")))
+        .when(kind == 2, F.concat(a, F.lit(" +/- "), b, F.lit(" mmol")))
+        .when(kind == 3, F.concat(a, F.lit(" mm, "), b, F.lit(" m")))
+    )
+    found = F.coalesce(J.uncertain_quantities(text, F.lit("mm")), F.array().cast("array<decimal(38,12)>"))
+    plain = F.transform(found, lambda n: F.regexp_replace(n.cast("string"), r"\.?0+$", ""))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(plain, " ").alias("quantities"))

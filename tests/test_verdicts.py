@@ -101,3 +101,21 @@ def test_acronyms_of_compounds_and_versions(spark):
     texts = ["the Asian-Pacific Oscillation (APO)", "a Sea-Ice Model (SM) ran", "the Ice Ocean Model version 2.1 (IOM)", "called by the acronym XYZ here", "the XYZ was predicted", None]
     got = rows(spark, [(t,) for t in texts], "t string", V.unresolved_acronyms(F.col("t")))
     assert got[:4] == [[], [], [], []] and got[4] == ["XYZ"]
+
+
+def test_uncertain_quantities(spark):
+    data = [("13.0 ± 2.6 °C", "°C", ["13", "2.6"]), ("0.122 mm (sd = 0.04)", "mm", ["0.122", "0.04"]), ("5 +/- 1 m", "mm", []), ("1,200 + / - −3 m", "m", ["1200", "-3"]), ("5 ± 1 ms", "m", []), ("5 ± 1", "m", []), (None, "m", None), ("5 ± 1 m", None, None)]
+    got = rows(spark, [r[:2] for r in data], "t string, u string", J.uncertain_quantities(F.col("t"), F.col("u")))
+    assert [g and [f"{float(x):g}" for x in g] for g in got] == [r[2] for r in data]
+
+
+def test_gate_and_evidence(spark):
+    schema = "p boolean, r array<string>, h array<string>, d array<string>"
+    data = [
+        (False, ["undefined_x"], [" "], None, True), (False, ["undefined_x"], ["it"], None, False), (False, ["multiple_interpretations"], ["it"], ["a"], True), (False, ["multiple_interpretations"], None, ["a", "b"], False),
+        (True, ["undefined_x"], None, None, False), (None, ["undefined_x"], None, None, False), (False, None, None, None, False),
+    ]
+    assert rows(spark, [r[:4] for r in data], schema, J.unevidenced(*map(F.col, "prhd"))) == [r[4] for r in data]
+    gates = [(True, None, None, False, ["answer_leakage"]), (False, True, "rule", None, ["a", "a"]), (None, None, None, True, None)]
+    got = rows(spark, gates, "q boolean, c boolean, r string, l boolean, j array<string>", J.gate_reasons(*map(F.col, "qcrlj")))
+    assert got == [["question_answer_leakage", "standalone_answer_leakage"], ["question_context_answer_leakage", "rule", "standalone_a"], []]
