@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, jaccard_join, lang_id, license_scan, line_dedup, packing, secret_scan, substring_dedup, token_count, vptree
+from sparkloom.llm import decontam, jaccard_join, lang_id, license_scan, line_dedup, packing, periodic_runs, quality_rules, secret_scan, substring_dedup, token_count, vptree, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=80)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_runs.repeat_some(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.digest(periodic_runs.detect(docs, min_length=6, min_exponent=4))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, k=8)
+    return whitening.by_component(whitening.whiten(vectors, model), model)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +87,9 @@ QUERIES = {
         op8_license_scan,
         op9_line_dedup,
         op10_ngram_jaccard_join,
+        op11_periodic_runs,
+        op12_embedding_whitening,
+        op13_quality_rules,
     )
 }
 
@@ -110,4 +128,37 @@ reach AS (
   SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
 SELECT d.doc_id, coalesce(sz.n, 0) AS n_shingles, min(reach.y) AS component_id
 FROM d LEFT JOIN sz ON sz.doc_id = d.doc_id JOIN reach ON reach.x = d.doc_id GROUP BY d.doc_id, sz.n""",
+    "op11_periodic_runs": r"""
+WITH byte AS (
+  SELECT doc_id, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])) AS b,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (
+  SELECT doc_id, w, len(w) AS n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b),
+    lambda c, x: xor(xor(c, x) >> 1, 3988292384::BIGINT * (xor(c, x) & 1)))) AS h FROM byte),
+ap AS (
+  SELECT doc_id, w, n, h, CASE WHEN n > 0 THEN (h // 10) % n END AS a,
+    CASE WHEN n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) END AS p FROM h),
+d AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM ap),
+word AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM d),
+pair AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM word x JOIN word y
+  ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretch AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS l
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pair) GROUP BY doc_id, q, g
+  HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (
+  SELECT * FROM stretch a WHERE NOT EXISTS (
+    SELECT 1 FROM stretch b WHERE b.doc_id = a.doc_id AND b.q < a.q AND b.s <= a.s AND b.s + b.l >= a.s + a.l)),
+runs AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t,
+    list([s, l, q] ORDER BY -((l * 1000000000) // q), s, q)[1] AS best FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM run),
+left_over AS (
+  SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.i) AS t
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i WHERE gone.i IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period,
+  1000 * best[2] // best[3] AS exponent_milli, sha256(coalesce(runs.t, '')) AS runs_sha256, sha256(coalesce(left_over.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN runs ON runs.doc_id = d.doc_id LEFT JOIN left_over ON left_over.doc_id = d.doc_id""",
 }
