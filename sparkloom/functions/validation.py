@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions.display import names_a_referent, requires_context, unresolved_acronyms
 from sparkloom.functions.text import normalize
 
 # Patterns, words, units and bounds of the checks.
@@ -28,12 +29,19 @@ BRACKET_CITATION = r"\[\s*[0-9]+(?:\s*[;,–-]\s*[0-9]+)*\s*\]"
 LOCATOR_WORD = r"(?i:\b(?:fig(?:ure|s)?|tab(?:le|s)?|eq(?:uation|s)?|suppl(?:ementary|ement)?|sect(?:ion)?|panel|appendix)\b\.?\s*(?:S?[0-9]|[IVX]+\b))"
 AUTHOR_YEAR = r"(?:e\.g\.,?\s*)?[A-Z]\p{L}+(?:\s+(?:et\s+al\.?|and\s+[A-Z]\p{L}+|&\s+[A-Z]\p{L}+))?,?\s*[0-9]{4}[a-z]?"
 RESIDUAL_LOCATOR = r"(?i)\b(?:fig(?:ure|s)?|tab(?:le|s)?|eq(?:uation|s)?|suppl(?:ementary|ement)?|sect(?:ion)?|panel|appendix)\s*\.?\s*(?:[0-9]|[IVX]+\b|S[0-9])"
-ACRONYM = r"\b[A-Z][A-Z0-9]{1,7}\b"
-KNOWN_TOKENS = (
-    "CH4 CO2 DNA N2O O2 RNA II III IV VI UTC GMT AD BC CE BCE GPS PCR UV SI RMSE SD NAO ENSO CFU RMS RMSD SE SEM CMIP5 CMIP6 PM10 NH4 SO42"
-    " NE NW SW NNE ENE ESE SSE SSW WSW WNW NNW"
+#: Stems of finite verbs; each may end as given after it.
+FINITE_VERBS = (
+    "is are was were has have had do does did can could will would show(?:s|ed|n)? report(?:s|ed)? increas(?:e|es|ed) decreas(?:e|es|ed) declin(?:e|es|ed) rang(?:e|es|ed) occur(?:s|red)?"
+    " reach(?:es|ed)? exceed(?:s|ed)? averag(?:e|es|ed) remain(?:s|ed)? var(?:y|ies|ied) contribut(?:e|es|ed) represent(?:s|ed)? indicat(?:e|es|ed) found observed measured estimated"
+    " account(?:s|ed)? correlat(?:e|es|ed) differ(?:s|ed)? took take(?:s|n)? collect(?:s|ed)? sampl(?:e|es|ed) conduct(?:s|ed)? perform(?:s|ed)? carr(?:y|ies|ied) locat(?:e|es|ed)"
+    " situat(?:e|es|ed) us(?:e|es|ed) deploy(?:s|ed)? obtain(?:s|ed)? record(?:s|ed)? analys(?:e|es|ed) analyz(?:e|es|ed) includ(?:e|es|ed) consist(?:s|ed)? cover(?:s|ed)? span(?:s|ned)?"
+    " last(?:s|ed)? began begin(?:s)? start(?:s|ed)? end(?:s|ed)? ran run(?:s)? isolat(?:e|es|ed) deriv(?:e|es|ed) defin(?:e|es|ed) denot(?:e|es|ed) refer(?:s|red)? mean(?:s|t)? stand(?:s)?"
+    " compris(?:e|es|ed) lie(?:s)? lay extend(?:s|ed)? belong(?:s|ed)? occupi(?:es|ed) receiv(?:e|es|ed) appl(?:y|ies|ied) select(?:s|ed)? describ(?:e|es|ed) operat(?:e|es|ed) driv(?:e|es|en)"
+    " drove install(?:s|ed)? mount(?:s|ed)? equip(?:s|ped)? fitted held hold(?:s)? flew fl(?:y|ies) made make(?:s)? gave give(?:s)? placed kept keep(?:s)? stood grew grow(?:s)? form(?:s|ed)?"
+    " sail(?:s|ed)? visit(?:s|ed)? travel(?:s|led|ed)? arriv(?:e|es|ed) left leave(?:s)? return(?:s|ed)? follow(?:s|ed)? continu(?:e|es|ed) complet(?:e|es|ed) determin(?:e|es|ed)"
+    " calculat(?:e|es|ed) comput(?:e|es|ed) identif(?:y|ies|ied) characteri[sz](?:e|es|ed) process(?:es|ed)? stor(?:e|es|ed) prepar(?:e|es|ed) treat(?:s|ed)? expos(?:e|es|ed) incubat(?:e|es|ed)"
+    " cultur(?:e|es|ed) grown sequenc(?:e|es|ed) extract(?:s|ed)? filter(?:s|ed)? weigh(?:s|ed)? count(?:s|ed)? provid(?:e|es|ed) suppl(?:y|ies|ied) yield(?:s|ed)? produc(?:e|es|ed)"
 ).split()
-GLOSS_VERBS = "means|denotes|is short for|stands for|refers to|identifies|is defined as|is the|are the|is an?|are|was the|were the|represents|designates|corresponds to"
 FACTORS = {("m", "cm"): "100", ("cm", "m"): "0.01", ("km", "m"): "1000", ("m", "km"): "0.001", ("kg", "g"): "1000", ("g", "kg"): "0.001"}
 KELVIN = "273.15"
 INTEGER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
@@ -56,29 +64,37 @@ def assertion_issue(text: Column) -> Column:
 
 
 def context_reason(displayed: Column, context: Column) -> Column:
-    """The first failure of a displayed text and its context; null if none."""
+    """The first failure of a displayed text and its context; null if none. A text that points at something of its study
+    needs a context, which names it and leaves no acronym open."""
     both = F.concat_ws("\n", displayed, context)
+    needs = F.coalesce(requires_context(displayed), F.lit(False))
+    unnamed = (F.size(unresolved_acronyms(both)) > 0) | ~names_a_referent(context)
     return (
         F.when(malformed(displayed) | malformed(context), "benchmark_text_malformed")
         .when(both.rlike(SOURCE_LOCATOR), "source_dependent_locator")
         .when(both.rlike(RELATIVE_PERIOD), "publication_relative_period")
-        .when(F.size(unresolved_acronyms(both)) > 0, "question_context_referent_unresolved")
+        .when(needs & (F.coalesce(F.trim(context), F.lit("")) == ""), "question_context_missing")
+        .when(needs & unnamed, "question_context_referent_unresolved")
     )
 
 
 def converted(value: Column, source: Column, target: Column) -> Column:
-    """A decimal in another unit; null where the units aren't known to each other."""
+    """A decimal in another unit; null where the units aren't known to each other, or for what is no number or too
+    long a one."""
     a, b = F.lower(source), F.lower(target)
-    out = F.when(a == b, value.cast(EXACT))
+    out = F.when(a == b, value.try_cast(EXACT))
     for (x, y), factor in FACTORS.items():
-        out = out.when((a == x) & (b == y), (value.cast("decimal(24,9)") * F.lit(factor).cast("decimal(10,3)")).cast(EXACT))
+        out = out.when((a == x) & (b == y), F.try_multiply(value.try_cast("decimal(24,9)"), F.lit(factor).cast("decimal(10,3)")).try_cast(EXACT))
     celsius = lambda u: u.isin("c", "°c")
-    return out.when(celsius(a) & (b == "k"), (value.cast("decimal(30,12)") + F.lit(KELVIN).cast("decimal(5,2)")).cast(EXACT)).when((a == "k") & celsius(b), (value.cast("decimal(30,12)") - F.lit(KELVIN).cast("decimal(5,2)")).cast(EXACT))
+    kelvin = F.lit(KELVIN).cast("decimal(5,2)")
+    exact = value.try_cast("decimal(30,12)")
+    return out.when(celsius(a) & (b == "k"), F.try_add(exact, kelvin).try_cast(EXACT)).when((a == "k") & celsius(b), F.try_subtract(exact, kelvin).try_cast(EXACT))
 
 
 def numeric_equal(left: Column, left_unit: Column, tolerance: Column, right: Column, right_unit: Column) -> Column:
     """Whether two quantities agree within the tolerance of the left; false where they can't be compared."""
-    return F.coalesce(F.abs(left.cast(EXACT) - converted(right, right_unit, left_unit)) <= tolerance.cast(EXACT), F.lit(False))
+    apart = F.abs(F.try_subtract(left.try_cast(EXACT), converted(right, right_unit, left_unit)))
+    return F.coalesce(apart <= tolerance.try_cast(EXACT), F.lit(False))
 
 
 def displayed_quantities(text: Column, unit: Column) -> Column:
@@ -117,24 +133,8 @@ def redact_locators(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+([,.;:)])", "$1"), r"[ \t]{2,}", " "))
 
 
-def context_display(text: Column, finite_verb: str = r"(?i)\b(?:is|are|was|were|has|have|had|do|does|did|can|could|will|would)\b") -> Column:
+def context_display(text: Column, finite_verb: str = rf"(?i)\b(?:{'|'.join(FINITE_VERBS)})\b") -> Column:
     """What is shown of a span of context: redacted, a complete sentence, without a pointer left; else null."""
     shown = redact_locators(text)
     whole = (F.length(shown) >= 16) & shown.rlike(r"[.!?][\"'”’)\]]*\s*$") & shown.rlike(finite_verb)
     return F.when(~text.rlike(r"[ \t]{8,}") & ~shown.rlike(RESIDUAL_LOCATOR) & whole, shown)
-
-
-def unresolved_acronyms(text: Column) -> Column:
-    """Acronyms that the text neither spells out, before or after them in brackets, nor defines in words."""
-    found = F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({ACRONYM})"), 1)), F.array(*[F.lit(t) for t in KNOWN_TOKENS]))
-
-    def resolved(token: Column) -> Column:
-        letters = F.split(F.regexp_replace(token, "[0-9]", ""), "")
-        initials = F.array_join(F.transform(letters, lambda c: F.concat(c, F.lit(r"\w*(?:[-/]\w+)*"))), r"(?:[\s/-]+(?:of|the|and|for|in|on)\b)*[\s/-]+")
-        before = F.concat(F.lit(r"(?i)\b"), initials, F.lit(r"(?:\s+version\s+[0-9.]+)?\s*\("), token, F.lit(r"\)"))
-        after = F.concat(F.lit(r"(?i)\b"), token, F.lit(r"\s*\("), initials, F.lit(r"\)"))
-        defined = F.concat(F.lit(r"(?i)(?<!\w)"), token, F.lit(rf"[\w-]*\s+(?:{GLOSS_VERBS})\s+\S"))
-        named = F.concat(F.lit(r"(?i)\b(?:(?:abbreviated|denoted|designated|referred to|termed|known|labelled|labeled|hereafter)\s+(?:as\s+)?(?:the\s+)?|(?:abbreviation|acronym)\s+)"), token, F.lit(r"(?![\w-])"))
-        return (F.length(F.regexp_replace(token, "[0-9]", "")) > 1) & (F.regexp(text, before) | F.regexp(text, after)) | F.regexp(text, defined) | F.regexp(text, named)
-
-    return F.filter(found, lambda t: ~resolved(t))
