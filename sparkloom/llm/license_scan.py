@@ -1,16 +1,18 @@
 """License scan by conditional compression.
 
-Blocks of a text that hold a word of licensing (their lines, with up to max_gap lines between two of them) are searched
-for every template: a run of words states it if it has at least `similarity` of the template's words in order (longest
-common subsequence, bit-parallel) and is at most 1 / similarity times as long. Of statements that overlap, that stays
-whose words shrink by most bytes when compressed with their template as a raw zstandard dictionary instead of plain; it
-is reported with the exact differences: words of the template that the block lacks, words in between that it adds.
-The share saved is that of the block, or of the words around the statement in a block of more than 240 words.
-
-Null and empty texts have no blocks; equal savings go to the name that comes first; each statement that overlaps no
-better one is reported, so a block may state several licenses, or one in several places. Repeated rows and rows without
-a doc_id are scanned like others. Lines are taken whole, so long ones are read whole too; very long texts are scanned
-one at a time. Other columns are not read.
+Around each word of licensing a text is searched as far as the longest template reaches, over line ends. A run of words
+is a candidate for a template if it has at least `similarity` of the template's words in order (longest common
+subsequence, bit-parallel) and is at most 1 / similarity times as long. Candidates are ranked by the bytes that they
+shrink when compressed with their template as a raw zstandard dictionary instead of plain; one that shrinks by none or
+less is no candidate. In that order they are confirmed by their exact differences: words of the template that the text
+lacks, words in between that it adds. A difference in a word that names a license or its version (a name, BY, SA, NC,
+ND, a number) rejects, so a license without a template is not taken for one with a similar wording. Confirmed ones that
+overlap no better one are reported with the differences and the place of their words.
+
+Null and empty texts state nothing; equal savings go to the name that comes first; a text may state several licenses, or
+one in several places, and time grows with their number. A copy that lacks all words of licensing is not looked for.
+Repeated rows and rows without a doc_id are scanned like others; very long texts are scanned one at a time. Other
+columns are not read. The share saved is that of the words around the statement, 60 before and 180 from its start on.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from sparkloom.llm.common import small_batches, text_blocks
 
 SCHEMA = "doc_id long, start long, end long, license string, saved double, n_missing int, n_added int, differences string"
 
-CUE = re.compile(r"licen[sc]|copyright|spdx|warrant|redistribut|permission|all rights reserved|public domain|unlicense", re.I)
+CUE = re.compile(r"licen[sc]|copyright|spdx|warrant|redistribut|permission|all\s+rights\s+reserved|public\s+domain|unencumbered", re.I)
 WORD = re.compile(r"[\w.+-]*\w")
 
 # Statements and notices as their publishers word them.
@@ -53,21 +55,39 @@ TEMPLATES = {
 }
 
 
+# Words, or parts of compounds, by which licenses differ.
+NAMES = frozenset(
+    "mit isc bsd apache gpl lgpl agpl gnu lesser library affero mozilla mpl eclipse epl creative commons cc cc0 by sa nc nd attribution sharealike noncommercial noderivs noderivatives public domain"
+    " unlicense zlib boost artistic proprietary".split()
+)
+NUMBER = re.compile(r"v?[0-9]+(?:\.[0-9]+)*")
+
+
+def names_license(word: str) -> bool:
+    return any(p in NAMES for p in word.split("-")) or NUMBER.fullmatch(word) is not None
+
+
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
-def blocks_of(text: str, max_gap: int) -> list[tuple[int, int]]:
-    """Character spans of runs of lines with a licensing word."""
+def blocks_of(text: str, reach: int) -> list[tuple[int, int]]:
+    """Character spans that go reach characters beyond words of licensing, to the next white space; joined where they meet."""
     spans: list[tuple[int, int]] = []
     for m in CUE.finditer(text):
-        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        b = len(text) if b < 0 else b
-        if spans and (a <= spans[-1][1] or text.count("\n", spans[-1][1], a) <= max_gap + 1):
-            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], b)
         else:
             spans.append((a, b))
-    return spans
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        while a and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        out.append((a, b) if not out or a > out[-1][1] else (out.pop()[0], b))
+    return out
 
 
 class Matcher:
@@ -82,6 +102,8 @@ class Matcher:
             if folded:
                 given = z.ZstdCompressionDict(folded.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
                 self.templates.append((name, folded.split(), z.ZstdCompressor(level=3, dict_data=given)))
+        #: Characters that the longest near copy may have, with marks of comments on each line.
+        self.reach = int(1.3 / similarity * max(map(len, templates.values()), default=0))
 
     def saved(self, words: list[str], compressor) -> tuple[int, float]:
         """Bytes that a template saves of the words, and their share."""
@@ -113,40 +135,54 @@ class Matcher:
                     best = m + e + 1 - s - 2 * common, s, e + 1
             if best:
                 fits.append(best)
-        taken: list[tuple[int, int]] = []
+        taken, covered = [], bytearray(len(words))
         for _, s, e in sorted(fits):
-            if all(e <= x or y <= s for x, y in taken):
+            if not any(covered[s:e]):
                 taken.append((s, e))
+                covered[s:e] = b"\1" * (e - s)
         return taken
 
     @staticmethod
-    def differences(words: list[str], template: list[str]) -> tuple[list[str], int, int]:
-        """(differences, missing, added)."""
-        diff, missing, added = [], 0, 0
+    def differences(words: list[str], template: list[str]) -> tuple[list[str], int, int, bool]:
+        """(differences, missing, added, whether one of them names a license). Numbers count where the template has any."""
+        diff, missing, added, other = [], 0, 0, False
+        numbered = any(NUMBER.fullmatch(w) for w in template)
         for kind, a, b, c, d in SequenceMatcher(None, words, template, autojunk=False).get_opcodes():
             if kind != "equal":
                 diff.append(f"-{' '.join(template[c:d])}+{' '.join(words[a:b])}")
                 missing, added = missing + d - c, added + b - a
-        return diff, missing, added
+                other = other or any(names_license(w) and (numbered or not NUMBER.fullmatch(w)) for w in template[c:d] + words[a:b])
+        return diff, missing, added, other
 
     def find(self, text: str, reach: int = 60) -> list[tuple]:
         """(name, share saved, first word, end, differences, missing, added) of each license stated in the text."""
         words = words_of(text)
-        fits = []
+        ranked = []
         for name, template, compressor in self.templates:
             for s, e in self.places(words, template):
-                fits.append((-self.saved(words[s:e], compressor)[0], name, s, e, template, compressor))
-        found: list[tuple] = []
-        for _, name, s, e, template, compressor in sorted(fits, key=lambda x: x[:4]):
-            if not any(s < f[3] and f[2] < e for f in found):
-                # a long block hides what a short template saves
-                around = words if len(words) <= 4 * reach else words[max(0, s - reach) : s + 3 * reach]
-                found.append((name, self.saved(around, compressor)[1], s, e, *self.differences(words[s:e], template)))
+                if (saved := self.saved(words[s:e], compressor)[0]) >= 0:
+                    ranked.append((-saved, name, s, e, template, compressor))
+        found, covered = [], bytearray(len(words))
+        for _, name, s, e, template, compressor in sorted(ranked, key=lambda x: x[:4]):
+            if any(covered[s:e]):
+                continue
+            *differences, other = self.differences(words[s:e], template)
+            if not other:
+                covered[s:e] = b"\1" * (e - s)
+                found.append((name, self.saved(words[max(0, s - reach) : s + 3 * reach], compressor)[1], s, e, *differences))
         return found
 
+    def statements(self, text: str) -> list[tuple]:
+        """(first character, end, name, share saved, differences, missing, added) of each license stated in a whole text."""
+        out = []
+        for a, b in blocks_of(text, self.reach):
+            at = [m.span() for m in WORD.finditer(text, a, b)]
+            out += [(at[s][0], at[e - 1][1], name, saved, *rest) for name, saved, s, e, *rest in self.find(text[a:b])]
+        return sorted(out)
+
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: float = 0.8, max_gap: int = 3) -> DataFrame:
-    """One row for each license stated in docs (doc_id, text): its block, the share saved, the wording differences."""
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: float = 0.8) -> DataFrame:
+    """One row for each license stated in docs (doc_id, text): its place, the share saved, the wording differences."""
     small_batches(docs.sparkSession)
     templates = templates or TEMPLATES
 
@@ -156,9 +192,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: f
         for ids, texts in text_blocks(batches, "doc_id", "text"):
             rows = []
             for doc_id, text in zip(ids, texts):
-                for a, b in blocks_of(text, max_gap) if text else ():
-                    for name, saved, _, _, diff, missing, added in matcher.find(text[a:b]):
-                        rows.append((doc_id, a, b, name, round(saved, 6), missing, added, "; ".join(diff)))
+                for a, b, name, saved, diff, missing, added in matcher.statements(text) if text else ():
+                    rows.append((doc_id, a, b, name, round(saved, 6), missing, added, "; ".join(diff)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 8, kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -203,6 +203,47 @@ def test_licenses_in_long_lines(spark):
     assert sorted((r["doc_id"], r["license"]) for r in rows) == [(0, "Unlicense"), (1, "MIT statement"), (2, "MIT statement"), (2, "MIT statement")]
 
 
+WRONG = [
+    "Licensed under CC BY-SA 4.0.",
+    "Licensed under CC BY-ND 4.0.",
+    "Released under the BSD License.",
+    "This work is licensed under the GNU General Public License, version 2.",
+    "Licensed under the Apache License, Version 1.1.",
+    license_scan.TEMPLATES["GPL-2.0"].replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1").replace("This library is free software; you", "This is a library; you"),
+    license_scan.TEMPLATES["GPL-2.0"].replace("GNU General", "GNU Affero General"),
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
+]
+
+
+def test_other_licenses_are_not_taken_for_similar_ones():
+    matcher = license_scan.Matcher(license_scan.TEMPLATES, 0.8)
+    for text in WRONG:
+        assert [s[2] for s in matcher.statements(f"prose\n{text}\nmore")] in ([], ["LGPL"]), text
+    assert [s[2] for s in matcher.statements(license_scan.TEMPLATES["LGPL"])] == ["LGPL"]
+
+
+def test_statements_wrapped_over_lines():
+    import textwrap
+
+    matcher = license_scan.Matcher(license_scan.TEMPLATES, 0.8)
+    for width in (24, 40, 70):
+        for name, text in license_scan.TEMPLATES.items():
+            lines = "before\n" + "\n".join("# " + x for x in textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False)) + "\nafter it"
+            (a, b, got, _, _, missing, added), *more = matcher.statements(lines)
+            assert (got, missing, added, more) == (name, 0, 0, []), (width, name)
+            assert license_scan.words_of(lines[a:b]) == license_scan.words_of(text)
+
+
+def test_very_many_statements_in_one_text():
+    import time
+
+    names = sorted(n for n in license_scan.TEMPLATES if n.endswith("statement"))
+    began = time.time()
+    found = license_scan.Matcher(license_scan.TEMPLATES, 0.8).statements("\n".join(license_scan.TEMPLATES[names[i % len(names)]] for i in range(30_000)))
+    assert [f[2] for f in found] == [names[i % len(names)] for i in range(30_000)] and time.time() - began < 90
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
