@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that a task handles at a time; bounds the arrays made from them.
 BLOCK_CHARS = 1_000_000
@@ -51,6 +52,19 @@ def small_batches(spark: SparkSession, size: int = 4_000_000) -> None:
         spark.conf.set(name, str(size))
 
 
+#: The column of with_text_keys.
+KEY = "_text_key"
+
+
+def with_text_keys(docs: DataFrame) -> DataFrame:
+    """docs with a number for each doc_id and text: the doc_id, but where one has several texts, hashes for all of them but
+    one. Null where there is no doc_id. Only the ids that stand with several texts are joined."""
+    hashed = docs.withColumn(KEY, F.xxhash64("text"))
+    several = hashed.filter("doc_id is not null").groupBy("doc_id").agg(F.min(KEY).alias("_text_key_first"), F.max(KEY).alias("_text_key_last")).filter("_text_key_first <> _text_key_last")
+    known = several.select(F.col("doc_id").alias("_text_key_id"), "_text_key_first")
+    return hashed.join(known, F.col("doc_id") == F.col("_text_key_id"), "left").withColumn(KEY, F.when(F.col("_text_key_first") < F.col(KEY), F.xxhash64("doc_id", KEY)).otherwise(F.col("doc_id"))).drop("_text_key_id", "_text_key_first")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -25,6 +25,7 @@ rows and rows without a doc_id are searched like others, very long texts one at
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import warnings
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, mix, small_batches, text_blocks
+from sparkloom.llm.common import KEY, Scratch, mix, small_batches, text_blocks, with_text_keys
 
 SCHEMA = "doc_id long, item_id long, start_word int, end_word int, edits int, item_words int"
 WORD = re.compile(r"\w+")
@@ -221,10 +222,10 @@ class Detector:
         if not met:
             return []
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+        exact: set[tuple[int, int, int]] = set()
         for doc, s, k in sorted(met):
             a, b = int(base[doc]), int(base[doc] + n[doc])
-            own = found[doc, k]
-            if any(x == s - a and e == 0 for e, x, y in own):
+            if (doc, k, s - a) in exact:
                 continue
             low, high = max(a, s - self.edits[k]), min(b, s + len(self.items[k]) + self.edits[k])
             near = words[low:high].tolist()
@@ -232,13 +233,16 @@ class Detector:
                 continue  # too few words of the item
             e, x, y = self.matchers[k].best(near)
             if e <= self.edits[k]:
-                own.append((e, x + low - a, y + low - a))
+                found[doc, k].append((e, x + low - a, y + low - a))
+                if not e:
+                    exact.add((doc, k, x + low - a))
         out = []
         for (doc, k), spans in found.items():
-            taken: list[tuple[int, int]] = []
+            taken: list[tuple[int, int]] = []  # in order of position, none overlaps another
             for e, x, y in sorted(set(spans)):
-                if all(y <= u or v <= x for u, v in taken):
-                    taken.append((x, y))
+                at = bisect.bisect_left(taken, (x, x))
+                if (at == 0 or taken[at - 1][1] <= x) and (at == len(taken) or y <= taken[at][0]):
+                    taken.insert(at, (x, y))
                     out.append((doc, k, x, y, e))
         return out
 
@@ -274,5 +278,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs less the documents that hold a benchmark passage; rows without a doc_id stay."""
-    return docs.join(find_contamination(docs, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti")
+    """docs less the rows that hold a benchmark passage. A row goes by its own text: another text of the same doc_id
+    stays; rows that repeat a doc_id and text go together; rows without a doc_id stay."""
+    keyed = with_text_keys(docs)
+    found = find_contamination(keyed.filter("doc_id is not null").select(F.col(KEY).alias("doc_id"), "text"), benchmark, **how)
+    return keyed.join(found.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").select(*docs.columns)

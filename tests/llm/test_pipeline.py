@@ -61,12 +61,25 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
+def test_texts_of_one_doc_id_are_rows_of_their_own(spark, tmp_path):
+    a, b, c = (" ".join(letters(words(random.Random(i), 40, 3000))) for i in (1, 2, 3))
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, b + " more"), (4, c), (None, a), (5, None), (5, "")], "doc_id long, text string")
+    docs = docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS bigint) AS n_chars")
+    left = pipeline.one_of_each_group(spark, docs, SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in left) == sorted([("1", a), ("2", b), ("4", c), ("None", a), ("5", ""), ("5", "")])
+    spark.createDataFrame([(1, " ".join(b.split()[5:30])), (2, "one common word")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in left) == sorted([("1", a), ("2", a), ("4", c), ("None", a), ("5", ""), ("5", "")])
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_is_whole(spark, name):
     rows = queries.QUERIES[name](spark, SF)
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     if name.startswith(("op4_", "op7_", "op8_", "op3_")):
         assert rows.count() > 0
+    elif name.startswith("op12_"):
+        assert rows.count() == 8 * spark.read.parquet(f"{SF}/embeddings.parquet").count() == 8 * rows.select("vec_id").distinct().count()
     else:
         assert rows.count() == n == rows.select("doc_id").distinct().count()
 

@@ -328,3 +328,12 @@ def test_a_large_benchmark_takes_little_memory():
     tracemalloc.stop()
     text = items[9][1].split() + ["x"] * 50 + items[4_005][1].split()
     assert {k for _, k, *_ in detector.find([text])} == {9, 4_005} and held < 200e6
+
+
+def test_a_short_item_repeated_very_often():
+    import time
+
+    detector = decontam.Detector([(1, "alpha beta")], 0.8, 0.98, 4, 1, 7)
+    began = time.time()
+    found = detector.find([["alpha", "beta"] * 60_000])
+    assert len(found) == 60_000 and all(e == 0 and y == x + 2 for _, _, x, y, e in found) and time.time() - began < 30
