@@ -3,7 +3,7 @@
 Quotes: each quote is looked for in all chunks, first as it stands, else with other white space between its words. Quote
 and chunk meet by hashes of windows of whole words within the quote, taken where its rarest window stands; what meets
 is compared byte by byte, so nothing else is found. Quotes with no whole word inside (one or two words) have no window;
-they are compared with all chunks, in blocks of a bounded number. Only hashes are shuffled with the windows, each text
+an automaton of a bounded block of them reads each chunk once. Only hashes are shuffled with the windows, each text
 once with the pairs.
 
 Chunks without an id or a text hold nothing; chunks that repeat count once, and so do quotes that repeat. A blank quote
@@ -12,29 +12,36 @@ is "blank", a null one or one with another hash than stated is "invalid", one th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.display import GLUE_WORDS
 from sparkloom.functions.text import once, sentences
 
-#: Words of a window, and short quotes that are compared with all chunks at a time.
-WINDOW, BLOCK = 3, 2_000
+#: Words of a window, and short quotes of one automaton.
+WINDOW, BLOCK = 3, 20_000
 
 # How an expansion and its acronym stand together, and the least sentence that is shown.
 FORWARD = r"((?:[A-Za-z][\w‐-]*[ \t\n]+){0,9}[A-Za-z][\w‐-]*)[ \t\n]*\(\s*([A-Z][A-Z0-9]{1,7})\s*\)"
 REVERSE = r"(?<![\w-])([A-Z][A-Z0-9]{1,7})\s*\(\s*([A-Za-z][^()\n]{2,120}?)\s*\)"
 LEAST_SENTENCE = 16
+#: What parts words.
+BLANKS = r"[ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(text, BLANKS + "+"), lambda w: w != "")
 
 
 def windows(tokens: Column, size: int) -> Column:
     """Hashes of all runs of size words, once each."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - size + 1)
-    return F.when(F.size(tokens) >= size, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, size), " "))))).otherwise(F.array().cast("array<bigint>"))
+    run = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, size)]))
+    whole = lambda w: F.array_distinct(F.slice(run(w), F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(0))))
+    return once(tokens, whole)
 
 
 def spaced(quote: Column) -> Column:
@@ -70,7 +77,7 @@ def _pairs(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     if not sizes:
         return quotes.select("quote", F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id")).limit(0)
     given = chunks.select("chunk_id", words(F.col("text")).alias("w")).select("chunk_id", F.inline(F.concat(*[keyed(k) for k in sorted(sizes)])))
-    met = given.join(asked.select("size", "key").distinct(), ["size", "key"], "left_semi")
+    met = given.join(asked.select("size", "key").distinct(), ["size", "key"], "left_semi").persist(StorageLevel.DISK_ONLY)  # of the texts, what quotes hold too
     times = met.groupBy("size", "key").agg(F.count("*").alias("times"))
     rarest = asked.join(times, ["size", "key"]).groupBy("quote").agg(F.count("*").alias("n"), F.min(F.struct("times", "size", "key")).alias("least"))
     every = asked.groupBy("quote").agg(F.count("*").alias("all"))
@@ -78,22 +85,46 @@ def _pairs(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     return met.join(whole, ["size", "key"]).select("quote", "chunk_id")
 
 
+def _holders(short: list[str], chunks: DataFrame) -> DataFrame:
+    """Short quotes with the chunks that hold them but for white space: (quote, chunk_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton, asked = ahocorasick.Automaton(), {}
+        for q in short:
+            asked.setdefault(" ".join(q.split()), []).append(q)
+        for flat in asked:
+            automaton.add_word(flat, flat)
+        automaton.make_automaton()
+        for batch in batches:
+            at, hits = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for flat in {f for _, f in automaton.iter(" ".join(text.split()))}:
+                    at += [i] * len(asked[flat])
+                    hits += asked[flat]
+            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.string()), batch.column("chunk_id").take(pa.array(at, pa.int64()))], ["quote", "chunk_id"])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return chunks.select("chunk_id", "text").mapInArrow(run, f"quote string, chunk_id {kind}")
+
+
 def locate(quotes: DataFrame, chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     """Where each quote stands. quotes: quote_id, quote, quote_sha256; chunks: chunk_id, place, text. Of the chunks that
     hold a quote the first by place (then chunk_id) is taken: chunk_id, start_offset, end_offset (code points), text,
     text_sha256, match_kind; and status."""
-    chunks = chunks.filter("chunk_id is not null and text is not null").select("chunk_id", "place", "text").distinct()
+    chunks = chunks.filter("chunk_id is not null and text is not null").select("chunk_id", "place", "text")
     valid = F.coalesce((F.col("quote") != "") & (F.sha2("quote", 256) == F.col("quote_sha256")), F.lit(False))
     blank = valid & ~F.col("quote").rlike(r"(?U)\S")
     known = quotes.filter(valid & ~blank).select("quote").distinct()
     short = F.size(words(F.col("quote"))) < 3
-    hits = _pairs(known.filter(~short), chunks).join(chunks, "chunk_id").withColumn("at", found(F.col("text"), F.col("quote")))
+    pairs = _pairs(known.filter(~short), chunks)
     few = known.filter(short)
     parts = -(-few.count() // block)
     for part in range(parts):
-        piece = few.filter(F.pmod(F.xxhash64("quote"), F.lit(parts)) == part)
-        every = chunks.crossJoin(F.broadcast(piece)).withColumn("at", found(F.col("text"), F.col("quote")))  # about block short strings
-        hits = hits.unionByName(every.select(*hits.columns))
+        piece = [r["quote"] for r in few.filter(F.pmod(F.xxhash64("quote"), F.lit(parts)) == part).collect()]  # about block strings of two words
+        pairs = pairs.unionByName(_holders(piece, chunks))
+    hits = pairs.distinct().join(chunks, "chunk_id").withColumn("at", found(F.col("text"), F.col("quote")))
     first = hits.filter("at is not null").groupBy("quote").agg(F.min_by(F.struct("chunk_id", "at"), F.struct("place", "chunk_id")).alias("hit"))
     end = F.col("hit.at.start") + F.length("hit.at.text")
     status = F.when(~valid, "invalid").when(blank, "blank").when(F.col("hit").isNull(), "unbound").otherwise("located")
