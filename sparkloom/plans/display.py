@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.adapters import table
+from sparkloom.functions import closed_sets as C
 from sparkloom.functions import display as D
 from sparkloom.functions.text import once
 from sparkloom.plans.registry import query
@@ -91,3 +92,45 @@ def spelled_out_acronyms(spark: SparkSession, d: str) -> DataFrame:
     rows = w.select("doc_id", glossed(F.col("w")))
     # the words before may hold capitals of their own; what counts is this token
     return rows.select("doc_id", "kind", "letters", (~F.array_contains(D.unresolved_acronyms(F.col("shown")), F.col("letters"))).alias("spelled_out"))
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[ .]+|[ .]+$', '', 'g')"
+
+
+def sql_literal(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+#: The SQL engine can't look ahead, but a blank before a member's first letter says the same.
+SQL_RANK = sql_literal(C.RANK.replace(r"\s+(?=\S)", r"\s+(\S)"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, {sql_strip("trim(regexp_replace(lower(regexp_replace(string_split(text, '.')[1], '[^\\x00-\\x7F]', 'x', 'g')), '\\s+', ' ', 'g'))")} AS t FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, t, {sql_strip(f"regexp_replace(t, '(?s)^.*?' || {sql_literal(C.LEAD)}, '')")} AS u FROM s),
+p AS (SELECT doc_id, CASE WHEN NOT regexp_matches(u, {sql_literal(C.NO_LIST)}) THEN list_transform(regexp_split_to_array(regexp_replace(u, ',\\s+and\\s+', ', ', 'g'), {sql_literal(C.PART)}), lambda x: {sql_strip(f"regexp_replace({sql_strip('x')}, {SQL_RANK}, '\\1')")}) END AS m FROM l),
+k AS (SELECT doc_id, CASE WHEN len(m) >= 2 AND len(list_filter(m, lambda x: x = '')) = 0 THEN m END AS m FROM p)
+SELECT doc_id, CAST(len(m) AS BIGINT) AS members, md5(array_to_string(m, '|')) AS key FROM k""")
+def enumerations(spark: SparkSession, d: str) -> DataFrame:
+    """The members of each text's first sentence, where it is an enumeration."""
+    # other letters count as x: the SQL knows ends of words in ASCII only
+    first = F.regexp_replace(F.substring_index("text", ".", 1), r"[^\x00-\x7F]", "x")
+    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", C.members(first).alias("m"))
+    return rows.select("doc_id", F.when(F.col("m").isNotNull(), F.size("m")).cast("long").alias("members"), F.md5(F.array_join("m", "|").cast("binary")).alias("key"))
+
+
+def sql_numeric(x: str) -> str:
+    out = f"trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'))"
+    for pattern, by in C.NUMERIC_WORDS:
+        if pattern.startswith("(?<="):  # ranges, twice as they may overlap
+            for _ in range(2):
+                out = f"regexp_replace({out}, '([0-9])\\s*[-–]\\s*([0-9])', '\\1 to \\2', 'g')"
+        else:
+            out = f"regexp_replace({out}, {sql_literal(pattern.replace('(?U)', '').replace('[^' + chr(92) + 'w', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(92) + 'p{M}_'))}, '{by}', 'g')"
+    return f"regexp_replace(trim(regexp_replace({out}, '\\s+', ' ', 'g')), '^\\.+|\\.+$', '', 'g')"
+
+
+@query(f"SELECT conv_id, turn, md5({sql_numeric('text')}) AS key FROM conversations")
+def numeric_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Turns with quantities in a normal form."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(C.numeric_text(F.col("text")).cast("binary")).alias("key"))
