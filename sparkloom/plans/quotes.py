@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.adapters import table
+from sparkloom.functions import text as T
 from sparkloom.operators import quotes as Q
+from sparkloom.operators import spans as S
 from sparkloom.plans.registry import query
 
 #: Quotes: the third to eleventh word of an item, whole and with other white space; a word alone; one that is nowhere;
@@ -71,3 +73,21 @@ def gloss_sentences(spark: SparkSession, d: str) -> DataFrame:
     chunks = rows.select("source", F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("place"), "text")
     displays = rows.select(F.col("doc_id").alias("display_id"), "source", F.array("token").alias("tokens"))
     return Q.definitions(displays, chunks, ["source"]).select("display_id", "token", "chunk_id", "start", "sentence")
+
+
+@query()
+def span_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of at most 2,000 bytes of each document: their spans, places and hashes."""
+    spans_ = S.byte_blocks(table(spark, d, "documents"), "doc_id", "text", 2_000)
+    # spans of a block lie together, but a doc_id may repeat: the hash tells its texts apart
+    return spans_.groupBy("doc_id", "block", "block_sha256").agg(F.count("*").alias("spans"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"))
+
+
+@query()
+def combined_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Two of three sentences of each document, those next to each other taken together."""
+    docs = table(spark, d, "documents").filter("doc_id is not null and text is not null")
+    rows = docs.select(F.col("doc_id").alias("chunk_id"), F.posexplode(T.sentences("text")).alias("i", "s")).filter("i % 3 <> 0")
+    chosen = rows.select("chunk_id", F.col("i").alias("span_id"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    found = S.coalesced(chosen, docs.select(F.col("doc_id").alias("chunk_id"), "text"))
+    return found.select(F.col("chunk_id").cast("long").alias("chunk_id"), "start_offset", "end_offset", F.size("source_span_ids").cast("long").alias("spans"), "text_sha256")
