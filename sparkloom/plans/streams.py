@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.adapters import table
 from sparkloom.plans.registry import query
 from sparkloom.sources import files, sinks
-from sparkloom.streaming import jobs
+from sparkloom.streaming import jobs, ranking
 
 
 @query("""SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS began, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
@@ -67,3 +67,14 @@ def top_sources_per_language(spark: SparkSession, d: str) -> DataFrame:
 
     n = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("text_n"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("text_n"), "source")).cast("long")).filter("rank <= 3")
+
+
+@query("""WITH l AS (SELECT user_id, arg_max(CAST(value AS DECIMAL(18, 6)), event_id) AS p, max(event_id) AS seq FROM events GROUP BY user_id)
+SELECT 'c' || user_id AS candidate_key, CAST(p AS VARCHAR) AS probability, seq, row_number() OVER (ORDER BY p DESC, 'c' || user_id) AS rank FROM l""")
+def stream_live_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates ranked by their last score, from the state of a stream."""
+    rows = jobs.read_table(spark, f"{d}/events.parquet")
+    scores = rows.select(F.concat(F.lit("c"), "user_id").alias("candidate_key"), F.col("value").cast("decimal(18,6)").cast("string").alias("probability"), F.col("event_id").alias("position"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+    folder = jobs.work_folder(spark)
+    ranking.follow(scores, folder, shards=8)
+    return ranking.ranked(ranking.complete(spark, folder)).select("candidate_key", "probability", "seq", "rank")
