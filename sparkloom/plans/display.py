@@ -110,13 +110,13 @@ SQL_RANK = sql_literal(C.RANK.replace(r"\s+(?=\S)", r"\s+(\S)"))
 l AS (SELECT doc_id, t, {sql_strip(f"regexp_replace(t, '(?s)^.*?' || {sql_literal(C.LEAD)}, '')")} AS u FROM s),
 p AS (SELECT doc_id, CASE WHEN NOT regexp_matches(u, {sql_literal(C.NO_LIST)}) THEN list_transform(regexp_split_to_array(regexp_replace(u, ',\\s+and\\s+', ', ', 'g'), {sql_literal(C.PART)}), lambda x: {sql_strip(f"regexp_replace({sql_strip('x')}, {SQL_RANK}, '\\1')")}) END AS m FROM l),
 k AS (SELECT doc_id, CASE WHEN len(m) >= 2 AND len(list_filter(m, lambda x: x = '')) = 0 THEN m END AS m FROM p)
-SELECT doc_id, CAST(len(m) AS BIGINT) AS members, md5(array_to_string(m, '|')) AS key FROM k""")
+SELECT doc_id, CAST(coalesce(len(m), 0) AS BIGINT) AS members, md5(array_to_string(m, '|')) AS key FROM k""")
 def enumerations(spark: SparkSession, d: str) -> DataFrame:
     """The members of each text's first sentence, where it is an enumeration."""
     # other letters count as x: the SQL knows ends of words in ASCII only
     first = F.regexp_replace(F.substring_index("text", ".", 1), r"[^\x00-\x7F]", "x")
     rows = table(spark, d, "documents").filter("text is not null").select("doc_id", C.members(first).alias("m"))
-    return rows.select("doc_id", F.when(F.col("m").isNotNull(), F.size("m")).cast("long").alias("members"), F.md5(F.array_join("m", "|").cast("binary")).alias("key"))
+    return rows.select("doc_id", F.coalesce(F.when(F.col("m").isNotNull(), F.size("m")), F.lit(0)).cast("long").alias("members"), F.md5(F.array_join("m", "|").cast("binary")).alias("key"))
 
 
 def sql_numeric(x: str) -> str:

@@ -42,11 +42,12 @@ first AS (SELECT quote, min(doc_id) AS doc_id FROM hit GROUP BY quote),
 spot AS (SELECT f.quote, f.doc_id, CASE WHEN h.e > 0 THEN h.e - 1 ELSE strpos(d.text, h.loose) - 1 END AS s, CASE WHEN h.e > 0 THEN h.quote ELSE h.loose END AS t, CASE WHEN h.e > 0 THEN 'exact' ELSE 'whitespace_equivalent' END AS kind
   FROM first f JOIN hit h ON h.quote = f.quote AND h.doc_id = f.doc_id JOIN documents d ON d.doc_id = f.doc_id)
 SELECT quote_id, CASE WHEN q.quote IS NULL OR q.quote = 'changed' THEN 'invalid' WHEN trim(q.quote, ' ') = '' THEN 'blank' WHEN a.quote IS NULL THEN 'unbound' ELSE 'located' END AS status,
-  a.doc_id AS chunk_id, CAST(s AS BIGINT) AS start_offset, CAST(s + length(t) AS BIGINT) AS end_offset, sha256(t) AS text_sha256, kind AS match_kind FROM quote q LEFT JOIN spot a ON a.quote = q.quote""")
+  coalesce(a.doc_id, -1) AS chunk_id, CAST(coalesce(s, -1) AS BIGINT) AS start_offset, CAST(coalesce(s + length(t), -1) AS BIGINT) AS end_offset, sha256(t) AS text_sha256, kind AS match_kind FROM quote q LEFT JOIN spot a ON a.quote = q.quote""")
 def located_quotes(spark: SparkSession, d: str) -> DataFrame:
-    """Quotes of benchmark items in the documents: the first that holds each, and where."""
+    """Quotes of benchmark items in the documents: the first that holds each, and where (-1: nowhere)."""
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("place"), "text")
-    return Q.locate(quotes(spark, d), chunks).drop("text")
+    found = Q.locate(quotes(spark, d), chunks).drop("text")
+    return found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("chunk_id", "start_offset", "end_offset")})
 
 
 #: Documents that open with a gloss of their own words: the letters of the first three, or of the first and third.
