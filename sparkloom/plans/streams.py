@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.adapters import table
 from sparkloom.plans.registry import query
 from sparkloom.sources import files, sinks
-from sparkloom.streaming import jobs, ranking
+from sparkloom.streaming import folder_view, jobs, ranking
 
 
 @query("""SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS began, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
@@ -78,3 +78,18 @@ def stream_live_ranking(spark: SparkSession, d: str) -> DataFrame:
     folder = jobs.work_folder(spark)
     ranking.follow(scores, folder, shards=8)
     return ranking.ranked(ranking.complete(spark, folder)).select("candidate_key", "probability", "seq", "rank")
+
+
+@query("""SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderkey % 8 = 5 THEN 1 ELSE 0 END AS cents, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 8 <> 3 GROUP BY ALL""")
+def folder_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as files of lines, taken in; then one of eight folders goes and one is written anew with other prices."""
+    work = jobs.work_folder(spark)
+    source, out, schema = f"{work}/in", f"{work}/view", "k long, cents long"
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), (F.col("o_orderkey") % 8).alias("part"))
+    rows.write.partitionBy("part").json(source)
+    folder_view.refresh(spark, source, out, schema)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(f"{source}/part=3")
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    rows.filter("part = 5").select("k", (F.col("cents") + 1).alias("cents")).write.mode("overwrite").json(f"{source}/part=5")
+    folder_view.refresh(spark, source, out, schema)
+    return folder_view.view(spark, out, schema).groupBy("k", "cents").agg(F.count("*").alias("n"))
