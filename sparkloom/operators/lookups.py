@@ -70,14 +70,17 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)["v"]).filter("_l = 1").drop("_l", "_v")
 
 
-def positions(df: DataFrame, key: Column, name: str = "position", parts: int = 64, sample: int = 4_096) -> DataFrame:
+def positions(df: DataFrame, key: Column, name: str = "position", parts: int | None = None, sample: int | None = None) -> DataFrame:
     """df with the place of each row, from 1, in the order of a key that no two rows share.
 
     Rows are dealt by ranges of the key, numbered within their range, and moved up by the rows of the ranges before it,
-    so no task sorts all rows. The bounds come from a sample of about `sample` keys and are constants of the plan.
+    so no task sorts all rows. There is a range for about each 500,000 rows, 64 to 10,000 of them; the bounds come from a
+    sample of about 64 keys for each range and are constants of the plan.
     """
     rows = df.withColumn("key", key)
-    every = max(1, rows.count() // sample)
+    n = rows.count()
+    parts = parts or min(10_000, max(64, n // 500_000))
+    every = max(1, n // (sample or 64 * parts))
     seen = sorted(r[0] for r in rows.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key").collect())
     bounds = [seen[len(seen) * i // parts] for i in range(1, parts)] if seen else []
     kind = rows.schema["key"].dataType

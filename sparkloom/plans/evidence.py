@@ -51,11 +51,11 @@ def zero_filled_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CANDIDATE}, {EVENT}, p AS (SELECT DISTINCT item_id FROM validation WHERE pass = 1)
-SELECT sequence, sequence IN (SELECT item_id FROM p) AS prior FROM candidate ORDER BY (sequence IN (SELECT item_id FROM p)) DESC, length(text) DESC, sequence LIMIT 150""")
+SELECT sequence, sequence IN (SELECT item_id FROM p) AS prior, row_number() OVER (ORDER BY (sequence IN (SELECT item_id FROM p)) DESC, coalesce(length(text), 0) DESC, sequence) AS rank FROM candidate""")
 def prior_first_selection(spark: SparkSession, d: str) -> DataFrame:
     p = validation_events(spark, d).filter("pass = 1").select(F.col("item_id").alias("sequence")).distinct().withColumn("prior", F.lit(True))
     c = candidates(spark, d).select("sequence", F.length("text").alias("n")).join(p, "sequence", "left").withColumn("prior", F.coalesce("prior", F.lit(False)))
-    return c.orderBy(F.desc("prior"), F.desc("n"), "sequence").limit(150).select("sequence", "prior")
+    return positions(c, F.struct((~F.col("prior")).alias("later"), (-F.coalesce("n", F.lit(0))).alias("n"), "sequence"), "rank").select("sequence", "prior", "rank")
 
 
 @query("""WITH s AS (SELECT doc_id, least(length(text) / 5000.0, 1.0) AS a, (1 + doc_id % 9) / 10.0 AS b FROM documents)

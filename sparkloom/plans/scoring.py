@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.adapters import TRIAL, trials
 from sparkloom.operators import scoring as S
 from sparkloom.operators import stats
+from sparkloom.operators.lookups import positions
 from sparkloom.plans.registry import query
 
 COUNTS_SQL = ", ".join(f"CAST(count(*) FILTER (WHERE outcome = 'N{i}') AS BIGINT) AS n{i}" for i in range(6))
@@ -180,11 +181,9 @@ def rank_auc(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH s AS (SELECT l.quality, row_number() OVER (ORDER BY d.n_chars DESC, d.doc_id) AS r, count(*) OVER () AS n FROM documents d JOIN labels l USING (doc_id))
 SELECT r <= greatest(1, n // 10) AS top, CAST(count(*) AS BIGINT) AS n, CAST(sum(quality) AS BIGINT) AS accepted, round(avg(CAST(quality AS DOUBLE)), 6) AS rate FROM s GROUP BY 1""")
 def top_decile_lift(spark: SparkSession, d: str) -> DataFrame:
-    # the threshold is the value at the decile's rank: a global rank of all rows in one task is not needed
     s = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
-    n = s.count()
-    top = s.orderBy(F.desc("n_chars"), "doc_id").limit(max(1, n // 10)).select("doc_id", F.lit(True).alias("top"))
-    marked = s.join(top, "doc_id", "left").withColumn("top", F.coalesce("top", F.lit(False)))
+    ranked = positions(s, F.struct((-F.col("n_chars")).alias("n"), "doc_id"), "rank")
+    marked = ranked.withColumn("top", F.col("rank") <= max(1, s.count() // 10))
     return marked.groupBy("top").agg(F.count("*").alias("n"), F.sum("quality").cast("long").alias("accepted"), F.round(F.avg(F.col("quality").cast("double")), 6).alias("rate"))
 
 

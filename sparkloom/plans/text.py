@@ -9,6 +9,7 @@ from sparkloom.adapters import CANDIDATE, ITEM, candidates, items, table
 from sparkloom.functions import ids as I
 from sparkloom.functions import text as T
 from sparkloom.operators import prefilter as P
+from sparkloom.operators.lookups import positions
 from sparkloom.plans.registry import query
 
 
@@ -77,13 +78,13 @@ def review_queue_top(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH b AS (SELECT doc_id, source, CASE WHEN length(text) >= 8000 THEN 'high' WHEN length(text) >= 2500 THEN 'medium' ELSE 'lower' END AS band FROM documents),
 k AS (SELECT *, sha256('seed|' || source || '|' || doc_id) AS k, CASE band WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS r FROM b)
-SELECT doc_id, band, row_number() OVER (ORDER BY r, k) AS rank FROM k ORDER BY r, k LIMIT 200""")
+SELECT doc_id, band, row_number() OVER (ORDER BY r, k) AS rank FROM k""")
 def quality_order(spark: SparkSession, d: str) -> DataFrame:
     n = F.length("text")
     band = F.when(n >= 8_000, "high").when(n >= 2_500, "medium").otherwise("lower")
     k = table(spark, d, "documents").select("doc_id", band.alias("band"), F.sha2(F.concat_ws("|", F.lit("seed"), "source", "doc_id"), 256).alias("k"))
     r = F.array_position(P.strings("high", "medium", "lower"), F.col("band"))
-    return P.ranked(k, [r, F.col("k")], 200).select("doc_id", "band", "rank")
+    return positions(k, F.struct(r.alias("r"), "k"), "rank").select("doc_id", "band", "rank")
 
 
 @query("SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS digest FROM documents WHERE text NOT LIKE '%ß%'")
