@@ -61,8 +61,12 @@ def with_text_keys(docs: DataFrame) -> DataFrame:
     one. Null where there is no doc_id. Only the ids that stand with several texts are joined."""
     hashed = docs.withColumn(KEY, F.xxhash64("text"))
     several = hashed.filter("doc_id is not null").groupBy("doc_id").agg(F.min(KEY).alias("_text_key_first"), F.max(KEY).alias("_text_key_last")).filter("_text_key_first <> _text_key_last")
-    known = several.select(F.col("doc_id").alias("_text_key_id"), "_text_key_first")
-    return hashed.join(known, F.col("doc_id") == F.col("_text_key_id"), "left").withColumn(KEY, F.when(F.col("_text_key_first") < F.col(KEY), F.xxhash64("doc_id", KEY)).otherwise(F.col("doc_id"))).drop("_text_key_id", "_text_key_first")
+    # written first, so that its size is known and texts aren't shuffled for a few ids, or none
+    known = Scratch(several.select(F.col("doc_id").alias("_text_key_id"), "_text_key_first")).read()
+    if known.isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id"))
+    joined = hashed.join(known, F.col("doc_id") == F.col("_text_key_id"), "left")
+    return joined.withColumn(KEY, F.when(F.col("_text_key_first") < F.col(KEY), F.xxhash64("doc_id", KEY)).otherwise(F.col("doc_id"))).drop("_text_key_id", "_text_key_first")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
