@@ -24,7 +24,7 @@ FUNCTION_WORDS = (
 COORDINATORS = "and or nor but versus vs than".split()
 BREAKS = ",;:()[]?!/"
 GLUE_WORDS = "of the and for in on at a an to".split()
-VERSION = r"(?i)\s*(?:version|ver\.?|v\.?)\s*[0-9]+[A-Za-z]?\s*$"
+VERSION = r"(?i)\s*(?:version|ver\.?|v\.?)\s*[0-9]+(?:\.[0-9]+)*[A-Za-z]?\s*$"
 GLOSS_WORD = r"([A-Za-z][A-Za-z0-9]*(?:[-/][A-Za-z][A-Za-z0-9]*)*)"
 GENE_PREFIX = r"\b(?:bla|mec|van)\s?"
 ACRONYM = r"\b[A-Z][A-Z0-9]{1,7}\b"
