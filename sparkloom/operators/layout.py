@@ -7,12 +7,16 @@ in order by one task, pages being small; all else is aggregations and windows wi
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from statistics import median
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.adapters import small_batches
+
 # Shares of a page or a line's height that part columns, bands, paragraphs and margins, and headings.
 COLUMN_GAP, LEAST_COLUMN_GAP, BAND_GAP, PARAGRAPH_GAP, INDENT, SHORT_LINE = 0.010, 5.0, 1.6, 0.55, 0.018, 0.90
 HEAD_PAGES, HEAD_SHARE, MARGIN, HEAD_CHARACTERS = 3, 0.4, 0.08, 200
@@ -28,6 +32,19 @@ HEADINGS = (
 ).split("|")
 
 BLOCK = "doc_id long, page int, place int, x0 double, x1 double, y0 double, y1 double, line_count int, text string, page_height double"
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+
+class Line(NamedTuple):
+    doc_id: int
+    page: int
+    x0: float
+    x1: float
+    y0: float
+    y1: float
+    text: str
+    page_width: float
+    page_height: float
 
 
 def runs(rows: list, low: str, high: str, gap: float) -> list[list]:
@@ -66,13 +83,18 @@ def in_reading_order(rows: list, width: float) -> list[list]:
     return done
 
 
+def breaks_word(text: str) -> bool:
+    """Whether a text ends within a word; its last characters tell, and a search of all of it would be slow."""
+    return bool(BROKEN_WORD.search(text[-3:]))
+
+
 def paragraphs(rows: list, width: float) -> list[list]:
     """Lines of one band in paragraphs: parted by a gap, an indent, or a short line before; never within a word."""
     height, left, right = typical_height(rows), min(r.x0 for r in rows), max(r.x1 for r in rows)
     indent = max(4.0, width * INDENT)
     out = [[rows[0]]]
     for before, r in zip(rows, rows[1:]):
-        within = bool(BROKEN_WORD.search(before.text)) and r.text[:1].islower()
+        within = breaks_word(before.text) and r.text[:1].islower()
         short = before.x1 - left < max(1.0, right - left) * SHORT_LINE and before.x1 < right - indent
         if not within and (r.y0 - before.y1 > height * PARAGRAPH_GAP or r.x0 - left > indent or short):
             out.append([])
@@ -84,23 +106,48 @@ def joined(texts: list[str]) -> str:
     """One text of lines; a word that a hyphen breaks is whole again."""
     out = ""
     for t in filter(None, map(str.strip, texts)):
-        out = BROKEN_WORD.sub("", out) + t if BROKEN_WORD.search(out) and t[:1].islower() else f"{out} {t}".strip()
+        out = out[:-1] + t if breaks_word(out) and t[:1].islower() else f"{out} {t}".strip()
     return " ".join(out.replace("\u00ad", "").split())
 
 
-def blocks(lines: DataFrame) -> DataFrame:
-    """Paragraphs of each page in reading order."""
+def _page(rows: list[Line]) -> list[tuple]:
+    """The paragraphs of one page's lines, in reading order, as rows of BLOCK."""
+    first = rows[0]
+    width, height = float(first.page_width), float(first.page_height)
+    parts = [p for band in in_reading_order(rows, width) for p in paragraphs(band, width)]
+    return [
+        (first.doc_id, first.page, i, min(r.x0 for r in p), max(r.x1 for r in p), min(r.y0 for r in p), max(r.y1 for r in p), len(p), joined([r.text for r in p]), height)
+        for i, p in enumerate(parts)
+    ]
+
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        width, height = float(page["page_width"].iloc[0]), float(page["page_height"].iloc[0])
-        parts = [p for band in in_reading_order(list(page.itertuples(index=False)), width) for p in paragraphs(band, width)]
-        rows = [
-            (page["doc_id"].iloc[0], page["page"].iloc[0], i, min(r.x0 for r in p), max(r.x1 for r in p), min(r.y0 for r in p), max(r.y1 for r in p), len(p), joined([r.text for r in p]), height)
-            for i, p in enumerate(parts)
-        ]
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in BLOCK.split(", ")])
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of pages whose lines lie together; a page is held until the next one begins, across batches too."""
+    page: list[Line] = []
+    for batch in batches:
+        done: list[tuple] = []
+        for line in map(Line, *(batch.column(c).to_pylist() for c in Line._fields)):
+            if page and (line.doc_id != page[0].doc_id or line.page != page[0].page):
+                done += _page(page)
+                page = []
+            page.append(line)
+        yield _block_rows(done)
+    if page:
+        yield _block_rows(_page(page))
 
-    return lines.filter(F.col("text").isNotNull()).groupBy("doc_id", "page").applyInPandas(run, BLOCK)
+
+def _block_rows(rows: list[tuple]) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split() for f in BLOCK.split(", ")))
+    columns = zip(*rows) if rows else ((),) * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, ARROW[k]) for c, k in zip(columns, kinds)], list(names))
+
+
+def blocks(lines: DataFrame) -> DataFrame:
+    """Paragraphs of each page in reading order. Pages are dealt to tasks and come to Python sorted, many in a batch:
+    most have few lines, and a call for each costs more than its work."""
+    rows = lines.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), *Line._fields[2:])
+    small_batches(lines.sparkSession)
+    return rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page").mapInArrow(_pages, BLOCK)
 
 
 def in_margin() -> Column:
@@ -112,13 +159,25 @@ def head_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), "[0-9]+", "#")
 
 
-def drop_running_heads(found: DataFrame) -> DataFrame:
-    """Blocks less the short ones in a margin that at least three pages and two fifths of a document's pages repeat."""
+def with_running_heads(found: DataFrame) -> DataFrame:
+    """Blocks with `running`: short ones in a margin that at least three pages and two fifths of a document's pages
+    repeat. Counted in windows, so the blocks are made once."""
     keyed = found.withColumn("head", F.when(in_margin() & (F.length("text") <= HEAD_CHARACTERS), head_key(F.col("text"))))
-    pages = found.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
-    hits = keyed.filter("head is not null").groupBy("doc_id", "head").agg(F.count_distinct("page").alias("hits"))
-    repeated = hits.join(pages, "doc_id").filter((F.col("hits") >= HEAD_PAGES) & (F.col("hits") >= HEAD_SHARE * F.col("pages"))).select("doc_id", "head")
-    return keyed.join(repeated, ["doc_id", "head"], "left_anti").drop("head").select(*found.columns)
+
+    def pages(*keys: str) -> tuple[Column, Column]:
+        at = F.when(F.col("page").isNotNull(), F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.col("page").asc_nulls_last())))
+        return at, F.max("at").over(Window.partitionBy(*keys))
+
+    for name, keys in (("pages", ["doc_id"]), ("hits", ["doc_id", "head"])):
+        at, last = pages(*keys)
+        keyed = keyed.withColumn("at", at).withColumn(name, last).drop("at")
+    running = F.col("doc_id").isNotNull() & F.col("head").isNotNull() & (F.col("hits") >= HEAD_PAGES) & (F.col("hits") >= HEAD_SHARE * F.col("pages"))
+    return keyed.select(*found.columns, F.coalesce(running, F.lit(False)).alias("running"))
+
+
+def drop_running_heads(found: DataFrame) -> DataFrame:
+    """Blocks less the running heads."""
+    return with_running_heads(found).filter(~F.col("running")).drop("running")
 
 
 def with_headings(found: DataFrame) -> DataFrame:

@@ -80,6 +80,21 @@ def test_reading_order(spark):
     assert found[1]["line_count"] == 4
 
 
+def test_pages_across_batches(spark):
+    """Many pages come in one batch and a page may go on in the next one."""
+    import pyarrow as pa
+
+    rows = [layout.Line(d, p, 50.0, 550.0, 100.0 + 40 * i, 110.0 + 40 * i, f"{d} {p} {i}", 600.0, 800.0) for d in (1, None) for p in range(5) for i in range(7)]
+    columns = {c: [getattr(r, c) for r in rows] for c in layout.Line._fields}
+    whole = pa.RecordBatch.from_pydict(columns)
+    for size in (1, 4, 9, 70):
+        got = [r for b in layout._pages(iter([whole.slice(k, size) for k in range(0, len(rows), size)])) for r in b.to_pylist()]
+        assert [(r["doc_id"], r["page"], r["place"], r["text"]) for r in got] == [(r.doc_id, r.page, i % 7, r.text) for i, r in enumerate(rows)]
+    lines = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip(layout.Line._fields, "long int double double double double string double double".split())))
+    assert layout.blocks(lines).count() == len(rows)
+    assert layout.with_running_heads(layout.blocks(lines)).filter("running").count() == 0
+
+
 def test_running_heads_and_sections(spark):
     lines = []
     for p in range(4):
