@@ -56,11 +56,22 @@ def malformed(text: Column) -> Column:
     return F.coalesce(text.rlike(MALFORMED) | long, F.lit(False))
 
 
-def assertion_issue(text: Column) -> Column:
-    """What is wrong with a displayed assertion: negated or compound; null if nothing."""
-    flat = normalize(text)
-    compound = text.contains(";") | flat.rlike(CONNECTIVE) | flat.contains("followed by")
-    return F.when(flat.rlike(NEGATION), "displayed_assertion_negated").when(compound, "displayed_assertion_compound")
+def ascii_bounds(pattern: str) -> str:
+    """A pattern whose words end at all but ASCII letters, digits and _, as SQL engines take it; in Java's \\b the letters
+    and their marks depend on the version."""
+    return pattern.replace(r"\b", r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+
+
+def assertion_issue(text: Column, ascii_only: bool = False) -> Column:
+    """What is wrong with a displayed assertion: negated or compound; null if nothing. ascii_only: letters and white space
+    are those of ASCII, so that a word ends before an accented letter."""
+    if ascii_only:  # a dotted capital I has no mark of its own in lower case there
+        flat = F.trim(F.regexp_replace(F.lower(F.translate(text, "\u0130", "i")), r"[\t\n\f\r ]+", " "))
+        negation, connective = ascii_bounds(NEGATION), ascii_bounds(CONNECTIVE)
+    else:
+        flat, negation, connective = normalize(text), NEGATION, CONNECTIVE
+    compound = text.contains(";") | flat.rlike(connective) | flat.contains("followed by")
+    return F.when(flat.rlike(negation), "displayed_assertion_negated").when(compound, "displayed_assertion_compound")
 
 
 def context_reason(displayed: Column, context: Column) -> Column:

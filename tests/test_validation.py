@@ -22,6 +22,13 @@ def test_malformed_texts(spark):
     assert values(spark, texts, V.malformed) == [False, True, True, False, True, False, False, False, True]
 
 
+def test_assertions_in_ascii(spark):
+    """With ASCII alone a word ends before an accented letter, as in the SQL of assertion_issues."""
+    texts = ["No\u00f1asc", "se\u00f1or", "followed\u00a0by", "\u0130f", "nothing", "a\tnot b", None]
+    negated, compound = "displayed_assertion_negated", "displayed_assertion_compound"
+    assert values(spark, texts, lambda t: V.assertion_issue(t, ascii_only=True)) == [negated, compound, None, compound, None, negated, None]
+
+
 def test_assertions(spark):
     texts = ["Ice grew", "Ice did not grow", "Ice; snow", "Ice and snow", "rain Followed  by snow", "Nothing android orbits"]
     assert values(spark, texts, V.assertion_issue) == [None, "displayed_assertion_negated", *["displayed_assertion_compound"] * 3, None]
