@@ -64,26 +64,29 @@ def folded(text: Column) -> Column:
     return F.replace(normalize(text), F.lit("ß"), F.lit("ss"))
 
 
-def joined(text: Column) -> Column:
-    """The text with one kind of dash, without soft hyphens, with words and units whole that a line or a blank cuts."""
+def joined(text: Column, units: bool = True) -> Column:
+    """The text with one kind of dash, without soft hyphens, with words and (if asked) units whole that a line or a blank
+    cuts."""
     plain = F.replace(F.translate(text, DASHES, "-" * len(DASHES)), F.lit(SOFT_HYPHEN), F.lit(""))
     lines = once(plain, lambda t: F.when(t.rlike(r"-[^\S\r\n]*[\r\n]"), F.regexp_replace(t, LINE_HYPHEN, "")).otherwise(t))
+    if not units:
+        return lines
     # few texts have a number after a blank, and looking behind each blank is slow
     return once(lines, lambda t: F.when(t.rlike(r"\s-?[0-9]"), F.regexp_replace(t, SPLIT_TOKEN, "")).otherwise(t))
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, units: bool = True) -> Column:
     """Lower-case tokens, BOUNDARY where a noun phrase ends: at coordinators, clause marks and ends of sentences. The
-    brackets around an acronym are no boundary."""
-    bare = once(joined(text), lambda t: F.when(t.contains("("), F.regexp_replace(t, GLOSS, " $1 ")).otherwise(t))
+    brackets around an acronym are no boundary. units: as in joined."""
+    bare = once(joined(text, units), lambda t: F.when(t.contains("("), F.regexp_replace(t, GLOSS, " $1 ")).otherwise(t))
     marked = F.regexp_replace(F.translate(bare, BOUNDARY + BREAKS, "~" + BOUNDARY * len(BREAKS)), SENTENCE_END, BOUNDARY)
     found = F.regexp_extract_all(F.replace(F.lower(marked), F.lit("ß"), F.lit("ss")), F.lit(TOKEN), 1)
     return F.transform(found, lambda t: F.when(among(t, COORDINATORS), BOUNDARY).otherwise(t))
 
 
-def content(phrase: Column) -> Column:
+def content(phrase: Column, units: bool = True) -> Column:
     """The tokens of a phrase that have to be shown; null if it is not one phrase, or has none."""
-    bare = F.regexp_replace(F.array_join(tokens(phrase), " "), r"^(?:\| ?)+|(?: ?\|)+$", "")
+    bare = F.regexp_replace(F.array_join(tokens(phrase, units), " "), r"^(?:\| ?)+|(?: ?\|)+$", "")
     kept = F.filter(F.split(bare, " "), lambda t: ~among(t, FUNCTION_WORDS) & (t != ""))
     return F.when(~bare.contains(BOUNDARY) & (F.size(kept) > 0), kept)
 

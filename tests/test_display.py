@@ -40,6 +40,14 @@ PHRASES = [
 ]
 
 
+def test_phrases_without_units(spark):
+    """Units stay apart where they are not asked for: the words of the phrase are the words of the text."""
+    rows = spark.createDataFrame([("Licensed under CC BY-NC 4.0. Der.", "BY NC"), ("Und. Die 19 73 des", "Die 19 73")], "t string, p string")
+    apart = D.in_window(D.content(F.col("p"), units=False), D.tokens(F.col("t"), units=False))
+    assert [r[0] for r in rows.select(apart).collect()] == [True, True]
+    assert [r[0] for r in rows.select(D.in_window(D.content(F.col("p")), D.tokens(F.col("t")))).collect()] == [False, True]
+
+
 def test_displayed_phrases(spark):
     got = values(spark, [r[:2] for r in PHRASES], D.is_displayed(F.col("a"), F.col("b")))
     assert got == [r[2] for r in PHRASES]
