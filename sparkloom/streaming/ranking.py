@@ -22,6 +22,16 @@ WRITTEN = "candidate_key string, probability string, position long, seq long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows of a shard that are held, at least, before they are reduced to the last of each candidate.
+LEAST_HELD = 100_000
+
+
+def last_scores(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    """The score of the highest number of each candidate; of equal numbers the first to come."""
+    rows = pd.concat([p for p in parts if len(p)], ignore_index=True)
+    return rows.sort_values("seq", kind="stable", ascending=False).drop_duplicates("candidate_key", keep="first")
+
+
 class Shard(StatefulProcessor):
     def __init__(self, every: int, flush_ms: int):
         self.every, self.flush_ms = every, flush_ms
@@ -33,35 +43,47 @@ class Shard(StatefulProcessor):
         self.pending = handle.getValueState("pending", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.pending.get()[0] if self.pending.exists() else 0
-        n = before
-        first = None
+        # each call to the state is a round trip, so a candidate's scores meet it once however many batches they fill
+        newest = pd.DataFrame(columns=["candidate_key", "probability", "position", "seq", "ms"])
+        waiting: list[pd.DataFrame] = []
+        held = 0
         for part in rows:
-            newest = part.sort_values("seq").drop_duplicates("candidate_key", keep="last")  # each call to the state is a round trip
-            for name, probability, position, seq, ms in newest[["candidate_key", "probability", "position", "seq", "ms"]].itertuples(index=False):
-                known = self.scores.getValue((name,)) if self.scores.containsKey((name,)) else None
-                if known is None or seq > known[2]:
-                    self.scores.updateValue((name,), (probability, int(position), int(seq)))
-                    self.changed.appendValue((name,))
-                    n += 1
-                    first = int(ms) if first is None else min(first, int(ms))
-        if n >= self.every:
-            yield self._write()
+            waiting.append(part[newest.columns])
+            held += len(part)
+            if held >= max(LEAST_HELD, len(newest)):
+                newest, waiting, held = last_scores([newest, *waiting]), [], 0
+        if waiting:
+            newest = last_scores([newest, *waiting])
+        fresh, first = {}, None
+        for name, probability, position, seq, ms in newest.itertuples(index=False):
+            known = self.scores.getValue((name,))
+            if known is None or seq > known[2]:
+                fresh[name] = (probability, int(position), int(seq))
+                self.scores.updateValue((name,), fresh[name])
+                first = int(ms) if first is None else min(first, int(ms))
+        if not fresh:
+            return
+        before = self.pending.get()[0] if self.pending.exists() else 0
+        if before + len(fresh) >= self.every:
+            yield self._write(fresh, before)
             return
-        if n > before:
-            self.pending.update((n,))
-            if not before:
-                self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs()) + self.flush_ms)
+        self.changed.appendList([(name,) for name in fresh])
+        self.pending.update((before + len(fresh),))
+        if not before:
+            self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs()) + self.flush_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.pending.exists():
-            yield self._write()
-
-    def _write(self) -> pd.DataFrame:
-        names = sorted({name for (name,) in self.changed.get()})
-        out = [(name, *self.scores.getValue((name,))) for name in names]
-        self.changed.clear()
-        self.pending.clear()
+            yield self._write({}, 1)
+
+    def _write(self, fresh: dict[str, tuple], before: int) -> pd.DataFrame:
+        """What has changed: the scores at hand, and those of the keys noted before."""
+        out = [(name, *score) for name, score in fresh.items()]
+        if before:
+            out += [(name, *self.scores.getValue((name,))) for name in {name for (name,) in self.changed.get()} - fresh.keys()]
+            self.changed.clear()
+            self.pending.clear()
+        out.sort(key=lambda r: r[0])
         return pd.DataFrame(out, columns=[c.split()[0] for c in WRITTEN.split(", ")])
 
     def close(self) -> None:
@@ -81,7 +103,15 @@ def follow(scores: DataFrame, folder: str, every: int = 25, flush_ms: int = 60_0
         batch.write.mode("overwrite").parquet(f"{folder}/versions/batch={number}")
 
     writer = written.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    writer.foreachBatch(add).start().awaitTermination()
+    # each partition of the state is a store to open and commit in every batch, so no more of them than shards can fill;
+    # a checkpoint keeps the number it began with
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 2 * shards)))
+    try:
+        writer.foreachBatch(add).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
 
 
 def live(spark: SparkSession, folder: str) -> DataFrame:

@@ -35,3 +35,12 @@ def test_live_ranking(spark, tmp_path):
     order = sorted(known, key=lambda k: (-Decimal(known[k][0]), k))
     rows = ranking.ranked(ranking.complete(spark, folder)).collect()
     assert [r["candidate_key"] for r in sorted(rows, key=lambda r: r["rank"])] == order and {r["rank"] for r in rows} == set(range(1, len(order) + 1))
+
+
+def test_no_more_stores_than_shards_fill(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(f"k{i % 50}", f"0.{i % 7}", i, i, BEGAN + timedelta(seconds=i)) for i in range(300)], SCHEMA).write.parquet(source)
+    ranking.follow(spark.readStream.schema(SCHEMA).parquet(source), folder, shards=1)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert len(list((tmp_path / "out" / "checkpoint" / "state" / "0").glob("[0-9]*"))) == 2
+    assert {r["candidate_key"]: r["seq"] for r in ranking.complete(spark, folder).collect()} == {f"k{i}": 250 + i for i in range(50)}
