@@ -13,10 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.adapters import small_batches
+
 # Bounds of what is taken together.
 BLOCK_BYTES = 12_000
 MOST_CHARS, MOST_SPANS, MOST_BLANKS = 3_200, 4, 32
 
+#: Bytes of spans that a task holds before it hands them on, and those that a span's own row takes.
+OUT_BYTES, ROW_BYTES = 4_000_000, 500
+
 BLOCKS = "block int, span int, start_byte long, end_byte long, span_sha256 string, block_sha256 string, text string"
 
 
@@ -63,12 +68,17 @@ def byte_blocks(texts: DataFrame, id_col: str, text_col: str, block_bytes: int =
     if sha_col:
         text = F.when(F.sha2(text_col, 256) == F.col(sha_col), text).otherwise(F.when(text.isNotNull(), F.raise_error(F.lit("a text has another hash than stated"))))
 
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+
+    def out(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else ((),) * len(kinds)
+        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", *(c.split()[0] for c in BLOCKS.split(", "))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         for batch in batches:
-            at, rows = [], []
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                place = n = 0
+            at, rows, held = [], [], 0
+            for i, t in enumerate(batch.column("text")):
+                t, place, n = t.as_py(), 0, 0
                 for k, block in enumerate(packed(fragments(t, block_bytes) if t else [], block_bytes), 1):
                     whole = hashlib.sha256(b"".join(block)).hexdigest()
                     for part in block:
@@ -76,10 +86,14 @@ def byte_blocks(texts: DataFrame, id_col: str, text_col: str, block_bytes: int =
                         at.append(i)
                         rows.append((k, n, place, place + len(part), hashlib.sha256(part).hexdigest(), whole, part.decode()))
                         place += len(part)
-            columns = zip(*rows) if rows else ((),) * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", *(c.split()[0] for c in BLOCKS.split(", "))])
+                        held += len(part) + ROW_BYTES
+                        if held >= OUT_BYTES:
+                            yield out(batch, at, rows)
+                            at, rows, held = [], [], 0
+            yield out(batch, at, rows)
 
     kind = texts.schema[id_col].dataType.simpleString()
+    small_batches(texts.sparkSession)
     return texts.select(F.col(id_col).alias("id"), text.alias("text")).mapInArrow(run, f"id {kind}, {BLOCKS}").withColumnRenamed("id", id_col)
 
 
@@ -118,6 +132,7 @@ def coalesced(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     blanks = F.length(F.regexp_extract(before, r"((?U)[\s\x1c-\x1f]*)$", 1))
     placed = spans.select("chunk_id", "span_id", "start", "end").distinct().join(chunks.select("chunk_id", "text"), "chunk_id", "left")
     rows = placed.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("span_id").cast("string").alias("span_id"), blanks.alias("blanks"))
+    small_batches(spans.sparkSession)
     merged = rows.repartition("chunk_id").sortWithinPartitions("chunk_id", "start", "end", "span_id").mapInArrow(_fold, "chunk_id string, start long, end long, source_span_ids array<string>")
     known = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text")
     shown = F.substring(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))

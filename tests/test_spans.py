@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,16 @@ def test_spans_of_unknown_chunks(spark):
     with pytest.raises(Exception, match="unknown chunk"):
         spans.coalesced(df, chunks).collect()
     assert spans.coalesced(df.limit(0), chunks).collect() == []
+
+
+def test_what_goes_to_python_and_back_is_bounded(spark, monkeypatch):
+    """Texts come in batches of few bytes, and one text's spans leave in several."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(spans, "OUT_BYTES", 1_000)
+    spark.conf.unset(name)
+    df = spark.createDataFrame([(1, "a line\n" * 40), (2, None), (3, "x")], "id long, t string").coalesce(1)
+    got = spans.byte_blocks(df, "id", "t", 20).orderBy("id", "span").collect()
+    assert spark.conf.get(name) == "4000000"
+    assert "".join(r["text"] for r in got if r["id"] == 1) == "a line\n" * 40 and [r["span"] for r in got] == [*range(1, 41), 1]
+    sizes = spark.createDataFrame([("y" * 1_000_000,)] * 20, "t string").coalesce(1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+    assert max(r["n"] for r in sizes.collect()) <= 5
