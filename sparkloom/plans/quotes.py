@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.adapters import table
+from sparkloom.adapters import small_batches, table
 from sparkloom.functions import text as T
 from sparkloom.operators import quotes as Q
 from sparkloom.operators import spans as S
@@ -87,6 +87,7 @@ def span_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def combined_spans(spark: SparkSession, d: str) -> DataFrame:
     """Two of three sentences of each document, those next to each other taken together."""
+    small_batches(spark)
     docs = table(spark, d, "documents").filter("doc_id is not null and text is not null")
     rows = docs.select(F.col("doc_id").alias("chunk_id"), F.posexplode(T.sentences("text")).alias("i", "s")).filter("i % 3 <> 0")
     chosen = rows.select("chunk_id", F.col("i").alias("span_id"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))

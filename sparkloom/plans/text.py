@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.adapters import CANDIDATE, ITEM, candidates, items, table
+from sparkloom.adapters import CANDIDATE, ITEM, candidates, items, small_batches, table
 from sparkloom.functions import ids as I
 from sparkloom.functions import text as T
 from sparkloom.operators import prefilter as P
@@ -164,10 +164,12 @@ def faceted_search_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
+    small_batches(spark)
     c = table(spark, d, "documents").select("doc_id", "text", F.explode(T.chunker(cap=2_000, overlap=200)("text")).alias("c"))
     return c.select("doc_id", "c.start", "c.end", I.stable_id("chunk", F.col("doc_id").cast("string"), F.col("c.start").cast("string")).alias("chunk_id"))
 
 
 @query()
 def compatibility_normal_form(spark: SparkSession, d: str) -> DataFrame:
+    small_batches(spark)
     return table(spark, d, "documents").select("doc_id", F.sha2(T.nfkc("text"), 256).alias("digest"))
