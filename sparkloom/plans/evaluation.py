@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -161,6 +164,11 @@ def waves(group: pd.DataFrame, slots: int) -> pd.DataFrame:
     if len(group) > MOST_REQUESTS:
         raise ValueError(f"a family has more than {MOST_REQUESTS} requests")
     left = {v: g["request_key"].sort_values().tolist() for v, g in group.groupby("model")}
+    return pd.DataFrame(scheduled(left, slots), columns=["request_key", "wave"])
+
+
+def scheduled(left: dict[str, list[int]], slots: int) -> list[tuple[int, int]]:
+    """(request, wave) of the sorted requests of each vendor."""
     rows, wave = [], 0
     while left:
         quota, free = -(-slots // len(left)), slots
@@ -171,10 +179,33 @@ def waves(group: pd.DataFrame, slots: int) -> pd.DataFrame:
             rows += [(k, wave) for k in take]
         left = {v: keys for v, keys in left.items() if keys}
         wave += 1
-    return pd.DataFrame(rows, columns=["request_key", "wave"])
+    return rows
+
+
+def family_waves(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
+    """Schedules of families whose requests lie together, in order of key; a family may go on in the next batch."""
+
+    def out(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["request_key", "wave"])
+
+    family, left, size = None, {}, 0
+    for batch in batches:
+        done: list[tuple[int, int]] = []
+        for own, vendor, key in zip(*(batch.column(c).to_pylist() for c in ("family", "model", "request_key"))):
+            if own != family:
+                done += scheduled(left, slots)
+                family, left, size = own, {}, 0
+            size += 1
+            if size > MOST_REQUESTS:
+                raise ValueError(f"a family has more than {MOST_REQUESTS} requests")
+            if vendor is not None:
+                left.setdefault(vendor, []).append(key)
+        yield out(done)
+    yield out(scheduled(left, slots))
 
 
 @query()
 def fair_waves(spark: SparkSession, d: str) -> DataFrame:
     """A greedy schedule per family, the requests of one family being few."""
-    return requests(spark, d).select("family", "model", "request_key").groupBy("family").applyInPandas(lambda g: waves(g, 4), "request_key long, wave long")
+    rows = requests(spark, d).select("family", "model", "request_key").repartition("family").sortWithinPartitions("family", "request_key")
+    return rows.mapInArrow(lambda batches: family_waves(batches, 4), "request_key long, wave long")

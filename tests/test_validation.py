@@ -147,6 +147,21 @@ def test_reports_are_whole_or_an_error(spark):
     assert sinks.markdown(spark.range(3), most=3).count("\n") == 5
 
 
+def test_fair_waves_across_batches():
+    import pandas as pd
+    import pyarrow as pa
+
+    from sparkloom.plans.evaluation import family_waves, waves
+
+    rows = [(f, f"m{(k * 7 + f) % 5}", k) for f in range(6) for k in range(f * 40, f * 40 + 3 + 5 * f)]
+    table = pd.DataFrame(rows, columns=["family", "model", "request_key"])
+    want = {tuple(r) for _, g in table.groupby("family") for r in waves(g, 4).itertuples(index=False)}
+    whole = pa.RecordBatch.from_pandas(table)
+    for size in (1, 7, 500):
+        got = [tuple(r.values()) for b in family_waves(iter([whole.slice(k, size) for k in range(0, len(rows), size)]), 4) for r in b.to_pylist()]
+        assert set(got) == want and len(got) == len(rows)
+
+
 def test_fair_waves():
     import random
 
