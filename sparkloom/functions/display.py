@@ -205,7 +205,7 @@ def unresolved_acronyms(text: Column) -> Column:
 
     # glosses are looked for only where there are acronyms
     open_ = lambda given: F.filter(found, lambda t: ~explained(t, given))
-    return F.when(F.size(found) > 0, once(glosses(text), open_)).otherwise(found)
+    return F.when(F.size(found) > 0, once(glosses(text), open_)).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def requires_context(text: Column) -> Column:

@@ -207,6 +207,17 @@ def sentences(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: [{"start": a, "end": b} for a, b in sentence_spans(t)] if t else [])
 
 
+#: Sentences with their texts.
+SENTENCES = types.ArrayType(types.StructType([types.StructField("start", types.IntegerType()), types.StructField("text", types.StringType())]))
+
+
+@F.pandas_udf(SENTENCES)
+def sentence_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """As sentences, each cut out where its place is known: in Spark, a substring of UTF-8 is found from the text's begin."""
+    for texts in batches:
+        yield texts.map(lambda t: [{"start": a, "text": t[a:b]} for a, b in sentence_spans(t)] if t else [])
+
+
 def pack_chunks(spans: list[tuple[int, int]], cap: int, overlap: int) -> list[tuple[int, int, int, bool]]:
     """(start, end, characters carried over, complete) of chunks of whole sentences of at most cap characters, each of
     which repeats sentences of the one before until overlap characters are reached. A sentence longer than the cap is

@@ -2,10 +2,12 @@
 
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import ids as I
 from sparkloom.functions import validation as V
 from sparkloom.operators import layout, lookups
 from sparkloom.sources import files, providers, sinks
@@ -192,3 +194,17 @@ def test_compatibility_forms(spark):
 
     texts = ["ﬁ ﬃ ½ Å", "so\u00adft", None, "", "plain", "㎏ ①"]
     assert values(spark, texts, lambda c: text.nfkc(c)) == [t and unicodedata.normalize("NFKC", t).replace("\u00ad", "") for t in texts]
+
+
+def test_contexts_of_a_long_text(spark, tmp_path):
+    from sparkloom.plans.validation import resolved_contexts
+
+    rows = [(1, "Ice grew [3] été. " * 60_000), (2, "POC rose 🜁.\n Snow fell (Fig. 2). "), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.time()
+    got = [tuple(r) for r in resolved_contexts(spark, str(tmp_path)).collect()]
+    assert time.time() - began < 20  # over a minute when each sentence was looked for from the begin of its text
+    assert sorted(start for doc, start, _, _ in got if doc == 1) == list(range(0, 18 * 60_000, 18))
+    want = [s for s, in spark.createDataFrame([("Ice grew été.",), ("POC rose 🜁.",), ("Snow fell.",)], "t string").select(I.stable_id("context", F.col("t"))).collect()]
+    assert {(shown, n) for doc, _, shown, n in got if doc == 1} == {(want[0], 0)}
+    assert sorted(r for r in got if r[0] != 1) == [(2, 0, want[1], 1), (2, 13, want[2], 0)]
