@@ -37,10 +37,13 @@ def encoder(vocabulary: str) -> Pieces:
     def make(vocabulary: str) -> Pieces:
         from tokenizers import Tokenizer
 
-        model, symbols = Tokenizer.from_str(vocabulary).model, byte_symbols()
+        tokenizer, symbols = Tokenizer.from_str(vocabulary), byte_symbols()
+        model, coded = tokenizer.model, [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
         def ids_of(words: list[bytes]) -> list[bytes]:
-            return [np.array([t.id for t in model.tokenize("".join(map(symbols.__getitem__, w)))], "<u4").tobytes() for w in words]
+            # letters and digits of ASCII stand for themselves
+            texts = (w.decode() if w.isalnum() else "".join(map(symbols.__getitem__, w)) for w in words)
+            return [b"".join([coded[t.id] for t in model.tokenize(t)]) for t in texts]
 
         return Pieces(vocabulary, ids_of, lambda i: np.array([i], "<u4").tobytes())
 

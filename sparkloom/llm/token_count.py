@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 from typing import Any
 
@@ -108,53 +108,64 @@ class Pieces:
     """A value for each blank-separated piece of text, added up from those of its pre-tokens.
 
     of_words gives the values of new pre-tokens (UTF-8), of_special that of a special token. The first max_pieces
-    pieces and half as many pre-tokens of up to 40 letters are remembered, those after them only for their block.
+    pieces and max_words pre-tokens of up to 40 letters are remembered, those after them only for their block.
     """
 
-    def __init__(self, vocabulary: str, of_words: Callable[[list[bytes]], list], of_special: Callable[[int], Any], max_pieces: int = 200_000):
+    def __init__(self, vocabulary: str, of_words: Callable[[list[bytes]], list], of_special: Callable[[int], Any], max_pieces: int = 200_000, max_words: int = 300_000):
         spec = json.loads(vocabulary)
         self.special = {t["content"]: of_special(t["id"]) for t in spec["added_tokens"]}
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pre_token = regex.compile(split["pattern"]["Regex"])
-        self.of_words, self.max_pieces = of_words, max_pieces
-        self.kept = Kept()
-        self.words: dict[bytes, Any] = {}
-
-    def _pre_tokens(self, text: str) -> list[bytes]:
-        if text.isascii():
-            if text.isalpha():
-                return [text.lower().encode()]
-            return [m.encode() for m in self.pre_token.findall(text.lower())]
-        return [m.encode() for m in self.pre_token.findall(lower(unicodedata.normalize("NFC", text)))]
-
-    def _split(self, piece: str) -> list:
-        """Pre-tokens (bytes) and special tokens (text) of a piece."""
-        if not any(s in piece for s in self.special):
-            return self._pre_tokens(piece)
-        return [x for k, part in enumerate(self.special_re.split(piece)) for x in ([part] if k % 2 else self._pre_tokens(part))]
-
-    def of(self, pieces: Iterable[str]) -> dict[str, Any]:
-        """Looks up the values of these pieces, until the next call."""
-        new = [p for p in pieces if p not in self.kept]
+        self.pre_token = regex.compile(split["pattern"]["Regex"] + "|\\x20")  # blanks part the pieces
+        self.total = b"".join if isinstance(of_special(0), bytes) else sum
+        self.of_words, self.max_pieces, self.max_words = of_words, max_pieces, max_words
+        self.kept: dict[str, Any] = {}
+        self.words: dict[str, Any] = {}
+
+    def _pre_tokens(self, texts: list[str]) -> list[str]:
+        """Those of texts without blanks and special tokens, with a blank between two texts. All are brought to lower case
+        and cut at once, as no letter or mark changes with what stands beyond a blank."""
+        joined = " ".join(texts)
+        return self.pre_token.findall(joined.lower() if joined.isascii() else lower(unicodedata.normalize("NFC", joined)))
+
+    def _mixed(self, piece: str) -> list[str]:
+        """Pre-tokens and special tokens of a piece."""
+        return [x for k, part in enumerate(self.special_re.split(piece)) for x in ([part] if k % 2 else self._pre_tokens([part]))]
+
+    def of(self, pieces: set[str]) -> dict[str, Any]:
+        """The values of these pieces."""
+        values = dict(zip(pieces, map(self.kept.get, pieces)))
+        new = [p for p, v in values.items() if v is None]
         if not new:
-            return self.kept
-        split = [self._split(p) for p in new]
-        unseen = list({w for ws in split for w in ws if w not in self.words and isinstance(w, bytes)})
-        fresh = dict(zip(unseen, self.of_words(unseen)))
-        if room := max(0, self.max_pieces // 2 - len(self.words)):
+            return values
+        if self.special_re.search(" ".join(new)):
+            mixed = {p for p in new if self.special_re.search(p)}
+            new = [*(p for p in new if p not in mixed), *mixed]
+            parts = self._pre_tokens(new[: -len(mixed)])
+            for k, p in enumerate(mixed, len(new) - len(mixed)):
+                parts += [" "] * (k > 0) + self._mixed(p)
+        else:
+            parts = self._pre_tokens(new)
+        # no pre-token is a special token, as those mix signs and letters
+        words = set(parts)
+        own = dict(zip(words, map(self.words.get, words))) | self.special
+        unseen = [w for w, v in own.items() if v is None and w != " "]
+        fresh = dict(zip(unseen, self.of_words([w.encode() for w in unseen])))
+        own |= fresh
+        found, at = [], []
+        for v in map(own.__getitem__, parts):  # None: a blank
+            if v is not None:
+                at.append(v)
+            else:
+                found.append(at[0] if len(at) == 1 else self.total(at))
+                at.clear()
+        found.append(self.total(at))
+        values.update(zip(new, found))
+        if room := max(0, self.max_words - len(self.words)):
             self.words.update(islice(((w, v) for w, v in fresh.items() if len(w) <= 40), room))
-        zero = type(next(iter(self.special.values())))()
-        found = {}
-        for p, ws in zip(new, split):
-            value = zero
-            for w in ws:
-                value += self.special[w] if isinstance(w, str) else fresh[w] if w in fresh else self.words[w]
-            found[p] = value
         if room := max(0, self.max_pieces - len(self.kept)):
-            self.kept.update(islice(((p, v) for p, v in found.items() if len(p) <= 40), room))
-        self.kept.block = found
-        return self.kept
+            self.kept.update(islice(((p, v) for p, v in zip(new, found) if len(p) <= 40), room))
+        return values
 
 
 #: Of this Python worker: what it remembers of the vocabulary it used last.

@@ -35,6 +35,23 @@ def test_counts_beyond_the_memory_for_pieces(library):
         assert sum(map(value.__getitem__, split)) == len(library.encode(text or "", add_special_tokens=False).ids)
 
 
+def test_words_are_remembered_beyond_the_pieces(library):
+    pieces, asked = packing.encoder(token_count.read_vocabulary(PATH)), []
+
+    def ids_of(words):
+        asked.extend(words)
+        return pieces.of_words(words)
+
+    small = token_count.Pieces(token_count.read_vocabulary(PATH), ids_of, lambda i: np.array([i], "<u4").tobytes(), max_pieces=4)
+    texts = ["Ice-sheet, été. \u0301x ΑΣ Σ", "ice été x<|endoftext|>y <|endoftext|> <|END|> a\u0301 \u01c5", "<|endoftext|>", "", "1٣²\x00"]
+    for _ in range(2):
+        for text in texts:
+            split = token_count.split_pieces(text)
+            value = small.of(set(split))
+            assert np.frombuffer(b"".join(map(value.__getitem__, split)), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked))
+
+
 def test_lengths_of_overlapping_pairs(library):
     merger = token_count.RankMerger(token_count.read_vocabulary(PATH))
     for word in ("aaaaaaa", "hahahaha", "thethethe", "a", "ab"):
