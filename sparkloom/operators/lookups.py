@@ -50,8 +50,9 @@ def must_be_empty(violations: DataFrame, message: str) -> DataFrame:
 
 
 def islands(df: DataFrame, keys: list[str], low: str, high: str, gap: float) -> DataFrame:
-    """Numbers runs of intervals that lie no more than gap from what comes before them."""
-    w = Window.partitionBy(*keys).orderBy(low, high)
+    """Numbers runs of intervals that lie no more than gap from what comes before them; nulls come last. Equal intervals
+    share a run: the sum is over peers, so it doesn't depend on their order."""
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(low), F.asc_nulls_last(high))
     before = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("_new", F.when(before.isNull() | (F.col(low) - before > gap), 1).otherwise(0)).withColumn("island", F.sum("_new").over(w).cast("long")).drop("_new")
 

@@ -210,21 +210,25 @@ def turn_lineage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").withColumn("parent", F.coalesce(F.lag("role").over(w), F.lit("none"))).groupBy("parent", "role").agg(F.count("*").alias("n"))
 
 
+def line_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """k, l_linenumber, low and high of each order line; quantities are rounded half to even, as SQL casts them."""
+    low, quantity = F.col("l_linenumber") * 10, F.rint("l_quantity").cast("long")
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("l_linenumber"), low.cast("long").alias("low"), (low + quantity).cast("long").alias("high"))
+
+
 @query("""WITH i AS (SELECT l_orderkey AS k, l_linenumber * 10 AS low, l_linenumber * 10 + CAST(l_quantity AS BIGINT) AS high FROM lineitem),
 b AS (SELECT *, max(high) OVER (PARTITION BY k ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_ FROM i),
 n AS (SELECT *, sum(CASE WHEN before_ IS NULL OR low - before_ > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS island FROM b)
 SELECT k, CAST(island AS BIGINT) AS island, CAST(min(low) AS BIGINT) AS low, CAST(max(high) AS BIGINT) AS high FROM n GROUP BY k, island""")
 def gap_islands(spark: SparkSession, d: str) -> DataFrame:
-    i = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 10).cast("long").alias("low"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("long")).cast("long").alias("high"))
-    return K.islands(i, ["k"], "low", "high", 5).groupBy("k", "island").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return K.islands(line_intervals(spark, d), ["k"], "low", "high", 5).groupBy("k", "island").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 @query("""SELECT e.event_id, CAST(l.l_linenumber AS BIGINT) AS l_linenumber FROM events e JOIN lineitem l ON l.l_orderkey = e.user_id
 WHERE floor(e.value * 10) >= l.l_linenumber * 10 AND floor(e.value * 10) < l.l_linenumber * 10 + CAST(l.l_quantity AS BIGINT)""")
 def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "events").select("event_id", F.col("user_id").alias("k"), F.floor(F.col("value") * 10).alias("at"))
-    i = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_linenumber") * 10).cast("long").alias("low"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("long")).cast("long").alias("high"))
-    return K.interval_join(p, i, "k", "at", "low", "high", 64).select("event_id", "l_linenumber")
+    return K.interval_join(p, line_intervals(spark, d), "k", "at", "low", "high", 64).select("event_id", "l_linenumber")
 
 
 @query("""SELECT e.event_id, coalesce(o.o_orderkey, -1) AS o_orderkey FROM (SELECT event_id, user_id, ts - INTERVAL 26 YEAR AS at FROM events) e
