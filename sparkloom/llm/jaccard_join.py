@@ -4,8 +4,8 @@ Documents are sets of hashed five-word shingles. Two sets link when their inters
 union, so a set of n shingles needs T = ceil(percent * n) of them in common with any partner: among its n - T + 1
 rarest at least one. The work is divided as DivideSkip divides it, over the cluster:
 
-* the short lists: every set emits its n - T + 1 rarest shingles (rarest by counts over a bounded sample, then by
-  hash; any one order of all shingles keeps the join exact), and shingles that only one set emits vanish;
+* the short lists: every set emits its n - T + 1 rarest shingles (rarest by the counts of their buckets over all
+  documents, then by hash; any one order of all shingles keeps the join exact), and shingles that only one set emits vanish;
 * sets that meet on a short list stay together only if their counts of shingles by class differ by no more than linked
   sets' can; per list a spanning forest of such meetings is kept, never all pairs, and the forest's connected
   components hold all links. A list of more than list_rows sets is dealt to several tasks; each keeps, besides its
@@ -44,6 +44,8 @@ from sparkloom.llm.components import Stars, connected_components, contracted
 LEAST_CLASSES, MOST_CLASSES = 64, 1024
 DOC, SHORT = 0, 1
 EDGE, FOUND_FROM = 0, 1
+#: Shingles are counted in so many buckets (a power of two), whose counts are added up in so many parts.
+BUCKETS, BUCKET_PARTS = 1 << 21, 256
 #: Sets that so many others of a list were found from are compared pair by pair; more are joined as they are.
 MOST_PAIRED = 5_000
 I64, I32 = pa.int64(), pa.int32()
@@ -76,34 +78,51 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
-def frequent_shingles(docs: DataFrame, k: int, sample_docs: int, most: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Hashes, sorted, and counts of the shingles of several sampled documents, and the share of documents sampled."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    sample = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * share))
+def bucket_of(h: np.ndarray) -> np.ndarray:
+    """Where each shingle is counted: by its upper bits, as classes go by the lower ones."""
+    return (h >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
 
-    def emit(batches):
-        shingler = Shingler(k)
+
+def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
+    """For each bucket of shingles, how many of all documents hold them, less the mean of the buckets (what the other
+    shingles of a bucket add to its count), 0 at least. Its size does not grow with the documents."""
+    size = BUCKETS // BUCKET_PARTS
+
+    def count(batches):
+        shingler, counts = Shingler(k), np.zeros(BUCKETS, np.int32)
         for _, texts in text_blocks(batches, "doc_id", "text"):
-            h, c = np.unique(shingler.sets(texts)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+            np.add.at(counts, bucket_of(shingler.sets(texts)[1]), np.int32(1))  # of one type, or it is slow
+        parts = np.flatnonzero(counts.reshape(-1, size).any(axis=1))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        packed = [pack(counts[p * size : (p + 1) * size].tobytes()) for p in parts.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, I64), pa.array(packed, pa.binary())], ["part", "counts"])
+
+    def add(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                total[part] = total.get(part, 0) + np.frombuffer(unpack(packed), np.int32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), I64), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["part", "counts"])
 
-    counted = sample.mapInArrow(emit, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1")
-    top = counted.orderBy(F.desc("c"), "h").limit(most).toArrow()
-    h = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], top.column("c").to_numpy().astype(np.int64)[order], share
+    schema = "part long, counts binary"
+    counted = docs.select("doc_id", "text").mapInArrow(count, schema).repartition(shuffle_partitions(docs.sparkSession), "part").mapInArrow(add, schema).toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    for part, own in zip(*(c.to_pylist() for c in counted.columns)):
+        counts[part * size : (part + 1) * size] = np.frombuffer(own, np.int64)
+    return np.clip(counts - int(counts.mean()), 0, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def short_lists(docs: DataFrame, k: int, percent: int, frequent, list_rows: int) -> DataFrame:
+def short_lists(docs: DataFrame, k: int, percent: int, counts: np.ndarray, list_rows: int) -> DataFrame:
     """Rows of kind DOC (doc_id, n, digest x and y, class counts) and, for one of a task's equal sets, SHORT (doc_id,
-    x: shingle, n: which part of the list, as lists that the sample shows to be long are dealt to several tasks)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    x: shingle, n: which part of the list, as lists that the counts show to be long are dealt to several tasks)."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
     schema = "kind int, doc_id long, n int, x long, y long, classes binary"
     names, types = zip(*(f.split() for f in schema.split(", ")))
     arrow = [pa.int32(), I64, pa.int32(), I64, I64, pa.binary()]
 
     def run(batches):
-        common, counts, share = shared.value
+        counts = shared.value
         shingler = Shingler(k)
         met: set[tuple[int, int]] = set()
         for ids, texts in text_blocks(batches, "doc_id", "text"):
@@ -132,8 +151,7 @@ def short_lists(docs: DataFrame, k: int, percent: int, frequent, list_rows: int)
                     met.add(key)
                     new[i] = True
             text, h = text[new[text]], h[new[text]]
-            at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
-            df = np.where(common[at] == h, counts[at], 0) if len(common) else np.zeros(len(h), np.int64)
+            df = counts[bucket_of(h)]
             order = np.lexsort((h, df, text))
             text, h, df = text[order], h[order], df[order]
             kept = n * new
@@ -141,7 +159,7 @@ def short_lists(docs: DataFrame, k: int, percent: int, frequent, list_rows: int)
             short = place < (n - needed(n, percent) + 1)[text]
             text, h, df = text[short], h[short], df[short]
             owner = np.asarray(ids, np.int64)[text] if len(text) else np.zeros(0, np.int64)
-            parts = np.ceil(df / share / list_rows).astype(np.int64)
+            parts = np.ceil(df / list_rows).astype(np.int64)
             part = np.where(parts > 1, dealt(owner, np.maximum(parts, 1)), -1)
             none = [pa.nulls(len(h), t) for t in arrow]
             none[:4] = pa.array(np.full(len(h), SHORT, np.int32)), pa.array(owner), pa.array(part.astype(np.int32)), pa.array(h.view(np.int64))
@@ -453,14 +471,15 @@ def search_large(large: DataFrame, search_in, most: int) -> DataFrame:
     return edges.union(search_in(met))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sample_docs: int = 10_000, most_frequent: int = 500_000, max_group_shingles: int = 2_000_000, list_rows: int = 4_000) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each row of docs (doc_id, text)."""
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, max_group_shingles: int = 2_000_000, list_rows: int = 4_000, sample_docs: int | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each row of docs (doc_id, text).
+    sample_docs is not read: shingles are counted over all documents, whatever a caller says here."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     apart = counts_only(docs.filter(F.col("doc_id").isNull()), k).withColumn("component_id", F.lit(None).cast("long"))
     docs = docs.filter(F.col("doc_id").isNotNull())
-    first = Scratch(short_lists(docs, k, percent, frequent_shingles(docs, k, sample_docs, most_frequent), list_rows))
+    first = Scratch(short_lists(docs, k, percent, shingle_counts(docs, k), list_rows))
     own = first.read().filter(F.col("kind") == DOC).select("doc_id", "n", "x", "y", "classes")
     rep = own.filter("n > 0").groupBy("x", "y", "n").agg(F.min("doc_id").alias("rep"))
     classed = Scratch(own.join(rep, ["x", "y", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "classes"))
