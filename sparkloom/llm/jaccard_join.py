@@ -67,7 +67,9 @@ class Shingler:
         within = np.arange(len(text)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
         start = (np.cumsum(n) - n)[text] + within
         h = self.rolling.runs(self.rolling.prefix(words), start, np.minimum(n, self.k)[text]) if len(text) else np.zeros(0, np.uint64)
-        order = np.lexsort((h, text))
+        order = np.argsort(h)
+        owner = text[order]  # sorting by it in 16 bits is several times faster than np.lexsort
+        order = order[np.argsort(owner.astype(np.uint16) if len(texts) <= 1 << 16 else owner, kind="stable")]
         text, h = text[order], h[order]
         keep = np.r_[True, (np.diff(text) != 0) | (h[1:] != h[:-1])][: len(h)]
         return text[keep], h[keep]
@@ -152,7 +154,7 @@ def short_lists(docs: DataFrame, k: int, percent: int, counts: np.ndarray, list_
                     new[i] = True
             text, h = text[new[text]], h[new[text]]
             df = counts[bucket_of(h)]
-            order = np.lexsort((h, df, text))
+            order = np.argsort((text << 32) | df, kind="stable")  # sorted by text and h already
             text, h, df = text[order], h[order], df[order]
             kept = n * new
             place = np.arange(len(text)) - (np.cumsum(kept) - kept)[text]

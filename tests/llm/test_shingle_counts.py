@@ -48,3 +48,12 @@ def test_any_counts_give_the_same_components(spark, monkeypatch):
     some = np.random.default_rng(1).integers(0, 30, jaccard_join.BUCKETS).astype(np.int32)
     monkeypatch.setattr(jaccard_join, "shingle_counts", lambda docs, k: some)
     assert sorted(map(tuple, jaccard_join.jaccard_components(d, list_rows=3).collect())) == want
+
+
+def test_sets_are_sorted():
+    texts = [" ".join(words(random.Random(i), 30, 12)) for i in range(40)] + ODD + ["a b c d e f"] * 70_000
+    text, h = jaccard_join.Shingler(5).sets(texts)
+    order = np.lexsort((h, text))
+    assert (order == np.arange(len(h))).all() and len(h) == len(set(zip(text.tolist(), h.tolist())))
+    few = jaccard_join.Shingler(5).sets(texts[:60])
+    assert all((a == b[: len(a)]).all() for a, b in zip(few, (text, h)))
