@@ -179,12 +179,13 @@ def letters_of(token: Column) -> Column:
     return F.lower(F.regexp_replace(token, "[^A-Za-z]", ""))
 
 
-def has_expansion(text: Column, found: Column, token: Column) -> Column:
-    """Whether the text spells the token out before or after it in brackets. found: glosses(text)."""
+def has_expansion(text: Column, found: Column, token: Column, versions: bool = True) -> Column:
+    """Whether the text spells the token out before or after it in brackets. found: glosses(text). versions: whether a
+    version before the brackets is no word of the expansion."""
     letters, digits = letters_of(token), F.regexp_replace(token, "[^0-9]", "")
 
     def before(g: Column) -> Column:
-        cut = F.rtrim(F.regexp_replace(g["before"], VERSION, ""))
+        cut = F.rtrim(F.regexp_replace(g["before"], VERSION, "") if versions else g["before"])
         cut = F.when((digits != "") & F.endswith(cut, digits), F.substring(cut, F.lit(1), F.length(cut) - F.length(digits))).otherwise(cut)
         return F.array_contains(g["tokens"], token) & initials_match(gloss_words(cut), F.array_join(F.transform(g["tokens"], letters_of), ""))
 

@@ -3,12 +3,14 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import display as D
 from sparkloom.functions import validation as V
 from sparkloom.functions.text import once
+from sparkloom.plans import ORACLE, QUERIES
 
 
 def values(spark, rows, column, schema="a string, b string"):
@@ -131,6 +133,21 @@ def test_acronyms(spark):
     assert values(spark, [(None, "")], D.unresolved_acronyms(F.col("a"))) == [None]
 
 
+#: Openings in which a verb or a prefix defines the letters, or a version stands before the brackets; then others, one with a known token.
+OPENINGS = ["Hean are ered the. Antith inates", "Ache termed aat over town", "Old van OOT by truck", "ache is the best of", "Ice grew on the rev2. Then", "Ice grew on the v2", "a v1 b v2 c v3"]
+OPENINGS += ["Red old new big air", "of the sea and of", "Straße und Eis, étang 5 mers", "one two three four", "", None]
+
+
+def test_spelled_out_as_in_sql(spark, tmp_path):
+    rows = [(i, text) for i, text in enumerate(OPENINGS)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(ORACLE["spelled_out_acronyms"])
+    got = QUERIES["spelled_out_acronyms"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 CONTEXTS = [
     ("According to the study (DOI: 10.1/example), how did FeA change?", "FeA is iron in Kongsfjorden sediment.", "source_dependent_locator"),
     ("During what period were peak POC and TPM fluxes recorded at DBO4?", "", "question_context_missing"),
