@@ -52,11 +52,28 @@ def with_metrics(tallied: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return tallied.withColumns({n: F.round(every[n], digits) for n in names or every})
 
 
+def last_outcomes() -> list[Column]:
+    """The outcomes of a question's repeat with and without gold; the last row of a condition counts."""
+    return [F.max_by(F.when(F.col("condition") == c, F.col("outcome")), F.when(F.col("condition") == c, F.col("trial_id"))).alias(a) for c, a in (("gold_present", "gp"), ("gold_absent", "ga"))]
+
+
+def pair_counts() -> list[Column]:
+    """Complete pairs (both valid) and those that chose gold when present and abstained when absent, of last outcomes."""
+    gp, ga = F.col("gp"), F.col("ga")
+    return [F.count_if((gp != "N0") & (ga != "N0")).alias("pairs"), F.count_if((gp == "N1") & (ga == "N5")).alias("ideal")]
+
+
 def pair_rate(trials: DataFrame, *keys: str) -> DataFrame:
-    """Share of complete pairs (both valid) that chose gold when present and abstained when absent; the last row of a condition counts."""
-    last = trials.groupBy(*keys, "item_id", "repeat").agg(*[F.max_by(F.when(F.col("condition") == c, F.col("outcome")), F.when(F.col("condition") == c, F.col("trial_id"))).alias(a) for c, a in (("gold_present", "gp"), ("gold_absent", "ga"))])
+    """Share of complete pairs that are ideal."""
+    last = trials.groupBy(*keys, "item_id", "repeat").agg(*last_outcomes())
     whole = last.filter("gp <> 'N0' and ga <> 'N0'")
-    return whole.groupBy(*keys).agg(F.count("*").alias("pairs"), F.count_if((F.col("gp") == "N1") & (F.col("ga") == "N5")).alias("ideal")).withColumn("ideal_pair_rate", F.round(ratio(F.col("ideal"), F.col("pairs")), 6))
+    return whole.groupBy(*keys).agg(*pair_counts()).withColumn("ideal_pair_rate", F.round(ratio(F.col("ideal"), F.col("pairs")), 6))
+
+
+def question_counts(trials: DataFrame, *keys: str) -> DataFrame:
+    """Outcomes, complete pairs and ideal ones counted per question."""
+    repeats = trials.groupBy(*keys, "item_id", "repeat").agg(*counts(), *last_outcomes())
+    return repeats.groupBy(*keys, "item_id").agg(*[F.sum(n.lower()).alias(n.lower()) for n in OUTCOMES], *pair_counts())
 
 
 def letters(trials: DataFrame, *keys: str) -> DataFrame:

@@ -157,7 +157,8 @@ def pooled_shift_test(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return stats.bootstrap(trials(spark, d).filter("outcome <> 'N0'"), "model", ["acc", "f1_abs", "shift"])
+    """Intervals of every metric and of the rate of ideal pairs."""
+    return stats.bootstrap(trials(spark, d).filter("outcome <> 'N0'"), "model")
 
 
 @query("""WITH p AS (SELECT o_orderpriority AS name, count(*) FILTER (WHERE o_orderstatus = 'F') / CAST(count(*) * 20 AS DOUBLE) AS p_value FROM orders GROUP BY 1),
